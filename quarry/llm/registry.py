@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from quarry.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quarry.llm.quality_rules import OP10_SQL, op10_quality_rules
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
