@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = " \t\n\x0b\x0c\r"
@@ -52,3 +53,29 @@ def words_of(text: Column) -> Column:
     """The runs of non-blank characters; an empty array where there are none (text must not be null)."""
     bare = F.trim(text, F.lit(WS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{WS_CLASS}]+"))
+
+
+def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: list[StructField], func, rows: int = 512) -> DataFrame:
+    """Arrow-batched map over texts: func(list of texts, null as empty) gives a dict of columns by field name.
+
+    Batches are cut into slices of at most `rows` rows, so that a task holds few texts at a time.
+    """
+    schema = StructType([docs.schema[c] for c in keep] + fields)
+    names = [f.name for f in fields]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        types = {f.name: f.type for f in arrow}
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+                found = func(texts)
+                columns = [part.column(i).cast(types[c]) for i, c in enumerate(keep)]
+                columns += [x if isinstance(x, pa.Array) else pa.array(x, types[n]) for n in names for x in (found[n],)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
