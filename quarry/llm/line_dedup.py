@@ -58,8 +58,10 @@ def line_dedup(
         .agg(F.count("*").alias("__docs"), F.max("__id").alias("__keep"))
         .where(F.col("__docs") >= min_docs)
     )
+    # Joined by a struct, so that both sides are dealt anew and Spark may split the rows of a very common line.
     lost = (
-        held.join(common, ["__h1", "__h2"])
+        held.withColumn("__h", F.struct("__h1", "__h2"))
+        .join(common.select(F.struct("__h1", "__h2").alias("__h"), "__keep"), "__h")
         .where(F.col("__id").isNull() | F.col("__keep").isNull() | (F.col("__id") != F.col("__keep")))
         .groupBy("__k1", "__k2")
         .agg(F.flatten(F.collect_list("__at")).alias("__lost"))
