@@ -55,10 +55,26 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{WS_CLASS}]+"))
 
 
-def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: list[StructField], func, rows: int = 512) -> DataFrame:
+def sliced(batch, text_at: int, rows: int, most: int):
+    """Slices of a record batch with their texts (null as empty): `rows` rows and about `most` characters at most."""
+    start, held, texts = 0, 0, []
+    column = batch.column(text_at)
+    for i in range(batch.num_rows):
+        text = column[i].as_py() or ""
+        if texts and (len(texts) >= rows or held + len(text) > most):
+            yield batch.slice(start, i - start), texts
+            start, held, texts = i, 0, []
+        texts.append(text)
+        held += len(text)
+    if texts:
+        yield batch.slice(start), texts
+
+
+def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: list[StructField], func, rows: int = 512, most: int = 1 << 22) -> DataFrame:
     """Arrow-batched map over texts: func(list of texts, null as empty) gives a dict of columns by field name.
 
-    Batches are cut into slices of at most `rows` rows, so that a task holds few texts at a time.
+    Batches are cut into slices of at most `rows` rows and about `most` characters (one text at least), so that a task
+    works on few texts at a time.
     """
     schema = StructType([docs.schema[c] for c in keep] + fields)
     names = [f.name for f in fields]
@@ -70,9 +86,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: list[Stru
         arrow = to_arrow_schema(schema)
         types = {f.name: f.type for f in arrow}
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+            for part, texts in sliced(batch, len(keep), rows, most):
                 found = func(texts)
                 columns = [part.column(i).cast(types[c]) for i, c in enumerate(keep)]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, types[n]) for n in names for x in (found[n],)]
