@@ -6,6 +6,7 @@ from quarry.llm.language_id import op6_language_id
 from quarry.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quarry.llm.near_dedup import op9_near_dedup
 from quarry.llm.ogg import op2_media_ogg
+from quarry.llm.pieces import op8_sentencepiece
 from quarry.llm.quality_classifier import op7_quality_classifier
 from quarry.llm.quality_rules import OP10_SQL, op10_quality_rules
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
