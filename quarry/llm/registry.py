@@ -9,8 +9,10 @@ from quarry.llm.ogg import op2_media_ogg
 from quarry.llm.pieces import op8_sentencepiece
 from quarry.llm.quality_classifier import op7_quality_classifier
 from quarry.llm.quality_rules import OP10_SQL, op10_quality_rules
+from quarry.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_ogg": op2_media_ogg,
     "op4_line_dedup": op4_line_dedup,
     "op6_language_id": op6_language_id,
