@@ -9,8 +9,8 @@ probability of their weighted Jaccard similarity. Equal bands make candidates.
 Links. Copies collapse first, by a hash of the text. Pairs within a band's bucket are never emitted: each bucket
 links to its hub, the member with the most bucket mates, and these few pairs are verified exactly, text against text.
 Buckets whose members are in one class by then are done. In the others, members of different classes are compared by
-signature in blocks of at most BLOCK rows inside tasks, and only the pairs that look similar enough leave the task,
-to be verified exactly as well. Classes are the connected components of the verified links.
+signature in blocks of about BLOCK rows inside tasks and those that look similar enough are verified there; only links
+that join classes leave the task. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SIMILARITY, WIDTH = 0.8, 5
 BANDS, ROWS = 36, 6
 #: Signature agreement under which a pair of a bucket isn't verified: 4.4 standard deviations below the similarity.
 AGREEMENT = 0.68
-BLOCK, SALTS = 1024, 16
+BLOCK, SALTS = 512, 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +86,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         }
 
     fields = [StructField("bands", ArrayType(LongType())), StructField("sig", BinaryType())]
-    return map_texts(docs, ["k"], "text", fields, run, rows=768, most=1 << 21)
+    return map_texts(docs, ["k"], "text", fields, run, rows=384, most=1 << 20)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -129,48 +129,51 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return sides.mapInArrow(run, "a long, b long")
 
 
-def _close(grouped: DataFrame) -> DataFrame:
-    """Pairs of one group (band, i, j) that are in different classes and agree in AGREEMENT of their coordinates.
+def _across(grouped: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between different classes of one group (bucket, block i, block j), verified in the task.
 
-    A pair is left to the first band that it shares, so that it leaves one task only.
+    Signatures choose the pairs to verify; a pair is left to the first band that it shares, so that one task sees it.
+    A link joins its classes for the rest of the task, so a group gives fewer links than it has rows.
     """
 
+    def links(rows, i, j, band):
+        k = np.array([r[0] for r in rows], np.int64)
+        label = np.array([r[1] for r in rows], np.int64)
+        block = np.array([r[2] for r in rows])
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), BANDS * ROWS)
+        cells: dict[int, np.ndarray] = {}
+        own = lambda n: cells[n] if n in cells else cells.setdefault(n, shingles([rows[n][4]], WIDTH)[1])
+        for x in np.flatnonzero(block == i):
+            other = np.flatnonzero((label != label[x]) & ((block == j) if i != j else (np.arange(len(k)) > x)))
+            same = sig[other] == sig[x]
+            agree = same.mean(1)
+            near = np.flatnonzero(agree >= AGREEMENT)
+            near = near[same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1) == band]
+            for y in other[near[np.argsort(-agree[near])]]:
+                if label[y] == label[x]:
+                    continue
+                shared = len(np.intersect1d(own(x), own(y), assume_unique=True))
+                if shared >= similarity * (len(own(x)) + len(own(y)) - shared) - 1e-9:
+                    label[label == label[y]] = label[x]
+                    yield int(k[x]), int(k[y])
+
     def run(batches):
         import pyarrow as pa
 
-        here, key, rows = None, None, []
-
-        def pairs():
-            if key is None or len(rows) < 2:
-                return
-            k = np.array([r[0] for r in rows], np.int64)
-            label = np.array([r[1] for r in rows], np.int64)
-            block = np.array([r[2] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), BANDS * ROWS)
-            i, j, band = key
-            for x in np.flatnonzero(block == i):
-                other = np.flatnonzero((label != label[x]) & ((block == j) if i != j else (np.arange(len(k)) > x)))
-                if not len(other):
-                    continue
-                same = sig[other] == sig[x]
-                near = same.mean(1) >= AGREEMENT
-                if not near.any():
-                    continue
-                other, same = other[near], same[near]
-                first = same.reshape(len(other), BANDS, ROWS).all(2).argmax(1)
-                yield from zip(*(v[first == band].tolist() for v in (np.minimum(k[other], k[x]), np.maximum(k[other], k[x]))))
+        def out(key, rows):
+            found = list(links(rows, *key[1:])) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
+        key, rows = None, []
         for batch in batches:
-            for bh, i, j, band, k, label, block, sig in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bh, i, j) != here:
-                    found = list(pairs())
-                    yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], ["a", "b"])
-                    here, key, rows = (bh, i, j), (i, j, band), []
-                rows.append((k, label, block, sig))
-        found = list(pairs())
-        yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+            for bh, i, j, band, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bh, i, j, band) != key:
+                    yield out(key, rows)
+                    key, rows = (bh, i, j, band), []
+                rows.append(row)
+        yield out(key, rows)
 
-    return grouped.select("bh", "i", "j", "band", "k", "label", "block", "sig").mapInArrow(run, "a long, b long")
+    return grouped.select("bh", "i", "j", "band", "k", "label", "block", "sig", "text").mapInArrow(run, "a long, b long")
 
 
 def near_dup_labels(texts: DataFrame) -> DataFrame:
@@ -202,7 +205,10 @@ def near_dup_labels(texts: DataFrame) -> DataFrame:
         classed.groupBy("bh").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low <> high").select(F.struct("bh").alias("key"))
     )
-    open_ = classed.withColumn("key", F.struct("bh")).join(mixed, "key", "left_semi").drop("key").join(signed.select("k", "sig"), "k")
+    open_ = (
+        classed.withColumn("key", F.struct("bh")).join(mixed, "key", "left_semi").drop("key")
+        .join(signed.select("k", "sig"), "k").join(known, "k")
+    )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         open_.withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int"))
@@ -210,9 +216,8 @@ def near_dup_labels(texts: DataFrame) -> DataFrame:
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
     )
-    close = written(_close(dealt).distinct(), "close")
-    more = verified(close, known)
-    if not close.limit(1).count():
+    more = written(_across(dealt), "links")
+    if not more.limit(1).count():
         return labels.select(F.col("node").alias("k"), "label")
     linked = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more)
     return components(linked).select(F.col("node").alias("k"), "label")
