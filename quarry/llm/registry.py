@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm.language_id import op6_language_id
 from quarry.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quarry.llm.mixing import op3_mixing
 from quarry.llm.near_dedup import op9_near_dedup
 from quarry.llm.ogg import op2_media_ogg
 from quarry.llm.pieces import op8_sentencepiece
@@ -14,6 +15,7 @@ from quarry.llm.suffix_dedup import op1_suffix_dedup
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_ogg": op2_media_ogg,
+    "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
