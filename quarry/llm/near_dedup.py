@@ -240,5 +240,23 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return members.join(names, F.struct("label") == F.col("key")).select(id_col, "class_id", "__k")
 
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each near-duplicate class the row of the smallest id (nulls last).
+
+    Where equal rows share that id and text one of them stays; where only the text differs, the one of smaller hash.
+    All columns pass through. The other cases are those of near_dup_classes.
+    """
+    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    labels = near_dup_labels(keyed.select(F.col("__k").alias("k"), F.coalesce(text_col, F.lit("")).alias("text")))
+    members = keyed.select(F.col(id_col).alias("__id"), "__k").join(
+        labels.select(F.col("k").alias("__k"), "label"), "__k", "left"
+    ).withColumn("label", F.coalesce("label", "__k"))
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col("__k"))).alias("best")
+    stay = members.groupBy("label").agg(best).select("best.__k", "best.__id")
+    # A text's hash names at most one row to keep, so the rows that are left repeat each other.
+    rows = keyed.join(stay, "__k").where(F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__k"])
+    return rows.select(*docs.columns)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

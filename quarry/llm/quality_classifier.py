@@ -60,9 +60,9 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     def run(texts):
-        return {"stats": list(statistics(texts))}
+        return {"__stats": list(statistics(texts))}
 
-    return map_texts(docs, keep, text_col, [StructField("stats", ArrayType(FloatType()))], run)
+    return map_texts(docs, keep, text_col, [StructField("__stats", ArrayType(FloatType()))], run)
 
 
 @dataclass
@@ -104,7 +104,7 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def _stats_batches(batches):
     for batch in batches:
         if batch.num_rows:
-            stats = batch.column("stats")
+            stats = batch.column("__stats")
             yield batch, np.asarray(stats.flatten(), np.float64).reshape(batch.num_rows, len(STATISTICS))
 
 
@@ -114,8 +114,8 @@ def fit(labelled: DataFrame) -> QualityModel | None:
     first = labelled.where("fold = 0")
     sums = first.agg(
         F.count("*").alias("n"),
-        *[F.avg(F.get("stats", F.lit(i))).alias(f"m{i}") for i in range(k)],
-        *[F.stddev_pop(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(k)],
+        *[F.avg(F.get("__stats", F.lit(i))).alias(f"m{i}") for i in range(k)],
+        *[F.stddev_pop(F.get("__stats", F.lit(i))).alias(f"s{i}") for i in range(k)],
     ).first()
     if not sums["n"]:
         return None
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame) -> QualityModel | None:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(total[low, high])], ["cell", "v"])
 
-    cells = first.select("stats", "y").mapInArrow(equations, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = first.select("__stats", "y").mapInArrow(equations, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
     gram = np.zeros((size, size))
     for cell, v in cells.collect():  # a fixed number of cells
         gram[low[cell], high[cell]] = gram[high[cell], low[cell]] = v
@@ -161,7 +161,7 @@ def fit(labelled: DataFrame) -> QualityModel | None:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bin", "n", "good"])
 
     bins = (
-        labelled.where("fold = 1").select("stats", "y").mapInArrow(binned, "bin int, n long, good long")
+        labelled.where("fold = 1").select("__stats", "y").mapInArrow(binned, "bin int, n long, good long")
         .groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
     )
     if not bins:
@@ -200,7 +200,7 @@ def quality_scores(
         .groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("__y"))
     )
     stats = written(with_statistics(docs, names, text_col), "statistics")
-    taught = stats.where(learn).join(marks, id_col).select("stats", F.col("__y").alias("y"), fold.alias("fold"))
+    taught = stats.where(learn).join(marks, id_col).select("__stats", F.col("__y").alias("y"), fold.alias("fold"))
     model = fit(taught)
     schema = StructType(
         [docs.schema[c] for c in names] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())]

@@ -11,12 +11,14 @@ from quarry.llm.pieces import op8_sentencepiece
 from quarry.llm.quality_classifier import op7_quality_classifier
 from quarry.llm.quality_rules import OP10_SQL, op10_quality_rules
 from quarry.llm.suffix_dedup import op1_suffix_dedup
+from quarry.llm.warc import op5_warc
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_ogg": op2_media_ogg,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sentencepiece": op8_sentencepiece,
