@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarry.plans import relational, retrieval, stateful, text  # noqa: F401  they register their queries
+from quarry.plans.core import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "hybrid_retrieval"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
