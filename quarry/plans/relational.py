@@ -1 +1,226 @@
-"""Queries."""
+"""Relational reads, validation and understanding queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import relations as rel
+from quarry.operators import understanding as un
+from quarry.operators import validation as val
+from quarry.operators.lines import clause_paths, numbered_again
+from quarry.plans.core import fixture, query
+
+
+@query("""SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 300000""")
+def hydrate(t):
+    big = t("orders").where("o_totalprice > 300000").select("o_orderkey", "o_custkey")
+    dims = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return big.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(dims, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "o_orderkey", "c_name", "n_name", "r_name"
+    )
+
+
+@query("""SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers,
+(SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation""")
+def scalar_counts(t):
+    children = {"customers": (t("customer"), "c_nationkey"), "suppliers": (t("supplier"), "s_nationkey")}
+    return rel.child_counts(t("nation").select("n_nationkey", "n_name"), "n_nationkey", children)
+
+
+@query("SELECT DISTINCT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reverse_refs(t):
+    return t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name").distinct()
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%red%' AND (lower(p_name) LIKE '%w%' OR lower(p_type) LIKE '%w%')
+AND p_size BETWEEN 5 AND 40 ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20""")
+def paginate(t):
+    found = rel.text_filter(t("part").where("p_size BETWEEN 5 AND 40"), ["red"], ["p_name"])
+    return rel.page(rel.text_filter(found, ["w"], ["p_name", "p_type"]), ["p_name", "p_partkey"], 2).select("p_partkey", "p_name")
+
+
+@query("""SELECT p_brand, p_type, CASE WHEN grouping(p_brand) = 1 THEN 'second' ELSE 'both' END AS level, count(*) AS n
+FROM part WHERE p_size > 10 GROUP BY GROUPING SETS ((p_brand, p_type), (p_type))""")
+def faceted_list(t):
+    return rel.facets(t("part").where("p_size > 10"), "p_brand", "p_type")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%wid%'
+ORDER BY CASE WHEN lower(p_name) LIKE 'wid%' THEN 0 ELSE 1 END, length(p_name), p_name, p_partkey LIMIT 8""")
+def typeahead(t):
+    return rel.typeahead(t("part"), "p_name", "wid", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def orphans(t):
+    return rel.orphans(t("lineitem"), "l_suppkey", t("supplier").where("s_acctbal > 0"), "s_suppkey").select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH a AS (SELECT c_mktsegment AS key, max(c_custkey) AS a FROM customer WHERE c_nationkey < 12 AND c_mktsegment < 'H' GROUP BY 1),
+b AS (SELECT c_mktsegment AS key, max(c_custkey) AS b FROM customer WHERE c_nationkey >= 12 AND c_mktsegment > 'B' GROUP BY 1)
+SELECT key, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'both' WHEN a IS NOT NULL THEN 'a' ELSE 'b' END AS side
+FROM a FULL JOIN b USING (key)""")
+def outer_align(t):
+    c = t("customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("value"), "c_nationkey", "c_mktsegment")
+    a, b = c.where("c_nationkey < 12 AND key < 'H'"), c.where("c_nationkey >= 12 AND key > 'B'")
+    return rel.aligned(a, b, "key", "value", "value").select("key", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "side")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1
+THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY e2.ts, e.event_id) AS island FROM e JOIN (SELECT event_id AS id2, ts FROM events) e2 ON id2 = event_id)
+SELECT user_id, CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, count(*) AS n FROM i GROUP BY user_id, island""")
+def gaps_islands(t):
+    return rel.islands(t("events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus, max_by(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey")
+def last_write_wins(t):
+    return rel.last_write(t("orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""SELECT p_brand, p_partkey, p_name FROM part QUALIFY row_number() OVER
+(PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%A%' THEN 1 ELSE 0 END, p_size DESC, p_partkey) = 1""")
+def preferred_row(t):
+    late = F.when(F.col("p_type").contains("A"), 1).otherwise(0)
+    return rel.preferred(t("part"), ["p_brand"], [late, F.desc("p_size"), F.col("p_partkey")]).select("p_brand", "p_partkey", "p_name")
+
+
+@query("""SELECT s_suppkey AS key, s_name AS name FROM supplier WHERE s_suppkey > 50 UNION ALL
+SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 50""")
+def manifest_override(t):
+    raw = t("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    newer = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return rel.union_override(raw, newer, key="key")
+
+
+@query("""SELECT n_nationkey, r_name || ' › ' || n_name AS path, 2 AS level FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_regionkey + 1000, r_name, 1 FROM region""")
+def tree_paths(t):
+    nodes = t("nation").select(
+        F.lit(1).alias("doc"), F.col("n_nationkey").alias("node"), (F.col("n_regionkey") + 1000).alias("parent"), F.col("n_name").alias("name")
+    ).union(t("region").select(F.lit(1), F.col("r_regionkey") + 1000, F.lit(None).cast("int"), "r_name"))
+    out = clause_paths(nodes, "doc", "node", "parent", F.col("name"), 4)
+    return out.select(F.col("node").alias("n_nationkey"), "path", "level")
+
+
+@query("""SELECT doc_id, CASE WHEN n > 1 THEN source || ' (' || n || ')' ELSE source END AS unique_number FROM (
+SELECT doc_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
+def repeated_numbers(t):
+    return numbered_again(t("documents"), "lang", "source", "doc_id").select("doc_id", "unique_number")
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) > 8")
+def quote_check(t):
+    asked = t("benchmark").select("item_id", F.col("text").alias("quote"))
+    return val.found_quotes(asked, t("documents").select("doc_id", "text"), "quote", "text", ["doc_id"]).select("item_id", "doc_id")
+
+
+@query("""SELECT item_id, count(doc_id) AS before, count(doc_id) FILTER (WHERE source <> 'src0') AS after
+FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
+def ablation(t):
+    """Passages found before and after a source is taken away."""
+    asked = t("benchmark").select("item_id", F.col("text").alias("quote"))
+    found = val.found_quotes(asked, t("documents"), "quote", "text", ["doc_id", "source"])
+    counts = found.groupBy("item_id").agg(F.count("*").alias("before"), F.count_if(F.col("source") != "src0").alias("after"))
+    out = t("benchmark").select("item_id").join(counts, "item_id", "left")
+    return out.select("item_id", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+fixture(
+    "quote_norm", [("“Lead”  — Pb | 0.01.", '"lead" - pb 0.01'), ("contain-\nment", "containment"), (" A;", "a")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", val.norm_text(F.col("raw")).alias("got")),
+)
+fixture(
+    "number_support", [("Use 5 000 mg of IS 302 [C1], 0.50 and 1,000.", "5000|0.5|1000"), ("no digits", ""), ("6.5 to 8.5", "6.5|8.5")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", F.array_join(val.numbers_in(F.col("raw")), "|").alias("got")),
+)
+fixture(
+    "evidence_strength",
+    [(0, 5.0, 1.0, "none"), (2, 3.5, 0.9, "strong"), (1, 3.5, 0.9, "moderate"), (2, 1.0, 0.6, "moderate"), (3, -1.0, 1.0, "limited"), (2, None, 1.0, "moderate"), (2, 4.0, 0.4, "limited")],
+    "cited int, relevance double, survived double, want string", "VARCHAR",
+    lambda d: d.select("id", val.strength(F.col("cited"), F.col("relevance"), F.col("survived")).alias("got")),
+)
+fixture(
+    "gate",
+    [(0, True, None, None, None, True, False), (3, True, None, None, None, True, True), (3, False, -3.9, None, None, True, True),
+     (3, False, 0.9, None, None, False, False), (3, False, None, 0.7, 0.5, True, True), (3, False, None, 0.7, 0.5, False, False), (3, False, None, 0.5, 1.0, True, False)],
+    "n int, scoped boolean, rerank double, cosine double, coverage double, live boolean, want boolean", "BOOLEAN",
+    lambda d: d.select("id", val.gate(F.col("n"), F.col("scoped"), F.col("rerank"), F.col("cosine"), F.col("coverage"), F.col("live")).alias("got")),
+)
+fixture(
+    "term_coverage", [("helmet strength", "Helmets shall be strong", 0.5), ("bulb wattage", "lamps", 0.0), ("", "x", 1.0)],
+    "words string, text string, want double", "DOUBLE",
+    lambda d: d.select("id", val.coverage(F.filter(F.split("words", " "), lambda w: w != ""), F.col("text")).alias("got")),
+)
+fixture(
+    "strip_addresses", [("see https://a.in/x and http://b.org/y", "see https://a.in/x and "), ("none", "none")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", val.strip_addresses(F.col("raw"), F.array(F.lit("https://a.in"))).alias("got")),
+)
+fixture(
+    "intent",
+    [("hello", "out_of_scope"), ("Compare IS 1 and IS 2", "compare"), ("what does clause 4.2 say", "clause_lookup"), ("I make helmets, what applies?", "applicability"),
+     ("summarise IS 14543", "summarize"), ("testing of helmets", "requirements"), ("which standard covers toys", "discover"), ("what is drinking water", "define"),
+     ("what is the process for a licence", "ask"), ("helmet colours", "ask")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", un.intent(F.col("raw")).alias("got")),
+)
+fixture(
+    "language", [("what is this", "en"), ("यह क्या है", "hi"), ("ಇದು ಏನು", "kn"), ("123", "en")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", un.language(F.col("raw")).alias("got")),
+)
+fixture(
+    "content_terms", [("What is the pH limit of IS 14543 water?", "pH|limit|14543|water"), ("a the", "")],
+    "raw string, want string", "VARCHAR",
+    lambda d: d.select("id", F.array_join(F.filter(un.content_terms(F.col("raw")), lambda w: w != ""), "|").alias("got")),
+)
+fixture(
+    "clause_refs", [("see clause 4.2.1 and Table 3, Annex B", "4.2.1|Table 3|Annex B"), ("sec. A-2", "A-2"), ("none", "")],
+    "raw string, want string", "VARCHAR", lambda d: d.select("id", F.array_join(un.clause_refs(F.col("raw")), "|").alias("got")),
+)
+
+
+@query("""WITH u AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent
+FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CAST(coalesce(len(recent), 0) AS INTEGER) AS n_recent, coalesce(recent[len(recent)], '') AS last_question FROM u""")
+def follow_up_context(t):
+    out = un.follow_ups(t("conversations"))
+    return out.select("conv_id", "turn", F.size("recent").alias("n_recent"), F.coalesce(F.get("recent", F.size("recent") - 1), F.lit("")).alias("last_question"))
+
+
+DRAFT_SOURCES = [
+    ("d1", "C1", "Lead (Pb) shall not exceed 0.01 mg/l in packaged drinking water.", "4.2.1", "IS 14543:2016", 3, 3, False),
+    ("d1", "C2", "Helmets shall pass the impact test at 400 J.", "5", "DEMO-101:2026", 7, 8, True),
+]
+DRAFT_POINTS = [
+    ("d1", 0, "Lead is limited to 0.01 mg/l.", "shall not exceed 0.01 mg/l", ["C1"], None),
+    ("d1", 1, "Lead is limited to 0.05 mg/l.", None, ["C1"], "unsupported number"),
+    ("d1", 2, "Helmets are tested.", None, ["C9"], "no citation"),
+    ("d1", 3, "Lead is limited.", "is strictly forbidden anywhere", ["C1"], "quote not found"),
+    ("d1", 4, "Both are limited.", None, ["C1", "C2"], "sample and official mixed"),
+    ("d1", 5, "IS 9999 limits lead, see clause 4.2.", None, ["C1"], "unknown standard"),
+    ("d1", 6, "Clause 4.2 on page 3 limits lead.", None, ["C1"], None),
+]
+
+
+@query("SELECT point, \"drop\" FROM (VALUES " + ", ".join(f"({p[1]}, {'NULL' if p[5] is None else repr(p[5])})" for p in DRAFT_POINTS) + ') v(point, "drop")')
+def validated_points(t):
+    spark = t("region").sparkSession
+    sources = spark.createDataFrame(DRAFT_SOURCES, "draft string, cid string, text string, clause string, number string, page_start int, page_end int, synthetic boolean")
+    points = spark.createDataFrame([p[:5] for p in DRAFT_POINTS], "draft string, point int, text string, quote string, citations array<string>")
+    return val.checked_points(points, sources).select("point", "drop")
+
+
+@query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_name) AS names, count(*) FILTER (WHERE p_size > 25) AS large FROM part GROUP BY ROLLUP (p_brand)""")
+def ingest_report(t):
+    return t("part").rollup("p_brand").agg(
+        F.count("*").alias("n"), F.count_distinct("p_name").alias("names"), F.count_if(F.col("p_size") > 25).alias("large")
+    )
+
+
+@query("""SELECT p_brand, p_size AS mode_size FROM (SELECT p_brand, p_size, sum(length(p_name)) AS w FROM part GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY w DESC, p_size) = 1""")
+def weighted_mode(t):
+    from quarry.operators.lines import body_style
+
+    return body_style(t("part"), "p_brand", "p_size", "p_name").withColumnRenamed("body_size", "mode_size")
