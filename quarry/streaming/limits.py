@@ -36,8 +36,11 @@ def sliding_limiter(events: DataFrame, key: str, ts: str, id_col: str, limit: in
     return timed.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean")
 
 
-def limiter_stream(events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float) -> DataFrame:
-    """The same over a stream: state is the admitted times within the window, dropped after an idle window."""
+def limiter_stream(
+    events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float, delay: str = "10 minutes"
+) -> DataFrame:
+    """The same over a stream: state is the admitted times within the window, dropped once the watermark (events up to
+    `delay` late) has passed them by a window. Events of one micro-batch are decided in order of time."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_col)}
@@ -50,13 +53,15 @@ def limiter_stream(events: DataFrame, key: str, ts: str, id_col: str, limit: int
         rows = pd.concat(list(frames)).sort_values(["at", id_col])
         allowed, held = admit(rows["at"].tolist(), limit, window, held)
         state.update((list(held),))
-        state.setTimeoutDuration(max(1, int(window * 1000)))
+        end = int((max(held, default=0.0) + window) * 1000) + 1
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: rows[key], id_col: rows[id_col], "allowed": allowed})
 
-    timed = events.select(key, id_col, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+    timed = timed.select(key, id_col, "__ts", (F.unix_micros("__ts") / 1e6).alias("at"))
     return timed.groupBy(key).applyInPandasWithState(
         run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean", "held array<double>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
