@@ -125,8 +125,10 @@ def references(counted: DataFrame, lang_col: str) -> dict[str, tuple[list[int],
     }
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), char_distance,
+def quality_rules(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None
+) -> DataFrame:
+    """The columns `keep` of docs (all by default) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), char_distance,
     word_distance (double, null where a guard or a missing reference leaves them unjudged), base_failed and kept.
 
     A document of a listed language is compared with that language's reference; one of a null or other language with
@@ -138,11 +140,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
              "base_failed", "kept")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in keep or docs.columns if c not in added]
+    base = docs.select(*own, F.col(text_col).alias("__raw"), F.col(lang_col).alias("__lang"))
     counted = written(
-        _base(docs.select(*own), text_col, lang_col).select(*own, *added[:5], "__classes", "__common"), "quality"
+        _base(base, "__raw", "__lang").select(*own, "__lang", *added[:5], "__classes", "__common"), "quality"
     )
-    refs = references(counted, lang_col)
+    refs = references(counted, "__lang")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     if not refs:
         nothing = F.lit(None).cast("double")
@@ -181,7 +184,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

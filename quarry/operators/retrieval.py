@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 K1, B, RRF_K = 1.2, 0.75, 60
 #: A stated set of query vectors is met with all rows; more than this many go through repartitioned blocks.
 MAX_BROADCAST_QUERIES = 1000
+MAX_BROADCAST_TERMS = 100_000
 # Priors of clause kinds by intent, and topics that a question may name.
 INTENT_KIND_PRIORS = {
     "discover": {"scope": 0.012, "front": 0.004, "list": 0.010, "faq": 0.004},
@@ -37,15 +38,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(corpus: DataFrame, id_col: str, columns: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """((id, term, tf) with weighted frequencies, (id, dl) with unweighted lengths over all columns)."""
-    sized = corpus.select(id_col, *[tokens(F.col(c)).alias(f"__{c}") for c in columns])
-    lengths = sized.select(id_col, sum((F.size(f"__{c}") for c in columns), F.lit(0)).alias("dl"))
+def sized(corpus: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
+    """id, the tokens of each column, and dl, their number over all columns."""
+    out = corpus.select(id_col, *[tokens(F.col(c)).alias(f"__{c}") for c in columns])
+    return out.withColumn("dl", sum((F.size(f"__{c}") for c in columns), F.lit(0)))
+
+
+def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
+    """(id, term, tf, dl) of the given terms: frequencies weighted by column, lengths unweighted.
+
+    Terms are counted first; up to MAX_BROADCAST_TERMS are broadcast, so that other tokens are dropped before the
+    shuffle; more are joined by key.
+    """
+    few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    found = sized(corpus, id_col, columns)
     parts = None
     for c, weight in columns.items():
-        part = sized.select(id_col, F.explode(f"__{c}").alias("term"), F.lit(float(weight)).alias("w"))
+        part = found.select(id_col, "dl", F.explode(f"__{c}").alias("term"), F.lit(float(weight)).alias("w"))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(id_col, "term").agg(F.sum("w").alias("tf")), lengths
+    kept = parts.join(F.broadcast(terms) if few else terms, "term")
+    return kept.groupBy(id_col, "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
 
 
 def ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -57,19 +69,18 @@ def ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: int = 40, id_col: str = "doc_id") -> DataFrame:
     """(qid, id, score, rank) of the k best documents for the terms (array) of each query, any term matching.
 
-    Only postings of query terms are kept before frequencies are shuffled; a term in most documents scores 1e-6.
+    Only postings of query terms are shuffled; a term in most documents scores 1e-6.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    found, lengths = postings(corpus, id_col, columns)
-    hits = found.join(wanted.select("term").distinct(), "term", "left_semi")
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = postings(corpus, wanted.select("term").distinct(), id_col, columns)
+    totals = sized(corpus, id_col, columns).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     terms = df.crossJoin(F.broadcast(totals)).select("term", weight.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = (
-        hits.join(terms, "term").join(lengths, id_col).join(wanted, "term")
+        hits.join(terms, "term").join(wanted, "term")
         .groupBy("qid", id_col).agg(F.sum(part).alias("score"))
     )
     return ranked(scores, k, id_col)
