@@ -84,9 +84,9 @@ def sampled(data: np.ndarray, sums: Prefixes, begin: np.ndarray, end: np.ndarray
 
 
 def context_hash(sums: Prefixes, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
-    """32 bits of a context: its bytes, its number of windows and where its anchor lies."""
+    """64 bits of a context: its bytes, its number of windows and where its anchor lies."""
     h = sums.spans(first, first + count - 1 + length)
-    return mix(h + (count << 20 | anchor - first).astype(np.uint64)).astype(np.uint32).astype(np.int32)
+    return mix(h + (count << 20 | anchor - first).astype(np.uint64)).astype(np.int64)
 
 
 def _slices(batch, text_at: int):
@@ -120,7 +120,7 @@ def _anchors(texts: DataFrame, length: int, kmer: int) -> DataFrame:
                 columns = (code.astype(np.int64), ch, t1, t2, (first - begin[owner]).astype(np.int32), count.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kh", "ch", "t1", "t2", "i0", "n"])
 
-    return texts.mapInArrow(run, "kh long, ch int, t1 long, t2 int, i0 int, n int")
+    return texts.mapInArrow(run, "kh long, ch long, t1 long, t2 int, i0 int, n int")
 
 
 class Level:
@@ -224,10 +224,10 @@ def _shards(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
         for (kh, ch, n, a), flags in zip(entries, family.twice):
             out += [(kh, ch, s, e) for s, e in _ranges(flags[a - n + 1 : a + 1][::-1])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["kh", "ch", "s", "e"]
+            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["kh", "ch", "s", "e"]
         )
 
-    return contexts.select("kh", "ch", "n", "a", "ctx").mapInArrow(run, "kh long, ch int, s int, e int")
+    return contexts.select("kh", "ch", "n", "a", "ctx").mapInArrow(run, "kh long, ch long, s int, e int")
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -243,11 +243,11 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
                 w1 = Prefixes(data).spans(o, o + length).astype(np.int64)
                 w2 = Prefixes(data ^ np.uint8(0x5A)).spans(o, o + length).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.full(n, kh), (a - o).astype(np.int32), w1, w2, np.full(n, ch, np.int32), o.astype(np.int32))],
+                    [pa.array(x) for x in (np.full(n, kh), (a - o).astype(np.int32), w1, w2, np.full(n, ch), o.astype(np.int32))],
                     ["kh", "a", "w1", "w2", "ch", "o"],
                 )
 
-    return contexts.select("kh", "ch", "n", "a", "ctx").mapInArrow(run, "kh long, a int, w1 long, w2 long, ch int, o int")
+    return contexts.select("kh", "ch", "n", "a", "ctx").mapInArrow(run, "kh long, a int, w1 long, w2 long, ch long, o int")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int, kmer: int) -> DataFrame:
@@ -258,7 +258,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int, kmer: int) -> Da
     def run(batches):
         import pyarrow as pa
 
-        types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for part, data, begin, end in _slices(batch, 1):
                 first, count, anchor, _ = sampled(data, Prefixes(data), begin, end, length, kmer)
@@ -271,7 +271,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int, kmer: int) -> Da
                         out.append((x["kh"], x["ch"], x["hot"], n, int(anchor[i]) - f, data[f : f + n - 1 + length].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["kh", "ch", "hot", "n", "a", "ctx"])
 
-    return joined.mapInArrow(run, "kh long, ch int, hot boolean, n int, a int, ctx binary")
+    return joined.mapInArrow(run, "kh long, ch long, hot boolean, n int, a int, ctx binary")
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
@@ -331,7 +331,7 @@ def suffix_dedup(docs: DataFrame, keep: list[str], text_col: str = "text", lengt
     Whole texts are read as UTF-8. Defined cases: a null text is empty; texts under `length` bytes lose nothing;
     repeated rows count as occurrences, so long repeated texts vanish wholly; overlapping occurrences within a text
     count. Columns outside keep aren't read. Texts are told apart by a 64-bit hash with their length, k-mers and
-    contexts by 96 bits. An empty table gives an empty result.
+    contexts by 64 bits each (a context within its k-mer). An empty table gives an empty result.
     """
     fields = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     names = [c for c in keep if c not in fields]
