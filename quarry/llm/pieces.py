@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding of whole columns, by suffix-array matching.
 
-A batch's distinct segments (a run of blanks and what follows it up to the next blank or line end; no piece crosses
-such a border) are concatenated and indexed by a suffix array. Every piece's occurrence range is found by binary
-search, the resulting edges are sorted by position and relaxed from left to right. For a byte-pair model an edge is
-accepted where its piece may stand behind the last piece of the text before it: no merge across their border would
-have come first. Exactly one edge per position passes, which makes the result equal to merging pair by pair.
+The distinct segments (a run of blanks and what follows it up to the next blank or line end; no piece crosses such a
+border) of a batch are concatenated, INDEXED characters at a time, and indexed by a suffix array. Every piece's
+occurrence range is found by binary search, the resulting edges are sorted by position and relaxed from left to right.
+For a byte-pair model an edge is accepted where its piece may stand behind the last piece of the text before it: no
+merge across their border would have come first. Exactly one edge per position passes, which makes the result equal to merging pair by pair.
 
 The model file is read on the driver; executors get its tables with the task.
 """
@@ -28,6 +28,8 @@ BLANK, END = "▁", 0xFF  # the mark that stands for a blank; a byte that UTF-8
 NONE = np.int64(1) << 40
 #: Segments that a worker keeps with their ids, and slots of its table of piece pairs.
 SEGMENTS_KEPT, PAIR_SLOTS = 400_000, 1 << 21
+#: Characters of new segments that are indexed together; their edges take some hundred bytes a character.
+INDEXED = 1 << 17
 _SEGMENT = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
 
@@ -316,7 +318,12 @@ def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarr
 def encode_segments(model: PieceModel, segments: list[str]) -> None:
     """Add the ids of segments that aren't known yet to what the model has kept."""
     plain = [s for s in segments if not s.startswith(BLANK * 2)]
-    ids, counts = _relax(model, plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    size = np.cumsum([len(s) for s in plain])
+    cuts = np.searchsorted(size, np.arange(INDEXED, size[-1], INDEXED), "right") if plain else np.zeros(0, np.int64)
+    cuts = np.unique([0, *cuts, len(plain)]).astype(int)
+    done = [_relax(model, plain[a:b]) for a, b in zip(cuts, cuts[1:])]
+    ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in done)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(x for _, x in done)])
     runs = []
     for s in (s for s in segments if s.startswith(BLANK * 2)):  # pieces of equal rank: merge pair by pair
         out: list[int] = []
