@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as ev
@@ -53,6 +55,12 @@ def bm25_weighted_columns(t):
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def vectors(t, whole: bool = False):
+    """The first three rows as queries, or every row whose id is divisible by 100."""
+    asked = t("embeddings").where("vec_id % 100 = 0" if whole else "vec_id < 3")
+    return asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _COSINE = f"""cosine AS (SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank
   FROM (SELECT q.vec_id AS qid, e.vec_id, {_DOT.format("e.embedding", "q.embedding")} AS score
@@ -60,17 +68,15 @@ _COSINE = f"""cosine AS (SELECT qid, vec_id, score, rank FROM (SELECT *, row_num
 
 
 @query(f"WITH {_COSINE} SELECT qid, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM cosine")
-def cosine_top40(t):
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return rt.cosine_topk(t("embeddings"), asked).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
+def cosine_top40(t, whole=False):
+    return rt.cosine_topk(t("embeddings"), vectors(t, whole)).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"""SELECT q.vec_id AS qid, e.vec_id, round({_DOT.format("e.embedding", "q.embedding")}, 5) AS score
 FROM embeddings e, embeddings q WHERE q.vec_id < 3 AND e.label = 1
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format("e.embedding", "q.embedding")} DESC, e.vec_id) <= 10""")
-def cosine_filtered(t):
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return rt.cosine_topk(t("embeddings").where("label = 1"), asked, 10).select("qid", "vec_id", F.round("score", 5).alias("score"))
+def cosine_filtered(t, whole=False):
+    return rt.cosine_topk(t("embeddings").where("label = 1"), vectors(t, whole), 10).select("qid", "vec_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""SELECT vec_id, round(sqrt({_DOT.format("embedding", "embedding")}), 4) AS norm,
@@ -95,7 +101,7 @@ SELECT CAST(qid AS INTEGER) AS qid, doc_id, round(total, 6) AS total, CAST(rank
 def hybrid_retrieval(t):
     """BM25 and cosine lists, fused by reciprocal ranks, boosted by the question's language, best eight."""
     lexical = rt.bm25(t("documents"), questions(t), {"text": 1.0})
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("vector"))
+    asked = vectors(t).withColumn("qid", F.col("qid").cast("int"))
     near = rt.cosine_topk(t("embeddings"), asked).select("qid", F.col("vec_id").alias("doc_id"), "rank")
     fused = rt.rrf(lexical, near).join(t("documents").select("doc_id", "lang"), "doc_id")
     own = ((F.col("qid") == 0) & (F.col("lang") == "en")) | ((F.col("qid") == 1) & (F.col("lang") == "de")) | ((F.col("qid") == 2) & (F.col("lang") == "fr"))
@@ -105,13 +111,13 @@ def hybrid_retrieval(t):
 
 
 @query(f"WITH {_COSINE} SELECT label, max(round(score, 5)) AS best, min(rank) AS first_rank, count(*) AS n FROM cosine JOIN embeddings USING (vec_id) WHERE qid = 0 GROUP BY label")
-def group_best(t):
-    asked = t("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def group_best(t, whole=False):
+    asked = vectors(t, whole) if whole else vectors(t).where("qid = 0")
     found = rt.cosine_topk(t("embeddings"), asked).join(t("embeddings").select("vec_id", "label"), "vec_id")
     best = rt.grouped_best(found, "label", "vec_id")
-    first = found.select("vec_id", "rank")
-    return best.join(first, best["first_id"] == first["vec_id"]).select(
-        "label", F.round("best", 5).alias("best"), F.col("rank").cast("long").alias("first_rank"), F.size("ids").cast("long").alias("n")
+    first = found.select("qid", F.col("vec_id").alias("first_id"), "rank")
+    return best.join(first, ["qid", "first_id"]).select(
+        *(["qid"] if whole else []), "label", F.round("best", 5).alias("best"), F.col("rank").cast("long").alias("first_rank"), F.size("ids").cast("long").alias("n")
     )
 
 
@@ -131,18 +137,16 @@ def centroid_related(t):
 @query(f"""WITH {_COSINE} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY late, rank) AS INTEGER) AS pos FROM (
 SELECT c.*, CASE WHEN label % 2 = 1 AND sum(label % 2) OVER (PARTITION BY qid ORDER BY rank) > 3 THEN 1 ELSE 0 END AS late
 FROM cosine c JOIN embeddings USING (vec_id))""")
-def stray_demotion(t):
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    found = rt.cosine_topk(t("embeddings"), asked).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
+def stray_demotion(t, whole=False):
+    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
     return rt.demoted(found, F.col("label") % 2 == 1).select("qid", "vec_id", "pos")
 
 
 @query(f"""WITH {_COSINE} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank > 16 THEN 1 ELSE 0 END,
 CASE WHEN rank <= 16 THEN label + 20 * (CASE WHEN label = 3 THEN 0.02 ELSE 0.0 END) END DESC NULLS LAST, rank) AS INTEGER) AS pos
 FROM cosine JOIN embeddings USING (vec_id)""")
-def rerank_head(t):
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    found = rt.cosine_topk(t("embeddings"), asked).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
+def rerank_head(t, whole=False):
+    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
     boost = F.when(F.col("label") == 3, 0.02).otherwise(0.0)
     return rt.reranked_head(found, F.col("label").cast("double"), boost).select("qid", "vec_id", "pos")
 
@@ -164,14 +168,20 @@ ranks AS (SELECT t.qid, min(c.rank) AS rank FROM truth t LEFT JOIN cosine c ON c
 SELECT count(*) AS n, round_even(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 3) AS recall_at_5,
 round_even(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 3) AS mrr_at_10,
 round_even(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 3) AS hit_at_1 FROM ranks""")
-def ranking_metrics(t):
-    asked = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    found = rt.cosine_topk(t("embeddings"), asked).withColumnRenamed("vec_id", "id")
-    a = t("embeddings").where("vec_id < 3").select(F.col("vec_id").alias("qid"), "label")
+def ranking_metrics(t, whole=False):
+    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).withColumnRenamed("vec_id", "id")
+    a = vectors(t, whole).join(t("embeddings").select(F.col("vec_id").alias("qid"), "label"), "qid").select("qid", "label")
     truth = a.join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "label").where("qid <> id").select("qid", "id")
     return ev.ranking_metrics(ev.hit_ranks(found, truth))
 
 
+#: The same plans over the whole query set, without SQL: tested against brute force.
+for _plan in (
+    cosine_top40, cosine_filtered, group_best, stray_demotion, rerank_head, ranking_metrics,
+):
+    query(name=f"{_plan.__name__}_whole")(partial(_plan, whole=True))
+
+
 @query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
 count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, min(CASE WHEN i = round_even(0.5 * (n - 1), 0) THEN value END) AS p50,
