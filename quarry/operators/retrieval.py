@@ -14,6 +14,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 #: A stated set of query vectors is met with all rows; more than this many go through repartitioned blocks.
 MAX_BROADCAST_QUERIES = 1000
 MAX_BROADCAST_TERMS = 100_000
+#: Postings of a more frequent term are dealt over several tasks when they meet the queries.
+SALT_POSTINGS = 20_000
 # Priors of clause kinds by intent, and topics that a question may name.
 INTENT_KIND_PRIORS = {
     "discover": {"scope": 0.012, "front": 0.004, "list": 0.010, "faq": 0.004},
@@ -48,7 +50,8 @@ def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str
     """(id, term, tf, dl) of the given terms: frequencies weighted by column, lengths unweighted.
 
     Terms are counted first; up to MAX_BROADCAST_TERMS are broadcast, so that other tokens are dropped before the
-    shuffle; more are joined by key.
+    shuffle. With more, the postings of all terms are returned: a join of single tokens by term would put a frequent
+    term into one task, and those who use postings drop the others by their own join.
     """
     few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
     found = sized(corpus, id_col, columns)
@@ -56,7 +59,7 @@ def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str
     for c, weight in columns.items():
         part = found.select(id_col, "dl", F.explode(f"__{c}").alias("term"), F.lit(float(weight)).alias("w"))
         parts = part if parts is None else parts.unionByName(part)
-    kept = parts.join(F.broadcast(terms) if few else terms, "term")
+    kept = parts.join(F.broadcast(terms), "term") if few else parts
     return kept.groupBy(id_col, "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -69,7 +72,8 @@ def ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: int = 40, id_col: str = "doc_id") -> DataFrame:
     """(qid, id, score, rank) of the k best documents for the terms (array) of each query, any term matching.
 
-    Only postings of query terms are shuffled; a term in most documents scores 1e-6.
+    A term in most documents scores 1e-6. A term of over SALT_POSTINGS documents is salted: its postings are dealt by
+    document over parts, and the queries that ask for it are repeated for each part.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     hits = postings(corpus, wanted.select("term").distinct(), id_col, columns)
@@ -77,12 +81,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: in
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    terms = df.crossJoin(F.broadcast(totals)).select("term", weight.alias("idf"), "avgdl")
+    parts = F.ceil(F.col("df") / SALT_POSTINGS).cast("int")
+    terms = df.crossJoin(F.broadcast(totals)).select("term", weight.alias("idf"), "avgdl", parts.alias("__parts"))
+    asked = wanted.join(terms, "term").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    frequent = df.where(F.col("df") > SALT_POSTINGS).select("term", parts.alias("__of"))
+    salt = F.pmod(F.xxhash64(id_col), F.coalesce("__of", F.lit(1))).cast("int")
+    dealt = hits.join(F.broadcast(frequent), "term", "left").withColumn("__salt", salt)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = (
-        hits.join(terms, "term").join(wanted, "term")
-        .groupBy("qid", id_col).agg(F.sum(part).alias("score"))
-    )
+    scores = dealt.join(asked, ["term", "__salt"]).groupBy("qid", id_col).agg(F.sum(part).alias("score"))
     return ranked(scores, k, id_col)
 
 
