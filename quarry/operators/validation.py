@@ -11,6 +11,8 @@ from quarry.functions.identifiers import NUMBER_PATTERN, all_numbers, base_numbe
 PLAIN_NUMBER = r"(?<![\w.])(\d{1,3}(?:[ ,]\d{3})+|\d+(?:\.\d+)?)(?![\w.]*\d)"
 CITATION = r"\[(C\d{1,2})\]"
 ADDRESS = r"https?://[^\s)\]>\"']+"
+#: More quotes of one or two words than this are met without a broadcast.
+MAX_BROADCAST_SHORT = 1000
 STRONG_MIN, MODERATE_MIN = 3.0, 0.0
 GATE = {"reranked_live": -4.0, "reranked_extractive": 1.0, "cosine": 0.62, "coverage": 0.6}
 
@@ -110,16 +112,30 @@ def coverage(words: Column, passages: Column, prefix: int = 5) -> Column:
 
 
 def found_quotes(quotes: DataFrame, passages: DataFrame, quote: str, text: str, keys: list[str]) -> DataFrame:
-    """(quote's columns, passage's keys) where a passage holds a quote word for word.
+    """(quote's columns, passage's keys) where a passage holds a quote letter for letter.
 
-    Both sides meet on hashed runs of eight words, so that no pair without a common run is compared.
+    Both sides meet on hashed runs of a quote's inner words, which stand whole in every passage that holds it, as its
+    first and last may be parts of longer ones: words 2 to 9 of a quote of ten or more, all inner words of one of three
+    to nine. So no pair without a common run is compared. Quotes of one or two words have no inner word and meet every
+    passage; quotes are counted by length first, and up to MAX_BROADCAST_SHORT of these are broadcast.
     """
-    runs = lambda c: F.expr(
-        f"transform(sequence(0, greatest(size({c}) - 8, 0)), i -> xxhash64(array_join(slice({c}, i + 1, 8), ' ')))"
-    )
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    asked = quotes.withColumn("__w", words(F.col(quote))).where(F.size("__w") > 8)
-    asked = asked.withColumn("__run", F.expr("xxhash64(array_join(slice(__w, 2, 8), ' '))")).drop("__w")
-    given = passages.select(*keys, text, words(F.col(text)).alias("__w")).withColumn("__run", F.explode(F.array_distinct(runs("__w"))))
-    met = given.drop("__w").join(asked, "__run").where(F.col(text).contains(F.col(quote)))
-    return met.drop("__run", text).distinct()
+    asked = quotes.withColumn("__w", words(F.col(quote))).where(F.col(quote).isNotNull())
+    asked = asked.withColumn("__n", F.least(F.greatest(F.size("__w") - 2, F.lit(0)), F.lit(8)))
+    counts = {r["__n"]: r["count"] for r in asked.groupBy("__n").count().collect()}
+    short = asked.where("__n = 0").drop("__w", "__n")
+    given = passages.select(*keys, text)
+    holds = F.col(text).contains(F.col(quote))
+    few = counts.get(0, 0) <= MAX_BROADCAST_SHORT
+    met = given.crossJoin(F.broadcast(short) if few else short).where(holds).drop(text) if 0 in counts else None
+    lengths = sorted(n for n in counts if n > 0)
+    if lengths or met is None:
+        runs = [
+            F.expr(f"transform(sequence(0, greatest(size(__w) - {n}, 0)), i -> xxhash64(array_join(slice(__w, i + 1, {n}), ' ')))")
+            for n in lengths or [8]
+        ]
+        long_ = asked.where("__n > 0").withColumn("__run", F.expr("xxhash64(array_join(slice(__w, 2, __n), ' '))")).drop("__w", "__n")
+        seen = given.withColumn("__w", words(F.col(text))).withColumn("__run", F.explode(F.array_distinct(F.concat(*runs)))).drop("__w")
+        by_run = seen.join(long_, "__run").where(holds).drop("__run", text)
+        met = by_run if met is None else met.unionByName(by_run)
+    return met.distinct()
