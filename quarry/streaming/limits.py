@@ -23,17 +23,35 @@ def admit(times: list[float], limit: int, window: float, held: deque | None = No
     return out, held
 
 
-def sliding_limiter(events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float) -> DataFrame:
-    """(key, id, allowed) over a bounded table; a key's state is its last `limit` admitted times."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", id_col])
-        allowed, _ = admit(rows["at"].tolist(), limit, window)
-        return pd.DataFrame({key: rows[key], id_col: rows[id_col], "allowed": allowed})
+def in_order(events: DataFrame, key: str, ts: str, id_col: str, flag: str, decide) -> DataFrame:
+    """(key, id, flag) with decide(times, state) -> (flags, state) run over each key's events in order of (time, id).
 
-    timed = events.select(key, id_col, F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).withColumn("at", F.col("at") / 1e6)
+    Spark sorts, with spill; a key's events pass in Arrow batches and only its state is carried from one to the next,
+    so a key of any size takes the memory of a batch.
+    """
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_col)}
-    return timed.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean")
+    timed = events.select(key, id_col, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    rows = timed.repartition(key).sortWithinPartitions(F.col(key), F.col("at").asc_nulls_last(), F.col(id_col).asc_nulls_last())
+
+    def run(batches):
+        last, state = object(), None
+        for batch in batches:
+            keys, times, flags, start = [None if pd.isna(k) else k for k in batch[key].tolist()], batch["at"].tolist(), [], 0
+            while start < len(keys):
+                end = start
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                decided, state = decide(times[start:end], state if keys[start] == last else None)
+                flags += decided
+                last, start = keys[start], end
+            yield batch[[key, id_col]].assign(**{flag: flags})
+
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, {flag} boolean")
+
+
+def sliding_limiter(events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float) -> DataFrame:
+    """(key, id, allowed) over a bounded table; a key's state is its last `limit` admitted times."""
+    return in_order(events, key, ts, id_col, "allowed", lambda times, held: admit(times, limit, window, held))
 
 
 def limiter_stream(
@@ -88,14 +106,11 @@ def within_ttl(events: DataFrame, key: str, ts: str, tie: str, seconds: int) ->
     A refill happens at a miss, so hits are decided per key in order.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", tie])
-        hits, filled = [], None
-        for t in rows["at"]:
+    def decide(times, filled):
+        hits = []
+        for t in times:
             hits.append(filled is not None and t - filled < seconds)
             filled = filled if hits[-1] else t
-        return pd.DataFrame({key: rows[key], tie: rows[tie], "hit": hits})
+        return hits, filled
 
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, tie)}
-    timed = events.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, hit boolean")
+    return in_order(events, key, ts, tie, "hit", decide)
