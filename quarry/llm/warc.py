@@ -24,7 +24,12 @@ from quarry.llm.common import table
 VERSION, CRLF = "WARC/1.1", "\r\n"
 #: Capture date of pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+# A head without a closing tag ends, as in HTML, before the first text or element that can't be in a head.
+_HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
+    r"<head\b[^>]*>(?:.*?</head\s*>|(?:\s|<!--.*?-->|</?(?:meta|link|base)\b[^>]*>|"
+    r"<(title|script|style|noscript|template)\b[^>]*>.*?</\2\s*>)*)", re.I | re.S,
+)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|"
     r"html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I,

@@ -75,11 +75,24 @@ class _Blocks(HTMLParser):
             self.plain |= bool(data.strip()) and not self.bold
 
 
+def _area(html: str, tag: str) -> str | None:
+    """The first element of this tag, up to the closing tag that matches; none where it isn't closed."""
+    start, depth = None, 0
+    for found in re.finditer(rf"(?i)<(/?){tag}\b[^>]*>", html):
+        if not found[1]:
+            start, depth = found.start() if start is None else start, depth + 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                return html[start : found.end()]
+    return None
+
+
 def page_clauses(html: str) -> list[tuple[str, str, str]]:
     """(number, heading, text): the first h1 is the title; later headings and short bold paragraphs open clauses "§n"."""
-    body = re.search(r"(?is)<(article|main)\b.*?</\1\s*>", html)
+    body = _area(html, "main") or _area(html, "article")
     parser = _Blocks()
-    parser.feed(body[0] if body else re.sub(r"(?is)<head\b.*?</head\s*>", "", html))
+    parser.feed(body if body else re.sub(r"(?is)<head\b.*?</head\s*>", "", html))
     parser.flush()
     out: list[list[str]] = [["front", "", ""]]
     title_seen = False
