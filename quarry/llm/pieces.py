@@ -416,4 +416,4 @@ def decode_ids(tokens: DataFrame, model: PieceModel, keep: list[str], ids_col: s
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), load(model_path), ["doc_id"], with_ids=False)
+    return encode_texts(table(spark, sf_dir, "documents"), load(model_path), ["doc_id"])
