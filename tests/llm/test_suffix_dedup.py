@@ -57,14 +57,50 @@ def planted(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("hot,batch", [(2048, 4096), (3, 4096), (2048, 7)])
-def test_planted_passages_by_every_way(spark, monkeypatch, hot, batch):
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize("shard,batch,parts", [(1024, 1024, 4), (3, 1024, 4), (2, 5, 2), (1024, 7, 4)])
+def test_planted_passages_by_every_way(spark, monkeypatch, shard, batch, parts):
+    monkeypatch.setattr(sd, "SHARD", shard)
     monkeypatch.setattr(sd, "BATCH", batch)
-    texts = planted(hot + batch)
+    monkeypatch.setattr(sd, "PARTS", parts)
+    texts = planted(shard + batch)
     assert run(spark, texts) == brute(texts)
 
 
+def test_a_kmer_with_thousands_of_contexts(spark):
+    rng = random.Random(5)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line = noise(190)
+    texts = [noise(60) + line + noise(60) for _ in range(5000)]
+    texts += [noise(40) + texts[7][30:260] + noise(40), texts[9][50:280], noise(20) + line + texts[11][250:] + "z"]
+    assert run(spark, texts) == brute(texts)
+
+
+def test_a_long_text_is_read_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    long_ = noise(60_000)
+    texts = [long_, long_[16_200:16_700] + noise(100), noise(30) + long_[49_000:49_300], "a" * 40_000, noise(500)]
+    monkeypatch.setattr(sd, "SLICE", 1 << 14)
+    data = np.frombuffer(long_.encode(), np.uint8)
+    first, count, *_ = sd.anchored(data, np.array([0]), np.array([len(data)]))
+    assert sorted(i for f, n in zip(first, count) for i in range(f, f + n)) == list(range(len(data) - 199))
+    assert run(spark, texts) == brute(texts)
+
+
+def test_index_over_batches(spark, tmp_path):
+    texts = planted(11, 50)
+    batches = [texts[:30], texts[30:36], texts[36:42], texts[42:48], texts[48:], [None, ""]]
+    seen = []
+    for i, batch in enumerate(batches):
+        index = sd.SuffixIndex(spark, str(tmp_path / "index"))  # opened anew: the levels are in tables
+        assert index.version == i
+        docs = spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string")
+        got = sorted(index.dedup(docs, ["doc_id"], with_text=False).collect(), key=lambda r: r.doc_id)
+        seen += batch
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(seen)[-len(batch) :]
+    assert 1 <= len(index.levels) < len(batches)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 50])
 def test_family_finds_the_same_at_any_batch_size(batch):
     rng = random.Random(9)
