@@ -6,6 +6,11 @@ occurrence range is found by binary search, the resulting edges are sorted by po
 For a byte-pair model an edge is accepted where its piece may stand behind the last piece of the text before it: no
 merge across their border would have come first. Exactly one edge per position passes, which makes the result equal to merging pair by pair.
 
+A segment of over LONG bytes (text without blanks) is cut into parts that are relaxed side by side, each from somewhat
+before its start. What may follow at a place depends on no more than the last pieces before it, so a part whose pieces
+agree with those of the part before it over the longest piece's length is right from there on; one that doesn't agree
+is relaxed again from where the part before it ended.
+
 The model file is read on the driver; executors get its tables with the task.
 """
 
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 import itertools
 import re
 from dataclasses import dataclass, field
@@ -26,15 +32,18 @@ from quarry.llm.common import map_texts, table
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, END = "▁", 0xFF  # the mark that stands for a blank; a byte that UTF-8 never has
 NONE = np.int64(1) << 40
-#: Segments that a worker keeps with their ids, and slots of its table of piece pairs.
-SEGMENTS_KEPT, PAIR_SLOTS = 400_000, 1 << 21
+#: Segments that a worker keeps with their ids, ids that it keeps, and slots of its table of piece pairs.
+SEGMENTS_KEPT, IDS_KEPT, PAIR_SLOTS = 400_000, 1 << 23, 1 << 21
 #: Characters of new segments that are indexed together; their edges take some hundred bytes a character.
 INDEXED = 1 << 17
+#: Bytes of a long segment, of its parts, and by how much a part begins early.
+LONG, PART, EARLY = 8192, 2048, 256
 _SEGMENT = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
 
 def merge_all(symbols: list[str], rank: dict[str, int], trace: dict[int, tuple[str, str]] | None = None) -> list[str]:
-    """Pair merging as such: always the adjacent pair of the best rank, the leftmost of equals. trace gets last merge."""
+    """Pair merging as such: always the adjacent pair of the best rank, the leftmost of equals. trace gets the last
+    merge. It splits the model's pieces when a model is loaded; texts are encoded by their edges."""
     parts: list[str | None] = list(symbols)
     left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
     heap: list[tuple[int, int, str, int]] = []
@@ -255,9 +264,12 @@ def _may_follow(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return good
 
 
-def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts): the ids of all segments one after another; none is empty or begins with two blanks."""
-    raw = [s.encode("utf-8", "replace") for s in segments]
+def _last_pieces(model: PieceModel, raw: list[bytes], known: np.ndarray | None = None):
+    """(begin, length, last, reach): for each place behind a segment's start the last piece (id, -1 for none) of the
+    text up to there, and its bytes. Segments lie side by side, `begin` is where each starts.
+
+    known gives the last pieces at the first places of a single segment whose true start lies further back.
+    """
     length = np.array(list(map(len, raw)))
     begin = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
     data = np.frombuffer(bytes([END]).join(raw) + bytes([END]) * 9, np.uint8)
@@ -281,11 +293,15 @@ def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarr
     longest = int(length.max())
     by_step = np.argsort(step.astype(np.uint16) if longest < 1 << 16 else step, kind="stable")
     start, stop, code, plain = start[by_step], stop[by_step], code[by_step], plain[by_step]
-    fresh = start == head[by_step]
+    fresh = (start == head[by_step]) & (known is None)
     cuts = np.searchsorted(step[by_step], np.arange(1, longest + 2))
     last = np.full(len(data) + 1, -1, np.int64)
     behind_plain = np.zeros(len(data) + 1, bool)
     reach = np.zeros(len(data) + 1, np.int32)
+    if known is not None:
+        last[: len(known)] = known
+        behind_plain[: len(known)] = (known >= 0) & ~np.isin(known, model.byte_id)
+        cuts = cuts[len(known) - 1 :]
     for a, b in zip(cuts, cuts[1:]):
         if a == b:
             continue
@@ -298,6 +314,12 @@ def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarr
         good[ask] = _may_follow(model, before[ask], c[ask])
         e = stop[a:b][good]
         last[e], behind_plain[e], reach[e] = c[good], p[good], e - s[good]
+    return begin, length, last, reach
+
+
+def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts): the ids of all segments one after another; none is empty."""
+    begin, length, last, reach = _last_pieces(model, [s.encode("utf-8", "replace") for s in segments])
     # Walk back from each segment's end, all segments at once.
     place = begin + length
     live = np.flatnonzero(length > 0)
@@ -315,35 +337,62 @@ def _relax(model: PieceModel, segments: list[str]) -> tuple[np.ndarray, np.ndarr
     return found[by].astype(np.int32), np.bincount(whose, minlength=len(segments))
 
 
+def _relax_long(model: PieceModel, segment: str) -> np.ndarray:
+    """The ids of one long segment, part by part. Its tables take some seven bytes a byte."""
+    raw = segment.encode("utf-8", "replace")
+    deep = int(model.size.max())
+
+    def border(at: int) -> int:
+        """The start of the character at a place."""
+        while at > 0 and at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return max(at, 0)
+
+    cuts = sorted({border(c) for c in range(0, len(raw), PART)})
+    parts = [(border(c - EARLY) if c else 0, c, e) for c, e in zip(cuts, [*cuts[1:], len(raw)])]
+    last, reach = np.full(len(raw) + 1, -1, np.int32), np.zeros(len(raw) + 1, np.uint16)
+    together = max(1, INDEXED // (PART + EARLY))
+    for i in range(0, len(parts), together):
+        some = parts[i : i + together]
+        begin, _, found, back = _last_pieces(model, [raw[s:e] for s, _, e in some])
+        for b, (s, c, e) in zip(begin, some):
+            own, size = found[b : b + e - s + 1], back[b : b + e - s + 1]
+            if c and not (c - s >= deep and (own[c - s - deep + 1 : c - s + 1] == last[c - deep + 1 : c + 1]).all()):
+                s = border(c - deep)
+                _, _, own, size = _last_pieces(model, [raw[s:e]], last[s : c + 1])
+            last[c + 1 : e + 1], reach[c + 1 : e + 1] = own[c - s + 1 : e - s + 1], size[c - s + 1 : e - s + 1]
+    out, at, which, step = array("i"), len(raw), memoryview(last), memoryview(reach)
+    while at > 0:
+        if which[at] < 0:
+            raise ValueError("a segment has no encoding")
+        out.append(which[at])
+        at -= step[at]
+    return np.frombuffer(out, np.int32)[::-1]
+
+
 def encode_segments(model: PieceModel, segments: list[str]) -> None:
     """Add the ids of segments that aren't known yet to what the model has kept."""
-    plain = [s for s in segments if not s.startswith(BLANK * 2)]
+    plain = [s for s in segments if len(s) <= LONG // 4]
+    long_ = [s for s in segments if len(s) > LONG // 4]
     size = np.cumsum([len(s) for s in plain])
     cuts = np.searchsorted(size, np.arange(INDEXED, size[-1], INDEXED), "right") if plain else np.zeros(0, np.int64)
     cuts = np.unique([0, *cuts, len(plain)]).astype(int)
     done = [_relax(model, plain[a:b]) for a, b in zip(cuts, cuts[1:])]
     ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in done)])
     counts = np.concatenate([np.zeros(0, np.int64), *(x for _, x in done)])
-    runs = []
-    for s in (s for s in segments if s.startswith(BLANK * 2)):  # pieces of equal rank: merge pair by pair
-        out: list[int] = []
-        for p in merge_all(list(s), model.rank):
-            i = model.id_of.get(p)
-            out += [i] if i is not None else [int(model.byte_id[b]) for b in p.encode("utf-8", "replace")]
-        plain.append(s)
-        runs.append(np.array(out, np.int32))
-    counts = np.concatenate([counts, np.array(list(map(len, runs)), np.int64)])
+    apart = [_relax_long(model, s) for s in long_]
+    counts = np.concatenate([counts, np.array(list(map(len, apart)), np.int64)])
     base = len(model.kept_counts)
-    model.kept_ids = np.concatenate([model.kept_ids, ids, *runs])
+    model.kept_ids = np.concatenate([model.kept_ids, ids, *apart])
     model.kept_counts = np.concatenate([model.kept_counts, counts])
-    model.kept.update(zip(plain, range(base, base + len(plain))))
+    model.kept.update(zip([*plain, *long_], range(base, base + len(plain) + len(long_))))
 
 
 def encode(model: PieceModel, texts: list[str]) -> list[np.ndarray]:
     """Ids of whole texts. An empty text has none."""
     cut = [_SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     new = set().union(*cut).difference(model.kept)
-    if len(model.kept) + len(new) > SEGMENTS_KEPT:
+    if len(model.kept) + len(new) > SEGMENTS_KEPT or len(model.kept_ids) > IDS_KEPT:
         model.forget()
         new = set().union(*cut)
     if new:
@@ -371,7 +420,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str], text_col:
     """The columns `keep` of docs with ids (array<int>, if with_ids), n_tokens long, ids_sha256 (of the ids as
     little-endian 32-bit integers), decoded_sha256 (of the text that decoding gives) and round_trip boolean.
 
-    Whole texts are encoded. Defined cases: a null or empty text has no ids, decodes to the empty text and makes the
+    Whole texts are encoded, very long ones and those without a blank too. Defined cases: a null or empty text has no ids, decodes to the empty text and makes the
     round trip; a text with the character U+2581 doesn't, as the model takes it for a blank. Repeated rows are encoded
     alike; columns outside keep aren't read; an empty table gives an empty result.
     """

@@ -35,6 +35,30 @@ def test_small_memory_of_segments_changes_nothing(model, reference, monkeypatch)
         assert list(pieces.encode(model, [text])[0]) == reference.encode(text)
 
 
+def test_texts_without_blanks_and_runs_of_blanks(model, reference):
+    rng = random.Random(9)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = "".join(pieces.load(pieces.DEFAULT_MODEL).id_of).replace(pieces.BLANK, "").replace("\n", "")
+    texts = [pick(base64, 30_000), pick("日本語漢字かなカナ中文字", 9_000), pick("é🙂ab", 12_000), "a" * 20_000, "abc" * 7_000, prose[:40_000]]
+    texts += [pick(prose, 20_000), "x" + " " * 9_000 + "y", " " * 17, "\n".join(" " * n + "def" for n in range(120)), pick("ab", 8_200) + " " + pick("ab", 50)]
+    for text, ids in zip(texts, pieces.encode(model, texts)):
+        assert list(ids) == reference.encode(text), text[:40]
+
+
+def test_long_text_without_a_blank_in_bounded_memory(model, reference):
+    import resource
+    import time
+
+    rng = random.Random(10)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000_000))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    ids = pieces.encode(model, [text])[0]
+    assert pieces.decode(model, ids) == text.encode() and time.perf_counter() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+    assert list(ids[:1000]) == reference.encode(text[:20_000])[:1000]
+
+
 def test_suffix_array_sorts_suffixes():
     raw = bytes(random.Random(1).choice(b"ab\xff") for _ in range(300)) + b"\xff" * 9
     order, _ = pieces.suffix_array(np.frombuffer(raw, np.uint8), 16)
