@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = " \t\n\x0b\x0c\r"
@@ -22,9 +24,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (local tests)."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where none is named, a local master has a temporary one; a cluster raises ValueError, as its executors would write
+    to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quarry-"))
         folder = _own[0]
@@ -39,6 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drawn(rows: DataFrame, group: str, id_col: str, counts: dict, each: int) -> DataFrame:
+    """`each` rows of every group at most (all of a smaller one), drawn by a hash of the id, with their place __rank.
+
+    counts gives the groups' sizes. Three times the expected share passes a test of the hash and is then ranked, so
+    neither a group nor the table is sorted whole.
+    """
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * each / n))])
+    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.where(draw < F.coalesce(F.element_at(share, F.col(group)), F.lit(0.0)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id_col, F.lit("sample")), id_col))
+    return some.withColumn("__rank", rank).where(F.col("__rank") <= each)
+
+
 def crc32_mod(column: Column | str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo; null where the column is null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -2,7 +2,7 @@
 
 A text's subwords are the byte n-grams of its letters, hashed into a fixed number of buckets. The model averages the
 buckets' embeddings and applies a linear softmax; it is trained on the driver by stochastic gradient descent in numpy,
-on a bounded sample (SAMPLE texts in all) that executors have already reduced to bucket counts. As the softmax is
+on a bounded sample (SAMPLE texts in all, or LEAST of each of more than 40 languages) that executors have already reduced to bucket counts. As the softmax is
 linear, embedding and weights fold into one score table, which executors sum over whole texts.
 """
 
@@ -15,14 +15,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField
-from pyspark.sql.window import Window
 
-from quarry.llm.common import crc32_mod, map_texts, table
+from quarry.llm.common import crc32_mod, drawn, map_texts, table
 
 BUCKETS, WIDTH, GRAMS, SEED = 1 << 13, 16, (3, 4), 5
-#: Texts for training and calibration together, shared equally by the languages, and languages at most (the most
-#: frequent ones). A text comes to the driver as at most BUCKETS pairs of a bucket and a share.
-SAMPLE, LANGUAGES = 2400, 200
+#: Texts for training and calibration together, shared equally by the languages, and texts that a language has at
+#: least (if it occurs as often). A text comes to the driver as at most BUCKETS pairs of a bucket and a share.
+SAMPLE, LEAST = 2400, 60
 #: A prediction is rejected under the smallest confidence at which the calibration texts reach this precision.
 PRECISION = 0.98
 CHUNK = 1 << 19
@@ -157,37 +156,31 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | None:
-    """Fit on a sample of the rows that learn admits: SAMPLE texts, as many of each language, drawn by a hash of the id."""
-    known = docs.where(learn & F.col(lang_col).isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    """Fit on a sample of the rows that learn admits, of every language that occurs, drawn by a hash of the id."""
+    named = {id_col: "id", lang_col: "lang", text_col: "text"}
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    known = known.select(*[F.col(c).alias(n) for c, n in named.items()])
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
-    # Three times the expected share is drawn by hash and then cut by rank, so no full sort is needed.
-    each = SAMPLE // len(counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang_col], min(1.0, 3 * each / r["count"]))])
-    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.select(id_col, lang_col, text_col).where(draw < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(0.0)))
+    some = drawn(known, "lang", "id", counts, max(LEAST, SAMPLE // len(counts)))
 
     def reduce(texts):
         at, share = [], []
         for t in texts:
-            c = bucket_counts(t) if _LETTER.search(t) else np.zeros(BUCKETS)
+            c = bucket_counts(t)
             found = np.flatnonzero(c)
             at.append(found.astype(np.int32).tobytes())
             share.append((c[found] / max(1, c.sum())).astype(np.float32).tobytes())
         return {"buckets": at, "shares": share}
 
     fields = [StructField("buckets", BinaryType()), StructField("shares", BinaryType())]
-    counted = map_texts(drawn, [id_col, lang_col], text_col, fields, reduce).where(F.length("buckets") > 0)
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col, F.lit("sample")), id_col))
-    rows = counted.withColumn("__rank", rank).where(F.col("__rank") <= each).collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r[lang_col], r["__rank"]))
-    languages = sorted({r[lang_col] for r in rows})
+    rows = map_texts(some, ["lang", "__rank"], "text", fields, reduce).collect()
+    rows.sort(key=lambda r: (r["lang"], r["__rank"]))
+    languages = sorted({r["lang"] for r in rows})
     ready = [
         (
-            languages.index(r[lang_col]), np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32),
+            languages.index(r["lang"]), np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32),
             r["__rank"] % 5 == 0,
         )
         for r in rows
