@@ -45,9 +45,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     covered = table(spark, sf_dir, "labels").select("doc_id").distinct()
     labelled = docs.select("doc_id", "text", "lang").join(covered, "doc_id", "left_semi")
-    rated, _ = mixing_rates(docs, labelled, docs.columns)
+    mixed = mixing_rates(docs, labelled, docs.columns)
     copies = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies")))
-    return rated.withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    return mixed.rows.withColumn("__copy", F.explode(copies)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
