@@ -1,8 +1,8 @@
 """Line dedup over a whole corpus, in DataFrame operations only.
 
-Lines are exploded, normalised and hashed; the distinct documents of each hash are counted; lines over the threshold
-are dropped and each document is reassembled by line position. Only hashes and positions travel through the counting
-shuffles; whole texts are shuffled once, to meet the positions that they lose.
+Lines are exploded, normalised and hashed, and hashes and positions are written; the distinct documents of each hash
+are counted; lines over the threshold are dropped and each document is reassembled by line position. Only hashes and
+positions travel through the counting shuffles; whole texts are shuffled once, to meet the positions that they lose.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WS, fold_ascii, table
+from quarry.llm.common import WS, fold_ascii, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -31,10 +31,11 @@ def line_dedup(
     A line's key is the line without surrounding white space and with A-Z lower-cased. Keys of at least min_chars
     code points that min_docs documents or more hold lose all their lines, except in the document of the largest id.
 
-    Defined cases: a null or empty text is one empty line and comes back empty. Rows are documents: rows that repeat
-    an id count as separate documents, and tied holders of the largest id all keep the line. Wholly equal rows count
-    once and are treated alike. A null id counts as a document and never is the largest. Extra columns pass through;
-    n_lines and n_dropped replace columns of these names. An empty table gives an empty result.
+    Defined cases: a null or empty text is one empty line and comes back empty. A document is an id: rows that repeat
+    one count once, and all rows of the largest id keep the line. Rows without an id count as one document together,
+    which never is the largest. Texts of any length are split whole, in one row. Extra columns pass through; n_lines
+    and n_dropped replace columns of these names. An empty table gives an empty result. Keys are told apart by 96
+    bits of hash.
     """
     spare = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(
@@ -46,15 +47,16 @@ def line_dedup(
         "__k1", "__k2", F.col(id_col).alias("__id"),
         F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("__pos", "__line"),
     )
-    held = (
+    held = written(
         lines.select("__k1", "__k2", "__id", "__pos", line_key(F.col("__line")).alias("__key"))
         .where(F.char_length("__key") >= min_chars)
         .select("__k1", "__k2", "__id", "__pos", F.xxhash64("__key").alias("__h1"), F.hash("__key").alias("__h2"))
         .groupBy("__h1", "__h2", "__k1", "__k2")
-        .agg(F.first("__id").alias("__id"), F.collect_set("__pos").alias("__at"))
+        .agg(F.first("__id").alias("__id"), F.collect_set("__pos").alias("__at")),
+        "held-lines",
     )
     common = (
-        held.groupBy("__h1", "__h2")
+        held.select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2")
         .agg(F.count("*").alias("__docs"), F.max("__id").alias("__keep"))
         .where(F.col("__docs") >= min_docs)
     )

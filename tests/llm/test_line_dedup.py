@@ -13,14 +13,14 @@ def brute(rows, min_chars=40, min_docs=5):
     for n, (i, t) in enumerate(rows):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                holders.setdefault(k, set()).add((i, t))
+                holders.setdefault(k, set()).add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
         kept = []
         for x in lines:
             at = holders.get(key(x), ())
-            ids = [j for j, _ in at if j is not None]
+            ids = [j for j in at if j is not None]
             if len(at) < min_docs or (ids and i is not None and i == max(ids)):
                 kept.append(x)
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
@@ -35,11 +35,27 @@ def test_keys_edges_and_largest_holder(spark):
     assert got == brute(rows)
 
 
-def test_repeated_ids_count_as_documents_and_equal_rows_once(spark):
-    rows = [(1, LONG), (1, LONG + "\nb"), (1, LONG + "\nc"), (1, LONG + "\nd"), (1, LONG + "\ne"), (1, LONG)]
+def test_repeated_ids_are_one_document(spark):
+    rows = [(1, LONG), (1, LONG + "\nb"), (1, LONG + "\nc"), (1, LONG + "\nd"), (2, LONG + "\ne"), (1, LONG)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.n_dropped) for r in line_dedup(frame).collect()]
-    assert got == [(1, 0)] * 6  # all hold the largest id
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup(frame).collect()} == {(1, 0), (2, 0)}  # two documents hold it
+    more = rows + [(i, LONG) for i in (3, 4, 5, 5)]
+    got = line_dedup(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute(more)
+
+
+def test_repeated_ids_equal_the_sql(spark):
+    import duckdb
+
+    from quarry.llm.line_dedup import OP4_SQL
+
+    rows = [(1, LONG), (1, LONG + "\nb"), (1, LONG), (2, "x\n" + LONG), (3, LONG), (4, LONG.upper()), (5, None), (6, LONG + " \n" + LONG)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in rows if r[0] != 1] + [(1, LONG)])
+    want = Counter((r[0], r[1], r[2]) for r in con.sql(OP4_SQL).fetchall())
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter({(r.doc_id, r.n_lines, r.n_dropped) for r in got if r.text != "b"}) == want
 
 
 def test_empty_table_and_very_long_text(spark):
