@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry.llm import quality_rules as quality_rules_module
 from quarry.llm.quality_rules import js_distance, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +54,33 @@ def test_shouting_and_symbols_are_rejected_and_clean_texts_kept(spark):
     assert sum(clean) / len(clean) > 0.99 and sum(poor) / len(poor) < 0.6
 
 
+def test_equal_hashes_of_unlike_words_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules_module, "SPARE", 54)  # three bits of hash and less
+    test_counts_against_brute_force(spark)
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 70_001}" for i in range(150_000)]
+    frame = spark.createDataFrame([(1, " ".join(words), "xx")], "doc_id long, text string, lang string")
+    r = quality_rules(frame).first()
+    assert (r.n_words, r.n_repeat_words) == (150_000, base(" ".join(words))[4])
+
+
+def test_every_language_that_occurs_has_a_reference(spark):
+    rng = random.Random(8)
+    alphabets = {"ru": "абвгдежз", "ja": "あいうえおかき", "en": "abcdefgh"}
+    def prose(lang):
+        vocabulary = [lang[0] + "".join(rng.choice(alphabets[lang]) for _ in range(3)) for _ in range(40)]
+        return lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    makers = {lang: prose(lang) for lang in alphabets}
+    rows = [(i, makers[lang](120), lang) for i, lang in enumerate(["ru", "ja", "en"] * 15)]
+    rows += [(100, makers["ja"](120), "ru"), (101, makers["ru"](120), None), (102, "ONE " * 5 + "?!? " * 90, "en")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(45) if not got[i].base_failed) and sum(got[i].base_failed for i in range(45)) < 5
+    assert got[100].word_distance > 0.4 and not got[100].kept
+    assert got[101].char_distance is None and got[101].kept == (not got[101].base_failed)
+
+
 def test_without_references_only_base_rules_decide(spark):
     rows = [(1, "word " * 10, "xx"), (2, " ".join(map(str, range(99))), None)]
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("doc_id").collect()
