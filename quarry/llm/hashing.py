@@ -46,12 +46,11 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, cell): the weighted shingles of each text, sorted by owner and cell.
+def shingle_codes(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code): the shingles of each text, repeated ones as often as they occur, sorted by owner and code.
 
-    Words are runs of non-blank bytes with A-Z lower-cased. A text's cells are its shingles of `width` words, the nth
-    copy of a shingle being a cell of its own, so that the Jaccard similarity of cell sets is the weighted Jaccard
-    similarity of shingle counts. A text of 1 to width - 1 words is one shingle; one without a word has none.
+    Words are runs of non-blank bytes with A-Z lower-cased. A text of 1 to width - 1 words is one shingle; one without
+    a word has none.
     """
     data = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
     joined = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
@@ -75,9 +74,28 @@ def shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     full = (at + width <= last) | ((at == first[owner]) & (count[owner] < width))
     code, owner = mix(code[full]), owner[full]
     order = np.lexsort((code, owner))
-    code, owner = code[order], owner[order]
+    return owner[order], code[order]
+
+
+def _fresh(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which shingles differ from the one before."""
     fresh = np.ones(len(code), bool)
     fresh[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    return fresh
+
+
+def weighted_shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, weight): the distinct shingles of each text with their counts."""
+    owner, code = shingle_codes(texts, width)
+    first = np.flatnonzero(_fresh(owner, code))
+    return owner[first], code[first], np.diff(np.append(first, len(code))).astype(float)
+
+
+def shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, cell): the nth copy of a shingle is a cell of its own, so that the Jaccard similarity of cell sets is the
+    weighted Jaccard similarity of shingle counts. Sorted by owner and cell."""
+    owner, code = shingle_codes(texts, width)
+    fresh = _fresh(owner, code)
     nth = np.arange(len(code)) - np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
     again = nth > 0
     if again.any():

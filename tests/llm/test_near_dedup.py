@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quarry.llm import near_dedup as nd
 from quarry.llm.hashing import shingles
 from quarry.llm.near_dedup import dart_signatures, near_dup_classes
 
@@ -87,3 +88,59 @@ def test_shingle_counts(text):
     owner, cell = shingles(["a b", text, "q"])
     assert (owner == 1).sum() == sum(weighted(text).values())
     assert len(np.unique(cell[owner == 1])) == (owner == 1).sum()
+
+
+def test_darts_of_real_weights():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(1, 2**63, 60).astype(np.uint64)
+    for scale in (0.01, 1.0, 37.5):  # the cost follows the darts, not the weights
+        a, b = rng.gamma(1.0, scale, 60) + 1e-6, rng.gamma(1.0, scale, 60) + 1e-6
+        b[:40] = a[:40] * rng.uniform(0.8, 1.2, 40)
+        want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        k = 4096
+        darts = nd.throw(np.repeat([0, 1], 60), np.tile(codes, 2), np.concatenate([a, b]), 2, k)
+        assert abs((darts[0] == darts[1]).mean() - want) < 5 * np.sqrt(want * (1 - want) / k)
+
+
+def test_bins_bound_the_similarity():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(5, 300))) for _ in range(30)]
+    sets = [weighted(t) for t in texts]
+    bins = [np.frombuffer(b, np.uint16).astype(int) for b in nd.bin_counts(texts)]
+    for i in range(30):
+        for j in range(i):
+            shared = np.minimum(bins[i], bins[j]).sum()
+            assert shared / (bins[i].sum() + bins[j].sum() - shared) >= similarity(sets[i], sets[j]) - 1e-12
+
+
+def test_buckets_of_unlike_members_in_small_blocks(spark, monkeypatch):
+    """Chains that no hub covers, in buckets cut into blocks; hubs with more pairs than a group takes."""
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "PAIRS", 2)
+    rng = random.Random(5)
+    rows, at = [], 0
+    for base in range(4):
+        words = [f"w{base}x{i}" for i in range(150)]
+        for step in range(9):
+            rows.append((at, " ".join(words)))
+            at += 1
+            for _ in range(2):
+                words[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id) for r in near_dup_classes(frame).collect()) == brute(rows)
+
+
+def test_kept_rows_with_nulls_ties_empty_table_and_extra_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base, 1), (3, base, 1), (2, base + " end", 2), (None, base, 9), (None, "alone here", 8), (5, None, 7), (4, "", 6), (3, "other text of the same id", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = Counter(tuple(r) for r in nd.near_dedup(frame).collect())
+    assert got == Counter([(2, base + " end", 2), (None, "alone here", 8), (4, "", 6), (3, "other text of the same id", 5)])
+    assert nd.near_dedup(frame.limit(0)).count() == 0 and nd.near_dedup(frame).columns == frame.columns
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-900])), (3, " ".join(words[:60_000]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dup_classes(frame).collect()} == {(1, 1), (2, 1), (3, 3)}
