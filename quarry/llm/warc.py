@@ -4,15 +4,21 @@ A response record (its bytes in a binary column) gives two records that refer to
 status, headers and digests as fields, and `conversion`, with the page's plain text. Both keep the target address and
 the date of the response, state the response's identifier in WARC-Refers-To and name each other in
 WARC-Concurrent-To. Identifiers are derived from the response's, so a repeated run gives the same records.
+
+A response's body is taken from its transfer and content codings and read in its charset. A body that isn't text, or
+is coded in a way that can't be undone, gives a metadata record only.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
+import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +30,9 @@ from quarry.llm.common import table
 VERSION, CRLF = "WARC/1.1", "\r\n"
 #: Capture date of pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
+HTML, PLAIN = ("text/html", "application/xhtml+xml"), "text/plain"
+#: Bytes that a body may inflate to; a larger one is an error, not cut.
+MAX_BODY = 1 << 28
 # A head without a closing tag ends, as in HTML, before the first text or element that can't be in a head.
 _HIDDEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
@@ -42,6 +51,10 @@ class WarcError(ValueError):
     """The bytes are not a whole record."""
 
 
+class NoText(ValueError):
+    """The response has no text to convert."""
+
+
 @dataclass
 class Record:
     headers: list[tuple[str, str]]
@@ -69,7 +82,7 @@ def parse_at(data: bytes, at: int = 0) -> tuple[Record, int]:
     if end < 0 or not data.startswith(b"WARC/", at):
         raise WarcError(f"no record at byte {at}")
     headers: list[tuple[str, str]] = []
-    for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
+    for line in bytes(data[at:end]).decode("utf-8", "replace").split(CRLF)[1:]:
         if line[:1] in " \t" and headers:
             headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
             continue
@@ -82,7 +95,7 @@ def parse_at(data: bytes, at: int = 0) -> tuple[Record, int]:
     start = end + 4
     if not length.isdigit() or len(data) < start + int(length):
         raise WarcError(f"record at byte {at} is cut off")
-    record.block = data[start : start + int(length)]
+    record.block = bytes(data[start : start + int(length)])
     after = start + int(length)
     return record, after + 4 if data.startswith(b"\r\n\r\n", after) else after
 
@@ -96,6 +109,84 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; the bytes as they stand where they aren't in chunks."""
+    at, parts = 0, []
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return body
+        at, n = end + 2, int(size, 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[at : at + n])
+        at += n + 2
+
+
+def inflated(body: bytes, bits: int) -> bytes:
+    """Undo gzip (bits 31), zlib (15) or bare deflate (-15)."""
+    unzip = zlib.decompressobj(bits)
+    try:
+        out = unzip.decompress(body, MAX_BODY)
+    except zlib.error as broken:
+        raise NoText(f"broken content encoding: {broken}") from broken
+    if unzip.unconsumed_tail:
+        raise NoText(f"a body of over {MAX_BODY} bytes")
+    if not unzip.eof:
+        raise NoText("a coded body is cut off")
+    return out
+
+
+def entity(http: list[tuple[str, str]], body: bytes) -> tuple[str, str, bytes]:
+    """Media type (lower case, empty if not stated), content type as stated, and the body without its codings.
+
+    A coding that the stored bytes don't show, as crawlers may have undone it, is passed over.
+    """
+    first = lambda name: next((v for k, v in http if k.lower() == name), "")
+    if "chunked" in first("transfer-encoding").lower():
+        body = unchunked(body)
+    for coding in reversed([c.strip().lower() for c in first("content-encoding").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body = inflated(body, 31) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":
+            zlib_head = len(body) > 1 and body[0] & 15 == 8 and not (body[0] << 8 | body[1]) % 31
+            body = inflated(body, 15 if zlib_head else -15)
+        elif coding not in ("", "identity"):
+            raise NoText(f"content encoding {coding}")
+    kind = first("content-type")
+    return kind.split(";")[0].strip().lower(), kind, body
+
+
+def charset(kind: str, body: bytes) -> str:
+    """The codec of a body: by its byte order mark, the content type, or a meta element; UTF-8 if none is known."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if body.startswith(mark):
+            return name
+    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
+    meta = None if found else re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:1024], re.I)
+    name = found[1] if found else meta[1].decode("ascii", "replace") if meta else "utf-8"
+    try:
+        known = codecs.lookup(name)
+    except LookupError:
+        return "utf-8"
+    if not known._is_text_encoding:
+        return "utf-8"
+    return "cp1252" if known.name in ("iso8859-1", "ascii") else known.name  # as browsers read these two
+
+
+def body_text(http: list[tuple[str, str]], body: bytes) -> str:
+    """The text of a response's body. Raises NoText where it has none."""
+    media, kind, body = entity(http, body)
+    if not media:
+        head = body[:512].lstrip().lower()
+        media = HTML[0] if head.startswith(b"<") or b"<html" in head else PLAIN if b"\0" not in body[:512] else "unknown bytes"
+    if media not in HTML and media != PLAIN:
+        raise NoText(f"no text in {media}")
+    text = body.decode(charset(kind, body), "replace")
+    return plain_text(text) if media in HTML else text.replace("\r\n", "\n").strip()
+
+
 def plain_text(page: str) -> str:
     """Visible text: hidden elements and comments go, block tags break lines, other tags vanish, entities are resolved."""
     text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page).replace("\n", " "))))
@@ -106,14 +197,18 @@ def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {source}'.encode()).digest()[:16], version=4)}>"
 
 
-def derive(data: bytes) -> tuple[Record, bytes, bytes, str]:
-    """(the response, its metadata record, its conversion record, the plain text)."""
+def derive(data: bytes) -> tuple[Record, str, bytes, bytes | None, str | None, str | None]:
+    """(the response, its payload digest, its metadata record, its conversion record, the plain text, why it has none)."""
     response, _ = parse_at(data)
     source = response.get("WARC-Record-ID")
     if response.get("WARC-Type") != "response" or not source:
         raise WarcError("not a response with an identifier")
     status, http, body = parse_http(response.block)
-    text = plain_text(body.decode("utf-8", "replace"))
+    text = why = None
+    try:
+        text = body_text(http, body)
+    except NoText as none:
+        why = str(none)
     ids = {kind: derived_id(source, kind) for kind in ("metadata", "conversion")}
     same = [(k, response.get(k)) for k in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID", "WARC-IP-Address")]
     payload = response.get("WARC-Payload-Digest") or digest(body)
@@ -121,16 +216,17 @@ def derive(data: bytes) -> tuple[Record, bytes, bytes, str]:
         ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http),
         ("source-block-digest", response.get("WARC-Block-Digest") or digest(response.block)),
         ("source-payload-digest", payload), ("source-content-length", str(len(response.block))),
-        ("conversion", ids["conversion"]), ("text-length", str(len(text))),
+        *([("no-conversion", why)] if text is None else [("conversion", ids["conversion"]), ("text-length", str(len(text)))]),
     ]
     block = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode()
     head = lambda kind, other, content: [
         ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), *same, ("WARC-Refers-To", source),
-        ("WARC-Concurrent-To", ids[other]), ("Content-Type", content),
+        ("WARC-Concurrent-To", None if text is None else ids[other]), ("Content-Type", content),
     ]
     metadata = serialize(head("metadata", "conversion", "application/warc-fields"), block)
     wet = [*head("conversion", "metadata", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", payload)]
-    return response, metadata, serialize(wet, text.encode("utf-8", "replace")), text
+    conversion = None if text is None else serialize(wet, text.encode("utf-8", "replace"))
+    return response, payload, metadata, conversion, text, why
 
 
 def response_record(key: str, url: str | None, page: str | None) -> bytes:
@@ -188,8 +284,9 @@ DERIVED = [
 def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record") -> DataFrame:
     """The columns `keep` of responses with DERIVED: identifiers, the plain text, both records, and error.
 
-    Defined cases: a null or broken record, or one that is no response, has its error and nulls. An empty body gives
-    an empty text. A response without a target address gives records without one. Repeated rows give repeated rows
+    Defined cases: a null or broken record, or one that is no response, has its error and nulls. A response without
+    text (another media type, an unknown or broken coding, a body of over MAX_BODY bytes) has its error, a metadata
+    record and no conversion. An empty body gives an empty text; texts of any length are converted whole. A response without a target address gives records without one. Repeated rows give repeated rows
     with equal identifiers. Columns of the names above are replaced; an empty table gives an empty result.
     """
     names = [c for c in keep if c not in {f.name for f in DERIVED}]
@@ -198,14 +295,15 @@ def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record
         try:
             if data is None:
                 raise WarcError("no record")
-            response, metadata, conversion, text = derive(bytes(data))
+            response, payload, metadata, conversion, text, why = derive(bytes(data))
         except WarcError as broken:
             return [(None,) * 9 + (str(broken),)]
         source = response.get("WARC-Record-ID")
         return [
             (
-                source, response.get("WARC-Target-URI"), derived_id(source, "metadata"), derived_id(source, "conversion"),
-                response.get("WARC-Payload-Digest") or digest(parse_http(response.block)[2]), len(text), text, metadata, conversion, None,
+                source, response.get("WARC-Target-URI"), derived_id(source, "metadata"),
+                None if text is None else derived_id(source, "conversion"), payload, None if text is None else len(text), text,
+                metadata, conversion, why,
             )
         ]
 
@@ -213,30 +311,100 @@ def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record
 
 
 def write_warc(records: DataFrame, record_col: str, path: str) -> None:
-    """Write a binary column of whole records as .gz files, one a partition. Nulls are left out."""
-    body = F.expr(f"decode(substr({record_col}, 1, length({record_col}) - 4), 'UTF-8')")
-    records.where(F.col(record_col).isNotNull()).select(body.alias("value")).write.option("lineSep", CRLF * 2).text(path, compression="gzip")
+    """Write a binary column of whole records as gzipped files, one a partition, a member a record. Nulls are left out.
+
+    Spark's text writer puts out the bytes as they are. A member ends with its record's length in four bytes, of which
+    the last is zero under 16 MB, so that a zero serves as line end; a longer record is followed by an empty member.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0):
+                raw = data.as_py()
+                member = gzip.compress(raw, 6, mtime=0) + (gzip.compress(b"", 6, mtime=0) if len(raw) >> 24 else b"")
+                yield pa.RecordBatch.from_arrays([pa.array([member[:-1]], pa.binary())], ["member"])
+
+    some = records.where(F.col(record_col).isNotNull()).select(record_col)
+    some.mapInArrow(run, "member binary").select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
+
+
+def blocks_of(data: bytes, size: int = 1 << 20):
+    """The bytes of a file block by block, unzipped member after member if it is gzipped. Raises zlib.error."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), size):
+            yield bytes(view[at : at + size])
+        return
+    at = 0
+    while at < len(view):
+        unzip = zlib.decompressobj(31)
+        while at < len(view) and not unzip.eof:
+            part = view[at : at + size]
+            yield unzip.decompress(part)
+            at += len(part) - len(unzip.unused_data)
+        if not unzip.eof:
+            raise zlib.error("a gzip member is cut off")
+
+
+def records_of(data: bytes):
+    """(record, None) of each record of a file, then (None, error) if it breaks off. Holds one record and a block."""
+    held, blocks, more = bytearray(), blocks_of(data), True
+    while True:
+        while held[:1] in (b"\r", b"\n"):
+            del held[:1]
+        try:
+            if not held and not more:
+                return
+            if len(held) >= 5 and not held.startswith(b"WARC/"):
+                yield None, "bytes that are no record"
+                return
+            record, after = parse_at(held)
+        except WarcError as broken:
+            if not more:
+                yield None, str(broken)
+                return
+            try:
+                held += next(blocks)
+            except StopIteration:
+                more = False
+            except zlib.error as bad:
+                yield None, str(bad)
+                return
+            continue
+        head = held.find(b"\r\n\r\n") + 4
+        yield bytes(held[: head + len(record.block)]) + b"\r\n\r\n", None
+        del held[:after]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record binary, error) of every record of the files under path, plain or gzipped, one task a file."""
+    """(path, record binary, error) of every record of the files under path, plain or gzipped, one task a file.
+
+    A file is read whole, up to the 2 GB of a binary value; it is unzipped block by block and its records leave the task
+    in small batches. A file that breaks off gives its records up to there and a row with the error.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def one(data):
-        import gzip
+    def run(batches):
+        import pyarrow as pa
 
-        data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)
-        at, rows = 0, []
-        while at < len(data):
-            try:
-                _, after = parse_at(data, at)
-            except WarcError as broken:
-                return [*rows, (None, str(broken))]
-            rows.append((data[at:after], None))
-            at = after
-        return rows
-
-    return _mapped(files, ["path"], ["content"], [StructField("record", BinaryType()), StructField("error", StringType())], one)
+        def out(name, rows):
+            columns = [pa.array([name] * len(rows)), pa.array([r for r, _ in rows], pa.binary()), pa.array([e for _, e in rows], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["path", "record", "error"])
+
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1)):
+                rows, held = [], 0
+                for row in records_of(data.as_py()):
+                    rows.append(row)
+                    held += len(row[0] or b"")
+                    if held > 1 << 23:
+                        yield out(name.as_py(), rows)
+                        rows, held = [], 0
+                yield out(name.as_py(), rows)
+
+    return files.mapInArrow(run, "path string, record binary, error string")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

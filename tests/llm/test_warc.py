@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import random
+import zlib
 from html.parser import HTMLParser
 
 from quarry.llm import warc
@@ -75,3 +78,76 @@ def test_broken_null_and_repeated(spark):
     assert warc.derivatives(frame.limit(0), ["id"]).count() == 0
     empty = warc.page_responses(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"), ["page_id"])
     assert warc.derivatives(empty, ["page_id"]).first().text == ""
+
+
+def response(http, body, **more):
+    head = "".join(f"{k}: {v}\r\n" for k, v in http)
+    block = f"HTTP/1.1 200 OK\r\n{head}\r\n".encode() + body
+    return warc.serialize([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{hashlib.sha1(block).hexdigest()}>"), *more.items()], block)
+
+
+def chunks(body, size):
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    return b"".join(f"{len(p):X};x=1\r\n".encode() + p + b"\r\n" for p in parts) + b"0\r\n\r\n"
+
+
+PAGE = "<html><body><p>Caf\u00e9 \u2013 na\u00efve</p></body></html>"
+SAYS = "Caf\u00e9 \u2013 na\u00efve"
+
+
+def test_codings_charsets_and_media_types(spark):
+    gz = gzip.compress(PAGE.encode())
+    kind = ("Content-Type", "text/html; charset=utf-8")
+    cases = [
+        ([kind], PAGE.encode(), SAYS), ([kind, ("Content-Encoding", "gzip")], gz, SAYS), ([kind, ("Content-Encoding", "gzip")], PAGE.encode(), SAYS),
+        ([kind, ("Content-Encoding", "deflate")], zlib.compress(PAGE.encode()), SAYS),
+        ([kind, ("Content-Encoding", "deflate")], zlib.compress(PAGE.encode())[2:-4], SAYS),
+        ([kind, ("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], chunks(gz, 7), SAYS),
+        ([("content-type", "text/html; charset=ISO-8859-1")], PAGE.encode("cp1252"), SAYS),
+        ([("Content-Type", "text/html")], b'<meta charset="windows-1252">' + PAGE.encode("cp1252"), SAYS),
+        ([("Content-Type", "text/html")], PAGE.encode("utf-16"), SAYS), ([("Content-Type", "text/html; charset=base64")], PAGE.encode(), SAYS),
+        ([], PAGE.encode(), SAYS), ([("Content-Type", "text/plain")], b" a <b>\r\nc ", "a <b>\nc"), ([kind], b"", ""),
+        ([("Content-Type", "image/png")], b"\x89PNG\r\n\x1a\n\0\xff", None), ([kind, ("Content-Encoding", "br")], b"\x0b\x02", None),
+        ([kind, ("Content-Encoding", "gzip")], gz[:-20] + b"junk" * 9, None), ([], b"\0\1\2", None),
+    ]
+    frame = spark.createDataFrame([(i, bytearray(response(h, b))) for i, (h, b, _) in enumerate(cases)], "id long, record binary")
+    for r in warc.derivatives(frame, ["id"]).collect():
+        want = cases[r.id][2]
+        assert r.text == want and (r.error is None) == (want is not None), (r.id, r.text, r.error)
+        meta, _ = warc.parse_at(bytes(r.metadata))
+        assert (r.conversion is None) == (r.conversion_id is None) == (meta.get("WARC-Concurrent-To") is None) == (want is None)
+        assert r.payload_digest == warc.digest(cases[r.id][1])
+
+
+def test_a_body_that_inflates_beyond_the_bound_is_an_error(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BODY", 1000)
+    body = gzip.compress(b"<p>" + b"a" * 5000)
+    *_, conversion, text, why = warc.derive(response([("Content-Type", "text/html"), ("Content-Encoding", "gzip")], body))
+    assert conversion is None and text is None and "1000 bytes" in why
+
+
+def test_any_bytes_round_trip_in_members_of_their_own(spark, tmp_path):
+    rng = random.Random(3)
+    bodies = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 300, 70_000)] + [b"\0\n\r\x1f\x8b" * 50, b"z" * (1 << 24), "na\u00efve".encode("latin-1")]
+    records = [response([("Content-Type", "image/png")], b) for b in bodies]
+    frame = spark.createDataFrame([(bytearray(r),) for r in records] + [(None,)], "record binary").coalesce(1)
+    warc.write_warc(frame, "record", str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(bytes(r.record) for r in back) == sorted(records) and all(r.error is None for r in back)
+    (file,) = (tmp_path / "w").glob("part-*")
+    data, members = file.read_bytes(), []
+    while data:
+        unzip = zlib.decompressobj(31)
+        members.append(unzip.decompress(data))
+        data = unzip.unused_data
+    assert sorted(m for m in members if m) == sorted(records)
+    whole = gzip.compress(b"".join(records))
+    for data in (whole, b"".join(records)):
+        assert [r for r, _ in warc.records_of(data)] == records
+    assert [e is None for _, e in warc.records_of(whole[:-200])][-1] is False and list(warc.records_of(b"junk and more"))[0][1]
+
+
+def test_very_long_page(spark):
+    page = "<p>word</p>" * 300_000
+    got = warc.derivatives(warc.page_responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), ["page_id"]), ["page_id"]).first()
+    assert got.n_chars == 5 * 300_000 - 1
