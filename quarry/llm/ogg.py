@@ -19,8 +19,8 @@ from quarry.llm.common import map_texts, table
 
 CONTINUED, FIRST, LAST = 1, 2, 4
 HEAD = struct.Struct("<4sBBqIIIB")
-#: Stream header packet: magic, version, channels, bits, sample rate.
-MAGIC, STREAM_HEAD = b"PCM     ", struct.Struct("<8sHBBI")
+#: Stream header packet of this module's own form: magic, version, channels, bits, sample rate.
+MAGIC, STREAM_HEAD = b"QRYPCMU8", struct.Struct("<8sHBBI")
 FRAME, STREAMS, RATE = 192, 2, 8000
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -131,6 +131,8 @@ def read(data: bytes) -> dict[int, Stream]:
                 held = bytearray()
                 whole += 1
         partial[serial] = held if lacing and lacing[-1] == 255 else None
+        if whole and granule == -1:
+            raise OggError(f"stream {serial}: packets end on a page without a granule")
         if whole:
             stream.ends[-1] = granule
         elif lacing and granule != -1:
@@ -146,6 +148,16 @@ def read(data: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_ends(stream: Stream) -> list[int | None]:
+    """The granule where each packet ends: a page states it for the last packet that ends there, those before it end
+    earlier by the samples (bytes) of the packets behind them."""
+    out = list(stream.ends)
+    for i in range(len(out) - 2, -1, -1):
+        if out[i] is None and out[i + 1] is not None:
+            out[i] = out[i + 1] - len(stream.packets[i + 1])
+    return out
+
+
 def encode(payload: bytes, serial: int, frame: int = FRAME, streams: int = STREAMS, rate: int = RATE) -> bytes:
     """Frames of the payload dealt in turn to logical streams, each with a header page; data pages interleave."""
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
@@ -167,7 +179,7 @@ class Decoded:
     payload: bytes
     streams: list[Stream]
     rate: int
-    times: list[float]  # end of each stream in seconds
+    times: list[float]  # end of each stream in seconds, from its last granule
 
 
 def decode(data: bytes, frame: int = FRAME) -> Decoded:
@@ -180,12 +192,12 @@ def decode(data: bytes, frame: int = FRAME) -> Decoded:
         _, _, channels, bits, rate = STREAM_HEAD.unpack(stream.packets[0])
         if (channels, bits) != (1, 8) or not rate:
             raise OggError(f"stream {stream.serial}: samples of another form")
-        samples = 0
-        for packet, end in zip(stream.packets[1:], stream.ends[1:]):
+        samples = end = 0
+        for packet, end in zip(stream.packets[1:], packet_ends(stream)[1:]):
             samples += len(packet)
-            if end is not None and end != samples:
+            if end != samples:
                 raise OggError(f"stream {stream.serial}: granule {end} after {samples} samples")
-        times.append(samples / rate)
+        times.append(end / rate)
         lanes.append(stream.packets[1:])
     payload = b"".join(p[i] for i in range(max(map(len, lanes), default=0)) for p in lanes if i < len(p))
     return Decoded(payload, found, rate, times)
@@ -206,8 +218,9 @@ PACKETS = StructType(
 
 def ogg_packets(media: DataFrame, id_col: str, media_col: str, rate: int = RATE) -> DataFrame:
     """One row for each packet of each logical stream of a binary column: (id_col, serial, packet, data, granule,
-    seconds, error). granule is the position that a page states for the packet, null within a page; seconds divide
-    it by rate. A broken or null container gives one row with its error and no packet; an empty one gives no row.
+    seconds, error). granule is where the packet ends: as its page states, or counted back from there in samples
+    (bytes) for packets within a page; seconds divide it by rate. A broken or null container gives one row with its
+    error and no packet; an empty one gives no row. A container is read whole, whatever its length.
     """
     schema = StructType([media.schema[id_col], *PACKETS.fields])
 
@@ -223,7 +236,7 @@ def ogg_packets(media: DataFrame, id_col: str, media_col: str, rate: int = RATE)
                         raise OggError("no media")
                     rows = [
                         (s.serial, n, p, g, None if g is None else g / rate, None)
-                        for s in read(raw).values() for n, (p, g) in enumerate(zip(s.packets, s.ends))
+                        for s in read(raw).values() for n, (p, g) in enumerate(zip(s.packets, packet_ends(s)))
                     ]
                 except OggError as broken:
                     rows = [(None, None, None, None, None, str(broken))]
@@ -237,7 +250,7 @@ def ogg_packets(media: DataFrame, id_col: str, media_col: str, rate: int = RATE)
 def text_as_ogg(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with media (binary, the container), n_bytes (long, of the text) and payload_bytes.
 
-    A null or empty text is one frame of blanks. Equal texts give equal containers, whatever their rows.
+    A null or empty text is one frame of blanks; a very long one is one container. Equal texts give equal containers, whatever their rows.
     """
     fields = [StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("media", BinaryType())]
     names = [c for c in keep if c not in {f.name for f in fields}]

@@ -69,3 +69,30 @@ def test_packet_rows(spark):
     assert {r.error is None for r in got if r.id == 1} == {True} and {r.serial for r in got if r.id == 1} == {9, 10}
     assert sum(len(r.data) for r in got if r.id == 1 and r.packet > 0) == 576
     assert [r.error for r in got if r.id == 2] == ["no media"] and [r.id for r in got if r.id >= 3] == [3]
+
+
+def test_packets_within_a_page_have_times(spark):
+    raw = ogg.encode(ogg.padded("a" * 192 * 7), 9)
+    got = ogg.ogg_packets(spark.createDataFrame([(1, bytearray(raw))], "id long, m binary"), "id", "m").collect()
+    ends = {s: [r.granule for r in sorted(got, key=lambda r: r.packet) if r.serial == s] for s in (9, 10)}
+    assert ends == {9: [0, 192, 384, 576, 768], 10: [0, 192, 384, 576]}
+    assert all(r.seconds == r.granule / ogg.RATE for r in got)
+
+
+def test_a_page_that_ends_packets_needs_a_granule():
+    first = ogg.page(7, 0, ogg.FIRST, 0, b"\x01", b"h")
+    with pytest.raises(ogg.OggError, match="without a granule"):
+        ogg.read(first + ogg.page(7, 1, ogg.LAST, -1, b"\x03", b"abc"))
+    wrong = ogg.STREAM_HEAD.pack(ogg.MAGIC, 1, 1, 8, 8000)
+    with pytest.raises(ogg.OggError, match="granule 5 after 3"):
+        ogg.decode(ogg.page(7, 0, ogg.FIRST, 0, ogg.lace(len(wrong)), wrong) + ogg.page(7, 1, ogg.LAST, 5, b"\x03", b"abc"))
+
+
+def test_features_of_broken_null_empty_and_long_containers(spark):
+    good = ogg.encode(ogg.padded("some text"), 5)
+    rows = [(1, good), (2, None), (3, good[:-1]), (4, b"junk"), (5, b""), (6, ogg.encode(ogg.padded("y" * 3_000_000), 6))]
+    frame = spark.createDataFrame([(i, None if x is None else bytearray(x), "z") for i, x in rows], "id long, media binary, feature string")
+    got = {r.id: r for r in ogg.media_features(frame, ["id"]).collect()}
+    assert [got[i].error is None for i in range(1, 7)] == [True, False, False, False, True, True]
+    assert got[3].media_bytes == len(good) - 1 and got[3].payload_sha256 is None and got[2].media_sha256 is None
+    assert got[5].feature.startswith("streams=0;") and got[6].payload_sha256 == hashlib.sha256(ogg.padded("y" * 3_000_000)).hexdigest()
