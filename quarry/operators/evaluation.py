@@ -46,20 +46,22 @@ def nearest_rank(values: DataFrame, group: list[str], value: str, percents: tupl
 def threshold_sweep(scores: DataFrame, extra: tuple[float, ...] = (-8.0, -6.0, -4.0, -2.0, 0.0), digits: int = 2) -> DataFrame:
     """(threshold, refusal, false_refusal, score) for each candidate threshold over (score, answerable).
 
-    A question is refused where its score is under the threshold. Scores are counted by value first; thresholds are
-    the rounded scores and a few fixed ones, met with the counts by a running sum instead of a join of all pairs.
+    A question is refused where its score is under the threshold. Thresholds are the rounded scores and a few fixed
+    ones. Scores are counted by the least rounded number above them, so that what is summed up in order has as many rows
+    as the scores have rounded values, not as there are scores.
     """
     from pyspark.sql.window import Window
 
     spark = scores.sparkSession
-    rows = scores.select("score", "answerable")
+    near, step = F.bround("score", digits), 10.0**-digits
+    rows = scores.select(F.when(F.col("score") < near, near).otherwise(F.bround(near + step, digits)).alias("above"), near.alias("near"), "answerable")
     fixed = spark.createDataFrame([(x,) for x in extra], "t double")
-    thresholds = rows.select(F.bround("score", digits).alias("t")).union(fixed).distinct()
-    counted = rows.groupBy("score").agg(
+    thresholds = rows.select(F.col("near").alias("t")).union(fixed).distinct()
+    counted = rows.groupBy("above").agg(
         F.sum(F.when(F.col("answerable"), 0).otherwise(1)).alias("bad"), F.sum(F.when(F.col("answerable"), 1).otherwise(0)).alias("good")
     )
-    # Thresholds sort before equal scores, so that the running sums hold what is strictly below.
-    line = counted.select(F.col("score").alias("at"), F.lit(1).alias("kind"), "bad", "good").union(
+    # Thresholds sort behind equal counts, so that the running sums hold what is strictly below.
+    line = counted.select(F.col("above").alias("at"), F.lit(-1).alias("kind"), "bad", "good").union(
         thresholds.select("t", F.lit(0), F.lit(0), F.lit(0))
     )
     before = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import is_gazette_noise, is_page_number, is_watermark, repeat_key
+from quarry.tables import written
 
 
 def repeated_keys(lines: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
@@ -42,19 +43,27 @@ def numbered_again(clauses: DataFrame, doc: str, number: str, order: str) -> Dat
     return clauses.withColumn("unique_number", again)
 
 
-def clause_paths(clauses: DataFrame, doc: str, node: str, parent: str, label: Column, depth: int = 12) -> DataFrame:
-    """(doc, node, path, level): labels of a clause and its ancestors, joined by " › ".
+def clause_paths(clauses: DataFrame, doc: str, node: str, parent: str, label: Column) -> DataFrame:
+    """(doc, node, path, level): labels of a clause and its ancestors, joined by " › ", however deep the tree.
 
-    Walks up one level a join; clause trees are a few levels deep, and depth bounds broken ones.
+    Each round doubles how far up a path reaches, so n levels take log n joins. Nodes whose parent is missing are
+    roots. Rows that are still open after as many rounds as the number of nodes allows are in a cycle: ValueError.
     """
-    nodes = clauses.select(doc, node, parent, label.alias("label"))
-    paths = nodes.select(doc, node, F.col(parent).alias("up"), F.col("label").alias("path"), F.lit(1).alias("level"))
-    above = nodes.select(doc, F.col(node).alias("up"), F.col(parent).alias("next"), F.col("label").alias("head"))
-    for _ in range(depth):
-        step = paths.join(above, [doc, "up"], "left")
-        paths = step.select(
-            doc, node, F.col("next").alias("up"),
-            F.when(F.col("head").isNotNull(), F.concat("head", F.lit(" › "), "path")).otherwise(F.col("path")).alias("path"),
-            (F.col("level") + F.when(F.col("head").isNotNull(), 1).otherwise(0)).alias("level"),
+    nodes = clauses.select(doc, node, parent, label.alias("path"))
+    known = nodes.select(doc, F.col(node).alias(parent), F.lit(True).alias("__has"))
+    rooted = nodes.join(known, [doc, parent], "left")
+    paths = rooted.select(doc, node, F.when(F.col("__has"), F.col(parent)).alias("__up"), "path", F.lit(1).alias("level"))
+    most, reach = None, 1
+    while True:
+        paths = written(paths, "clause-paths")
+        most = paths.count() if most is None else most
+        if not paths.where("__up is not null").limit(1).count():
+            return paths.select(doc, node, "path", "level")
+        if reach > 2 * most:
+            raise ValueError("clauses that are their own ancestors")
+        above = paths.select(doc, F.col(node).alias("__up"), F.col("__up").alias("__next"), F.col("path").alias("__head"), F.col("level").alias("__more"))
+        paths = paths.join(above, [doc, "__up"], "left").select(
+            doc, node, F.col("__next").alias("__up"), F.concat(F.coalesce(F.concat("__head", F.lit(" › ")), F.lit("")), "path").alias("path"),
+            (F.col("level") + F.coalesce("__more", F.lit(0))).alias("level"),
         )
-    return paths.select(doc, node, "path", "level")
+        reach *= 2

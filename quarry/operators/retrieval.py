@@ -5,14 +5,15 @@ Corpora and queries are DataFrames; every result is keyed by qid and every ranki
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions.stemming import stemmed
+
 K1, B, RRF_K = 1.2, 0.75, 60
-#: A stated set of query vectors is met with all rows; more than this many go through repartitioned blocks.
-MAX_BROADCAST_QUERIES = 1000
+#: Query vectors are met with all rows in blocks of this many, each of which is broadcast.
+QUERY_BLOCK = 8192
 MAX_BROADCAST_TERMS = 100_000
 #: Postings of a more frequent term are dealt over several tasks when they meet the queries.
 SALT_POSTINGS = 20_000
@@ -35,18 +36,25 @@ TOPIC_KINDS = {
 }
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def tokens(text: Column, stem: bool = False) -> Column:
+    """Lower-cased runs of letters and digits; with stem, without marks and English suffixes."""
+    found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return stemmed(found) if stem else found
 
 
-def sized(corpus: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
+def sized(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
     """id, the tokens of each column, and dl, their number over all columns."""
-    out = corpus.select(id_col, *[tokens(F.col(c)).alias(f"__{c}") for c in columns])
+    out = corpus.select(id_col, *[tokens(F.col(c), stem).alias(f"__{c}") for c in columns])
     return out.withColumn("dl", sum((F.size(f"__{c}") for c in columns), F.lit(0)))
 
 
-def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str, float]) -> DataFrame:
+def totals(corpus: DataFrame, columns: dict[str, float]) -> DataFrame:
+    """One row (n, avgdl): documents and their mean length, counted without building tokens."""
+    runs = [F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}]+")) for c in columns]
+    return corpus.agg(F.count("*").alias("n"), F.avg(sum(runs, F.lit(0))).alias("avgdl"))
+
+
+def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
     """(id, term, tf, dl) of the given terms: frequencies weighted by column, lengths unweighted.
 
     Terms are counted first; up to MAX_BROADCAST_TERMS are broadcast, so that other tokens are dropped before the
@@ -54,7 +62,7 @@ def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str
     term into one task, and those who use postings drop the others by their own join.
     """
     few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    found = sized(corpus, id_col, columns)
+    found = sized(corpus, id_col, columns, stem)
     parts = None
     for c, weight in columns.items():
         part = found.select(id_col, "dl", F.explode(f"__{c}").alias("term"), F.lit(float(weight)).alias("w"))
@@ -63,33 +71,37 @@ def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str
     return kept.groupBy(id_col, "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
 
 
-def ranked(scores: DataFrame, k: int, id_col: str) -> DataFrame:
-    """The k best rows of each qid, with their rank from 1. Scores that differ past nine digits tie."""
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), id_col)
+def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame:
+    """The k best rows of each qid, with their rank from 1. Scores that are equal to so many digits tie."""
+    order = Window.partitionBy("qid").orderBy(F.round("score", digits).desc(), id_col)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: int = 40, id_col: str = "doc_id") -> DataFrame:
+def bm25(
+    corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: int = 40, id_col: str = "doc_id", stem: bool = False
+) -> DataFrame:
     """(qid, id, score, rank) of the k best documents for the terms (array) of each query, any term matching.
 
-    A term in most documents scores 1e-6. A term of over SALT_POSTINGS documents is salted: its postings are dealt by
+    Terms are as tokens() gives them; with stem they and the documents' words are stemmed, and marks on letters don't
+    count. A term in most documents scores 1e-6. A term of over SALT_POSTINGS documents is salted: its postings are dealt by
     document over parts, and the queries that ask for it are repeated for each part.
     """
-    wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = postings(corpus, wanted.select("term").distinct(), id_col, columns)
-    totals = sized(corpus, id_col, columns).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms_ = stemmed(F.col("terms")) if stem else F.col("terms")
+    wanted = queries.select("qid", F.explode(F.array_distinct(terms_)).alias("term"))
+    hits = postings(corpus, wanted.select("term").distinct(), id_col, columns, stem)
+    size = totals(corpus, columns)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     parts = F.ceil(F.col("df") / SALT_POSTINGS).cast("int")
-    terms = df.crossJoin(F.broadcast(totals)).select("term", weight.alias("idf"), "avgdl", parts.alias("__parts"))
+    terms = df.crossJoin(F.broadcast(size)).select("term", weight.alias("idf"), "avgdl", parts.alias("__parts"))
     asked = wanted.join(terms, "term").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     frequent = df.where(F.col("df") > SALT_POSTINGS).select("term", parts.alias("__of"))
     salt = F.pmod(F.xxhash64(id_col), F.coalesce("__of", F.lit(1))).cast("int")
     dealt = hits.join(F.broadcast(frequent), "term", "left").withColumn("__salt", salt)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = dealt.join(asked, ["term", "__salt"]).groupBy("qid", id_col).agg(F.sum(part).alias("score"))
-    return ranked(scores, k, id_col)
+    return ranked(scores, k, id_col, 6)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -105,12 +117,18 @@ def normalized(vector: Column) -> Column:
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, id, score, rank) of the k nearest unit vectors of each query (qid, vector).
 
-    Queries are a stated set: up to MAX_BROADCAST_QUERIES are broadcast (counted first), more are met block by block.
+    Queries are a stated set, met with all rows in blocks of about QUERY_BLOCK that are broadcast; each scan of the
+    corpus keeps k rows of a query and partition before anything is shuffled. Equal qids stay in one block.
     """
     asked = queries.select("qid", F.col("vector").alias("__q"))
-    few = asked.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
-    pairs = corpus.select(id_col, vector).crossJoin(F.broadcast(asked) if few else asked)
-    return ranked(pairs.select("qid", id_col, dot(F.col(vector), F.col("__q")).alias("score")), k, id_col)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    given, found = corpus.select(id_col, vector), None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        scores = given.crossJoin(F.broadcast(block)).select("qid", id_col, dot(F.col(vector), F.col("__q")).alias("score"))
+        best = ranked(scores, k, id_col)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def rrf(*lists: DataFrame, id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:
@@ -165,36 +183,28 @@ def stem(word: Column) -> Column:
 
 
 def diversified(
-    candidates: DataFrame, per_group: int = 4, per_clause: int = 2, budget: int = 3000, k: int = 8
+    candidates: DataFrame, per_group: int = 4, per_clause: int = 2, budget: int = 3000, k: int = 8, per_list: int = 3
 ) -> DataFrame:
-    """Greedy selection in order of pos: caps by group and clause, list rows capped at three a clause only, a token
-    budget under which an oversize row is skipped (the first row is always taken), k rows at most.
+    """(qid, id, cid): a query's candidates taken in order of pos, unless a cap or the budget forbids.
 
-    candidates: qid, pos, id, grp, clause, is_list, n_words. A query's candidates are one bounded ranked list, so
-    each group is small.
+    At most k are taken, per_clause of one clause (list rows: per_list) and per_group of one group (list rows: any
+    number); the token budget passes over what doesn't fit, but never the first one taken. candidates: qid, pos, id,
+    grp, clause, is_list, n_words; a query's candidates are one ranked list of bounded length, folded in one row.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: dict = {}
-        clauses: dict = {}
-        spent, taken = 0, []
-        for row in rows.sort_values("pos").itertuples():
-            cost = int(row.n_words * 1.3) + 20
-            cap = 3 if row.is_list else per_clause
-            if clauses.get(row.clause, 0) >= cap or (not row.is_list and groups.get(row.grp, 0) >= per_group):
-                continue
-            if taken and spent + cost > budget:
-                continue
-            groups[row.grp] = groups.get(row.grp, 0) + 1
-            clauses[row.clause] = clauses.get(row.clause, 0) + 1
-            spent += cost
-            taken.append((row.qid, row.id, len(taken) + 1))
-            if len(taken) == k:
-                break
-        return pd.DataFrame(taken, columns=["qid", "id", "cid"])
-
-    schema = f"qid {candidates.schema['qid'].dataType.simpleString()}, id {candidates.schema['id'].dataType.simpleString()}, cid int"
-    return candidates.groupBy("qid").applyInPandas(pick, schema)
+    row = F.struct("pos", "id", "grp", "clause", "is_list", (F.floor(F.col("n_words") * F.lit(1.3)).cast("int") + 20).alias("cost"))
+    lists = candidates.groupBy("qid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    none = F.slice("rows", 1, 0)
+
+    def take(taken: Column, x: Column) -> Column:
+        of_clause = F.size(F.filter(taken, lambda t: t["clause"].eqNullSafe(x["clause"])))
+        of_group = F.size(F.filter(taken, lambda t: t["grp"].eqNullSafe(x["grp"])))
+        spent = F.aggregate(taken, F.lit(0), lambda a, t: a + t["cost"])
+        room = F.when(x["is_list"], of_clause < per_list).otherwise((of_clause < per_clause) & (of_group < per_group))
+        fits = (F.size(taken) == 0) | (spent + x["cost"] <= budget)
+        return F.when((F.size(taken) < k) & room & fits, F.concat(taken, F.array(x))).otherwise(taken)
+
+    picked = lists.select("qid", F.posexplode(F.aggregate("rows", none, take)).alias("at", "row"))
+    return picked.select("qid", F.col("row.id").alias("id"), (F.col("at") + 1).alias("cid"))
 
 
 def product_score(product: Column, question: Column, expansion: Column, context: Column) -> Column:

@@ -13,10 +13,10 @@ INTENT_RULES = [
     ("out_of_scope", r"(?iU)^\s*(hi|hello|hey|namaste|thanks|thank you|how are you|who are you|good (morning|evening)|tell me a joke|what'?s up)\W*$"),
     ("compare", r"(?iU)\b(compare|comparison|vs\.?|versus|difference|differences|differ)\b|तुलना|अंतर|ಹೋಲಿಕೆ|ವ್ಯತ್ಯಾಸ"),
     ("clause_lookup", r"(?iU)\b(clause|cl\.|section|annex|annexure)\s*[A-Z]?-?\d+(\.\d+)*|खंड\s*\d|ಖಂಡ\s*\d"),
-    ("applicability", r"(?iU)\b(my product|my products|my business|my company|my factory|i make|i manufacture|we make|we manufacture|we produce|i produce|i sell|we sell|apply to my|for my)\b|मेरे उत्पाद|मेरा उत्पाद"),
+    ("applicability", r"(?iU)\b(my product|my products|my business|my company|my factory|i make|i manufacture|we make|we manufacture|we produce|i produce|i sell|we sell|apply to my|for my)\b|मेरे उत्पाद|मेरा उत्पाद|ನನ್ನ ಉತ್ಪನ್ನ"),
     ("summarize", r"(?iU)\b(explain|summari[sz]e|summary|simple language|simple terms|in simple|overview of|plain language|eli5)\b|सरल|समझा|सारांश|ವಿವರಿಸಿ|ಸರಳ|ಸಾರಾಂಶ"),
     ("requirements", r"(?iU)\b(requirements?|tests?|testing|test methods?|checklist|what must|must meet|limits?|specifications? for|criteria)\b|परीक्षण|आवश्यकता|ಪರೀಕ್ಷೆ|ಅವಶ್ಯಕತೆ|ಅಗತ್ಯ"),
-    ("discover", r"(?iU)\b(which (bis |indian )?standards?|what (bis |indian )?standards?|applicable|apply to|applies to|relevant standards?|standards? (for|on|covering)|is there a standard)\b|लागू|कौन.?से.{0,10}मानक|ಅನ್ವಯ"),
+    ("discover", r"(?iU)\b(which (bis |indian )?standards?|what (bis |indian )?standards?|applicable|apply to|applies to|relevant standards?|standards? (for|on|covering)|is there a standard)\b|लागू|कौन.?से.{0,10}मानक|ಅನ್ವಯ|ಯಾವ.{0,20}ಮಾನದಂಡ"),
     ("define", r"(?iU)^\s*(what is|what's|what are|meaning of|define|definition of|what does .* mean)\b|क्या है|का अर्थ|ಎಂದರೇನು|ಅರ್ಥ"),
 ]
 NOT_A_DEFINITION = r"(?iU)\b(requirements?|tests?|testing|process|procedure|fee|steps)\b"

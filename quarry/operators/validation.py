@@ -116,7 +116,7 @@ def found_quotes(quotes: DataFrame, passages: DataFrame, quote: str, text: str,
 
     Both sides meet on hashed runs of a quote's inner words, which stand whole in every passage that holds it, as its
     first and last may be parts of longer ones: words 2 to 9 of a quote of ten or more, all inner words of one of three
-    to nine. So no pair without a common run is compared. Quotes of one or two words have no inner word and meet every
+    to nine. So no pair without a common run is compared, and no text is copied to its runs. Quotes of one or two words have no inner word and meet every
     passage; quotes are counted by length first, and up to MAX_BROADCAST_SHORT of these are broadcast.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -130,12 +130,17 @@ def found_quotes(quotes: DataFrame, passages: DataFrame, quote: str, text: str,
     met = given.crossJoin(F.broadcast(short) if few else short).where(holds).drop(text) if 0 in counts else None
     lengths = sorted(n for n in counts if n > 0)
     if lengths or met is None:
-        runs = [
-            F.expr(f"transform(sequence(0, greatest(size(__w) - {n}, 0)), i -> xxhash64(array_join(slice(__w, i + 1, {n}), ' ')))")
-            for n in lengths or [8]
-        ]
-        long_ = asked.where("__n > 0").withColumn("__run", F.expr("xxhash64(array_join(slice(__w, 2, __n), ' '))")).drop("__w", "__n")
-        seen = given.withColumn("__w", words(F.col(text))).withColumn("__run", F.explode(F.array_distinct(F.concat(*runs)))).drop("__w")
-        by_run = seen.join(long_, "__run").where(holds).drop("__run", text)
+        run = lambda n: F.expr(
+            f"transform(sequence(0, greatest(size(__w) - {n}, 0)), i -> xxhash64(array_join(slice(__w, i + 1, {n}), ' ')))"
+        )
+        coded = given.withColumn("__p", F.xxhash64(*keys, text))
+        long_ = asked.where("__n > 0").withColumn("__run", F.struct(F.expr("xxhash64(array_join(slice(__w, 2, __n), ' '))").alias("h")))
+        seen = coded.select("__p", words(F.col(text)).alias("__w")).select(
+            "__p", F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths or [8]]))).alias("h")
+        )
+        # Only hashes meet by run, joined by a struct so that Spark may split a frequent one; texts come to what is left.
+        asked_by = long_.drop("__w", "__n")
+        pairs = seen.select("__p", F.struct("h").alias("__run")).join(asked_by, "__run").drop("__run").distinct()
+        by_run = coded.join(pairs, "__p").where(holds).drop("__p", text)
         met = by_run if met is None else met.unionByName(by_run)
     return met.distinct()

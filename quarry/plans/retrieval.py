@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluation as ev
 from quarry.operators import retrieval as rt
-from quarry.plans.core import query
+from quarry.plans.core import ORACLE_SQL, query
 
-#: Three questions over the corpus: (qid, terms).
-QUESTIONS = [(0, ["the", "andtion", "ther"]), (1, ["der", "und", "sch"]), (2, ["que", "les", "oredat"])]
-_VALUES = ", ".join(f"({q}, [{', '.join(repr(t) for t in ts)}])" for q, ts in QUESTIONS)
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def questions(t, whole: bool = False):
-    """The three, or every term of each document whose id is divisible by 100."""
-    if whole:
-        return t("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), rt.tokens(F.col("text")).alias("terms"))
-    return t("region").sparkSession.createDataFrame(QUESTIONS, "qid int, terms array<string>")
+def questions(t):
+    """The query set: every term of each document whose id is divisible by 100."""
+    return t("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), rt.tokens(F.col("text")).alias("terms"))
 
 
 def _bm25_sql(columns: dict[str, float], k: int, tail: str) -> str:
@@ -29,7 +22,7 @@ def _bm25_sql(columns: dict[str, float], k: int, tail: str) -> str:
     )
     size = " + ".join(f"len({_TOKENS.format(c)})" for c in columns)
     return f"""
-WITH questions AS (SELECT qid, unnest(terms) AS term FROM (VALUES {_VALUES}) v(qid, terms)),
+WITH questions AS (SELECT doc_id AS qid, unnest(list_distinct({_TOKENS.format("text")})) AS term FROM documents WHERE doc_id % 100 = 0),
 parts AS ({parts}),
 tf AS (SELECT doc_id, term, sum(w) AS tf FROM parts WHERE term IN (SELECT term FROM questions) GROUP BY ALL),
 dl AS (SELECT doc_id, {size} AS dl FROM documents),
@@ -40,46 +33,45 @@ idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n -
 scores AS (SELECT qid, doc_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM tf JOIN idf USING (term) JOIN dl USING (doc_id) JOIN questions USING (term) GROUP BY qid, doc_id),
 bm25 AS (SELECT qid, doc_id, score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= {k})
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= {k})
 {tail}"""
 
 
-_OUT = "SELECT CAST(qid AS INTEGER) AS qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm25"
+_OUT = "SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm25"
 
 
 @query(_bm25_sql({"text": 1.0}, 40, _OUT))
-def bm25_top40(t, whole=False):
-    return rt.bm25(t("documents"), questions(t, whole), {"text": 1.0}).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+def bm25_top40(t):
+    return rt.bm25(t("documents"), questions(t), {"text": 1.0}).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql({"text": 1.0, "source": 4.0, "lang": 1.5}, 40, _OUT))
-def bm25_weighted_columns(t, whole=False):
-    found = rt.bm25(t("documents"), questions(t, whole), {"text": 1.0, "source": 4.0, "lang": 1.5})
+def bm25_weighted_columns(t):
+    found = rt.bm25(t("documents"), questions(t), {"text": 1.0, "source": 4.0, "lang": 1.5})
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def vectors(t, whole: bool = False):
-    """The first three rows as queries, or every row whose id is divisible by 100."""
-    asked = t("embeddings").where("vec_id % 100 = 0" if whole else "vec_id < 3")
-    return asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def vectors(t):
+    """The query set: every row whose id is divisible by 100."""
+    return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _COSINE = f"""cosine AS (SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank
   FROM (SELECT q.vec_id AS qid, e.vec_id, {_DOT.format("e.embedding", "q.embedding")} AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id < 3)) WHERE rank <= 40)"""
+    FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 40)"""
 
 
 @query(f"WITH {_COSINE} SELECT qid, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM cosine")
-def cosine_top40(t, whole=False):
-    return rt.cosine_topk(t("embeddings"), vectors(t, whole)).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
+def cosine_top40(t):
+    return rt.cosine_topk(t("embeddings"), vectors(t)).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"""SELECT q.vec_id AS qid, e.vec_id, round({_DOT.format("e.embedding", "q.embedding")}, 5) AS score
-FROM embeddings e, embeddings q WHERE q.vec_id < 3 AND e.label = 1
+FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.label = 1
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format("e.embedding", "q.embedding")} DESC, e.vec_id) <= 10""")
-def cosine_filtered(t, whole=False):
-    return rt.cosine_topk(t("embeddings").where("label = 1"), vectors(t, whole), 10).select("qid", "vec_id", F.round("score", 5).alias("score"))
+def cosine_filtered(t):
+    return rt.cosine_topk(t("embeddings").where("label = 1"), vectors(t), 10).select("qid", "vec_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""SELECT vec_id, round(sqrt({_DOT.format("embedding", "embedding")}), 4) AS norm,
@@ -93,38 +85,33 @@ def unit_vectors(t):
 
 _HYBRID = f""", {_COSINE},
 fused AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (
-  SELECT qid, doc_id, rank FROM bm25 UNION ALL SELECT CAST(qid AS INTEGER), vec_id, rank FROM cosine) GROUP BY qid, doc_id),
-boosted AS (SELECT qid, doc_id, score + CASE WHEN (qid, lang) IN ((0, 'en'), (1, 'de'), (2, 'fr')) THEN 0.02 ELSE 0.0 END AS total
-  FROM fused JOIN documents USING (doc_id))
-SELECT CAST(qid AS INTEGER) AS qid, doc_id, round(total, 6) AS total, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT qid, doc_id, rank FROM bm25 UNION ALL SELECT qid, vec_id, rank FROM cosine) GROUP BY qid, doc_id),
+boosted AS (SELECT f.qid, f.doc_id, score + CASE WHEN d.lang = a.lang THEN 0.02::DOUBLE ELSE 0.0 END AS total
+  FROM fused f JOIN documents d USING (doc_id) LEFT JOIN documents a ON a.doc_id = f.qid)
+SELECT qid, doc_id, round(total, 6) AS total, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(total, 9) DESC, doc_id) AS rank FROM boosted) WHERE rank <= 8"""
 
 
 @query(_bm25_sql({"text": 1.0}, 40, _HYBRID))
-def hybrid_retrieval(t, whole=False):
+def hybrid_retrieval(t):
     """BM25 and cosine lists, fused by reciprocal ranks, boosted by the question's language, best eight."""
-    lexical = rt.bm25(t("documents"), questions(t, whole), {"text": 1.0})
-    near = rt.cosine_topk(t("embeddings"), vectors(t, whole)).select("qid", F.col("vec_id").alias("doc_id"), "rank")
-    near = near if whole else near.withColumn("qid", F.col("qid").cast("int"))
+    lexical = rt.bm25(t("documents"), questions(t), {"text": 1.0})
+    near = rt.cosine_topk(t("embeddings"), vectors(t)).select("qid", F.col("vec_id").alias("doc_id"), "rank")
     fused = rt.rrf(lexical, near).join(t("documents").select("doc_id", "lang"), "doc_id")
-    if whole:
-        fused = fused.join(t("documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("asked_lang")), "qid", "left")
-        own = F.col("lang") == F.col("asked_lang")
-    else:
-        own = ((F.col("qid") == 0) & (F.col("lang") == "en")) | ((F.col("qid") == 1) & (F.col("lang") == "de")) | ((F.col("qid") == 2) & (F.col("lang") == "fr"))
+    fused = fused.join(t("documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("asked_lang")), "qid", "left")
+    own = F.col("lang") == F.col("asked_lang")
     out = rt.boosted(fused, F.lit("ask"), F.lit(""), F.array().cast("array<string>"), own)
     best = rt.ranked(out.withColumn("score", F.round("total", 9)), 8, "doc_id")
     return best.select("qid", "doc_id", F.round("total", 6).alias("total"), "rank")
 
 
-@query(f"WITH {_COSINE} SELECT label, max(round(score, 5)) AS best, min(rank) AS first_rank, count(*) AS n FROM cosine JOIN embeddings USING (vec_id) WHERE qid = 0 GROUP BY label")
-def group_best(t, whole=False):
-    asked = vectors(t, whole) if whole else vectors(t).where("qid = 0")
-    found = rt.cosine_topk(t("embeddings"), asked).join(t("embeddings").select("vec_id", "label"), "vec_id")
+@query(f"WITH {_COSINE} SELECT qid, label, max(round(score, 5)) AS best, min(rank) AS first_rank, count(*) AS n FROM cosine JOIN embeddings USING (vec_id) GROUP BY qid, label")
+def group_best(t):
+    found = rt.cosine_topk(t("embeddings"), vectors(t)).join(t("embeddings").select("vec_id", "label"), "vec_id")
     best = rt.grouped_best(found, "label", "vec_id")
     first = found.select("qid", F.col("vec_id").alias("first_id"), "rank")
     return best.join(first, ["qid", "first_id"]).select(
-        *(["qid"] if whole else []), "label", F.round("best", 5).alias("best"), F.col("rank").cast("long").alias("first_rank"), F.size("ids").cast("long").alias("n")
+        "qid", "label", F.round("best", 5).alias("best"), F.col("rank").cast("long").alias("first_rank"), F.size("ids").cast("long").alias("n")
     )
 
 
@@ -144,25 +131,25 @@ def centroid_related(t):
 @query(f"""WITH {_COSINE} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY late, rank) AS INTEGER) AS pos FROM (
 SELECT c.*, CASE WHEN label % 2 = 1 AND sum(label % 2) OVER (PARTITION BY qid ORDER BY rank) > 3 THEN 1 ELSE 0 END AS late
 FROM cosine c JOIN embeddings USING (vec_id))""")
-def stray_demotion(t, whole=False):
-    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
+def stray_demotion(t):
+    found = rt.cosine_topk(t("embeddings"), vectors(t)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
     return rt.demoted(found, F.col("label") % 2 == 1).select("qid", "vec_id", "pos")
 
 
 @query(f"""WITH {_COSINE} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank > 16 THEN 1 ELSE 0 END,
 CASE WHEN rank <= 16 THEN label + 20 * (CASE WHEN label = 3 THEN 0.02 ELSE 0.0 END) END DESC NULLS LAST, rank) AS INTEGER) AS pos
 FROM cosine JOIN embeddings USING (vec_id)""")
-def rerank_head(t, whole=False):
-    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
+def rerank_head(t):
+    found = rt.cosine_topk(t("embeddings"), vectors(t)).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumnRenamed("rank", "pos")
     boost = F.when(F.col("label") == 3, 0.02).otherwise(0.0)
     return rt.reranked_head(found, F.col("label").cast("double"), boost).select("qid", "vec_id", "pos")
 
 
 @query()
 def diversify(t):
-    """Caps and token budget over the BM25 list of the whole query set; sequential by nature, tested against a plain loop."""
+    """Caps and token budget over the BM25 list; a fold, tested against a plain loop."""
     docs = t("documents").select("doc_id", "source", "lang", F.size(F.split("text", r"\s+")).alias("n_words"))
-    found = rt.bm25(t("documents"), questions(t, whole=True), {"text": 1.0}).join(docs, "doc_id")
+    found = rt.bm25(t("documents"), questions(t), {"text": 1.0}).join(docs, "doc_id")
     rows = found.select(
         "qid", F.col("rank").alias("pos"), F.col("doc_id").alias("id"), F.col("lang").alias("grp"), F.col("source").alias("clause"),
         F.lit(False).alias("is_list"), "n_words",
@@ -170,24 +157,24 @@ def diversify(t):
     return rt.diversified(rows)
 
 
-@query(f"""WITH {_COSINE}, truth AS (SELECT q.vec_id AS qid, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 3 AND e.vec_id <> q.vec_id),
+@query(f"""WITH {_COSINE}, truth AS (SELECT q.vec_id AS qid, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 ranks AS (SELECT t.qid, min(c.rank) AS rank FROM truth t LEFT JOIN cosine c ON c.qid = t.qid AND c.vec_id = t.vec_id AND c.rank <= 10 GROUP BY t.qid)
 SELECT count(*) AS n, round_even(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 3) AS recall_at_5,
 round_even(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 3) AS mrr_at_10,
 round_even(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 3) AS hit_at_1 FROM ranks""")
-def ranking_metrics(t, whole=False):
-    found = rt.cosine_topk(t("embeddings"), vectors(t, whole)).withColumnRenamed("vec_id", "id")
-    a = vectors(t, whole).join(t("embeddings").select(F.col("vec_id").alias("qid"), "label"), "qid").select("qid", "label")
+def ranking_metrics(t):
+    found = rt.cosine_topk(t("embeddings"), vectors(t)).withColumnRenamed("vec_id", "id")
+    a = vectors(t).join(t("embeddings").select(F.col("vec_id").alias("qid"), "label"), "qid").select("qid", "label")
     truth = a.join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "label").where("qid <> id").select("qid", "id")
     return ev.ranking_metrics(ev.hit_ranks(found, truth))
 
 
-#: The same plans over the whole query set, without SQL: tested against brute force.
+#: Earlier names of the same plans.
 for _plan in (
     bm25_top40, bm25_weighted_columns, cosine_top40, cosine_filtered, hybrid_retrieval, group_best, stray_demotion, rerank_head,
     ranking_metrics,
 ):
-    query(name=f"{_plan.__name__}_whole")(partial(_plan, whole=True))
+    query(ORACLE_SQL[_plan.__name__], f"{_plan.__name__}_whole")(_plan)
 
 
 @query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,

@@ -173,7 +173,8 @@ def chunk_pack(t):
 
 
 @query("""SELECT substr(sha256(array_to_string(list_append(list(h ORDER BY g), 'v1'), ',')), 1, 16) AS fingerprint
-FROM (SELECT substr(s, 1, 3) AS g, sha256(array_to_string(list(s ORDER BY s), ',')) AS h FROM (SELECT sha256(text) AS s FROM documents) GROUP BY g)""")
+FROM (SELECT substr(g, 1, 3) AS g, sha256(array_to_string(list(g || h ORDER BY g || h), ',')) AS h FROM (
+SELECT substr(s, 1, 6) AS g, sha256(array_to_string(list(s ORDER BY s), ',')) AS h FROM (SELECT sha256(text) AS s FROM documents) GROUP BY 1) GROUP BY 1)""")
 def corpus_fingerprint(t):
     return ch.fingerprint(t("documents").select(F.sha2("text", 256).alias("sha256")), "v1")
 

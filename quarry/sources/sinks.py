@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +10,29 @@ REQUIREMENT_COLUMNS = ("standard", "clause", "heading", "modality", "topic", "se
 
 
 def publish(df: DataFrame, root: str, version: str) -> None:
-    """Write a version of a table and then name it in the pointer, so that readers never see half of one."""
+    """Write a version of a table and then append its name to the pointers, so that readers always find a whole one.
+
+    One writer at a time; readers take the pointer of the highest number.
+    """
+    spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/versions/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    try:
+        number = _pointer(spark, root)["number"] + 1
+    except AnalysisException:  # the first version
+        number = 1
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/current")
+
+
+_POINTER = "number long, version string"
+
+
+def _pointer(spark: SparkSession, root: str):
+    return spark.read.schema(_POINTER).parquet(f"{root}/current").agg(F.max(F.struct("number", "version")).alias("p")).first()["p"]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the pointer names."""
-    version = spark.read.parquet(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/versions/{version}")
+    """The newest version."""
+    return spark.read.parquet(f"{root}/versions/{_pointer(spark, root)['version']}")
 
 
 def write_requirements(df: DataFrame, path: str) -> None:

@@ -11,11 +11,13 @@ from pyspark.sql.window import Window
 
 
 def admit(times: list[float], limit: int, window: float, held: deque | None = None) -> tuple[list[bool], deque]:
-    """Which events (in order) a limiter admits. Refused events leave no trace, so a count over a range won't do."""
+    """Which events (in order) a limiter admits. Refused events leave no trace, so a count over a range won't do.
+
+    An event counts until it is older than the window; one exactly a window old still does."""
     held = deque() if held is None else held
     out = []
     for t in times:
-        while held and held[0] <= t - window:
+        while held and held[0] < t - window:
             held.popleft()
         out.append(len(held) < limit)
         if out[-1]:

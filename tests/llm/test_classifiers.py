@@ -72,3 +72,56 @@ def test_quality_with_few_or_no_labels(spark, labels):
     got = qc.quality_scores(docs, frame, learn, fold, ["doc_id", "score"]).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got) and got[1].score == got[2].score
     assert qc.quality_scores(docs.limit(0), frame, learn, fold, ["doc_id"]).count() == 0
+
+
+def test_language_predictions_against_a_plain_loop(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = lid.fit(docs, crc32_mod("doc_id", 4) != 2)
+    found = {r.doc_id: r for r in lid.identify(docs, model, ["doc_id"]).collect()}
+    mask = 2**32 - 1
+    for row in docs.where("length(text) < 4000").collect()[:60]:
+        data = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in row.text.encode()) + b" "
+        total, count = np.zeros(len(model.languages)), 0
+        for n in (3, 4):
+            for i in range(len(data) - n + 1):
+                code = n
+                for b in data[i : i + n]:
+                    code = (code * 0x01000193 + b) & mask
+                code = ((code ^ code >> 15) * 0x2C1B3C6D) & mask
+                total, count = total + model.scores[code >> 19], count + 1
+        z = (total / max(1, count) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if any(c.isalpha() for c in row.text):
+            assert found[row.doc_id].lang_pred == model.languages[int(p.argmax())]
+            assert found[row.doc_id].score == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_training_follows_the_gradient():
+    rng = np.random.default_rng(2)
+    rows = [(i % 3, np.array([i % 3, 3 + i % 7], np.int32), np.array([0.5, 0.5], np.float32)) for i in range(90)]
+    rng.shuffle(rows := list(rows))
+    scores, bias = lid.train(rows, 3)
+    assert all(int((share @ scores[at] + bias).argmax()) == c for c, at, share in rows)
+
+
+def test_every_language_has_a_sample_of_its_own(spark):
+    rows = [(i, f"{chr(0x410 + i % 250)}{chr(0x420 + i % 250)}{chr(0x430 + i % 250)} " * 5, f"l{i % 250}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.fit(docs, crc32_mod("doc_id", 4) != 2)
+    assert len(model.languages) == 250
+
+
+def test_ridge_equals_dense_least_squares(spark):
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    frame = qc.with_statistics(docs, ["doc_id"]).join(labels, "doc_id").selectExpr("__stats", "cast(quality as int) y", "cast(doc_id % 2 as int) fold")
+    model = qc.fit(frame.repartition(5))
+    rows = frame.where("fold = 0").collect()
+    x, y = np.array([r["__stats"] for r in rows]), np.array([r.y for r in rows], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1))
+    z = np.sqrt(2 / qc.FEATURES) * np.cos(np.clip((x - x.mean(0)) / model.scale, -6, 6) @ model.weights + model.offsets)
+    z = np.hstack([z, np.ones((len(z), 1))])
+    drag = np.sqrt(qc.RIDGE * len(x)) * np.eye(qc.FEATURES + 1)[:-1]
+    beta = np.linalg.lstsq(np.vstack([z, drag]), np.concatenate([y, np.zeros(qc.FEATURES)]), rcond=None)[0]
+    assert np.allclose(z @ beta, model.raw(x), atol=1e-4)

@@ -17,7 +17,7 @@ def test_a_hot_key_passes_in_batches(spark):
     held, filled, allowed, hit = {}, {}, {}, {}
     for k, i, t in sorted(events, key=lambda e: (e[2], e[1])):
         d = held.setdefault(k, deque())
-        while d and d[0] <= t - 10:
+        while d and d[0] < t - 10:
             d.popleft()
         allowed[i] = len(d) < 3
         if allowed[i]:

@@ -1,11 +1,13 @@
 """Every registered query against its DuckDB counterpart, and the rest against brute force or known answers."""
 
 import math
+import random
 import sqlite3
 from collections import Counter, deque
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import chunking, retrieval
 from quarry.plans.registry import FLAGSHIP, ORACLE_SQL, QUERIES
@@ -49,12 +51,15 @@ def test_flagship_is_registered():
 
 
 def test_limiter_against_a_loop(spark):
+    from quarry.streaming.limits import admit
+
+    assert admit([0.0, 60.0, 60.5], 1, 60.0)[0] == [True, False, True]  # one exactly a window old still counts
     events = spark.read.parquet(f"{SF}/events.parquet")
     held, want = {}, {}
     for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
         d = held.setdefault(r.user_id, deque())
         t = r.ts.timestamp()
-        while d and d[0] <= t - 6 * 3600:
+        while d and d[0] < t - 6 * 3600:
             d.popleft()
         want[r.event_id] = len(d) < 3
         if want[r.event_id]:
@@ -79,19 +84,45 @@ def test_diversify_takes_caps_and_budget(spark):
     frame = spark.createDataFrame(rows_, "qid int, pos int, id int, grp string, clause int, is_list boolean, n_words int")
     got = [r.id for r in retrieval.diversified(frame).orderBy("cid").collect()]
     assert got == [1]  # the first is always taken and uses up the budget
+    assert [(r.cid, r.id) for r in retrieval.diversified(frame.where("pos > 1"), per_group=1, k=3).orderBy("cid").collect()] == [(1, 2), (2, 4), (3, 5)]
     small = frame.where("pos > 1")
     assert [r.id for r in retrieval.diversified(small, per_clause=1).orderBy("cid").collect()] == [2, 4, 5, 6, 7]
 
 
-def test_packing_rules():
+def packs(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.p for r in frame.select("i", chunking.packed(F.trim("t")).alias("p")).orderBy("i").collect()]
+
+
+def cost(text):
+    return int(len(text.split()) * 1.3) + 1
+
+
+def test_packing_rules(spark):
     text = "\n\n".join(f"Sentence number {i} has a handful of words in it." for i in range(200))
-    parts = chunking.packed(text)
-    assert len(parts) > 1 and all(chunking._cost(p) <= 470 for p in parts)
-    assert all(f"number {i} " in " ".join(parts) for i in range(200))
     long_ = "start.\n\n" + " ".join(["word"] * 1000) + "\n\nend of it"
-    cut = chunking.packed(long_)
+    parts, cut, *rest = packs(spark, [text, long_, "", " a "])
+    assert len(parts) > 1 and all(cost(p) <= 470 for p in parts)
+    assert all(f"number {i} " in " ".join(parts) for i in range(200))
     assert [len(c.split()) for c in cut[1:5]] == [269, 269, 269, 193] and cut[-1].endswith("end of it") and cut[-1].startswith("start.")
-    assert chunking.packed("") == [] and chunking.packed(" a ") == ["a"]
+    assert rest == [[], ["a"]]
+
+
+def test_packing_by_its_definition(spark):
+    """Every chunk is as long as the target allows and begins with the longest run of units that fits the overlap."""
+    rng = random.Random(4)
+    texts = ["\n\n".join(" ".join(f"u{n}x{i}" for i in range(rng.randrange(1, 90))) for n in range(60)) for _ in range(8)]
+    for text, parts in zip(texts, packs(spark, texts)):
+        units = text.split("\n\n")
+        runs = [[units.index(u) for u in p.split("\n\n")] for p in parts]
+        assert all(run == list(range(run[0], run[-1] + 1)) for run in runs) and runs[0][0] == 0 and runs[-1][-1] == 59
+        for run, after in zip(runs, runs[1:]):
+            new = run[-1] + 1
+            assert sum(cost(units[i]) for i in run) <= 350 < sum(cost(units[i]) for i in run) + cost(units[new])
+            kept = [i for i in after if i < new]
+            assert sum(cost(units[i]) for i in kept) <= 52.5 and new in after
+            earlier = (kept[0] if kept else new) - 1
+            assert sum(cost(units[i]) for i in kept) + cost(units[earlier]) > 52.5
 
 
 def test_page_clauses_of_a_known_page():
@@ -119,6 +150,75 @@ def test_bm25_equals_full_text_search(spark):
     assert {r.doc_id: round(r.score, 9) for r in got.collect()} == want
 
 
+def test_stemmed_bm25_equals_full_text_search(spark):
+    docs = [(i, t) for i, t in enumerate(["Safety helmets for riders", "a helmet", "cafés and a café", "caresses of ponies", "relational hopping", "generalizations, oscillators", "nothing else"])]
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize = 'porter unicode61 remove_diacritics 2')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search here")
+    con.executemany("INSERT INTO f(rowid, text) VALUES (?, ?)", docs)
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    for words in (["helmet", "cafe"], ["caress", "pony", "relate"], ["hop", "generalize", "oscillate"], ["helmets"]):
+        want = {i: round(s, 9) for i, s in con.execute("SELECT rowid, -bm25(f) FROM f WHERE f MATCH ?", [" OR ".join(words)])}
+        queries = spark.createDataFrame([(0, words)], "qid int, terms array<string>")
+        got = retrieval.bm25(corpus, queries, {"text": 1.0}, stem=True)
+        assert {r.doc_id: round(r.score, 9) for r in got.collect()} == want
+
+
+def test_stems_equal_the_full_text_index():
+    from quarry.functions.stemming import plain_letters, stem_word
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize = 'porter unicode61 remove_diacritics 2')")
+        con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, 'row')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search here")
+    rng = random.Random(6)
+    ends = "s es ies ed ing eed ational ization iveness fulness ousli biliti logi bli al ance ement ion sion tion e ll y ative ical ness ize ator".split()
+    words = {"".join(rng.choice("abcdeioulmnrstwxyz") for _ in range(rng.randrange(1, 7))) + rng.choice(["", *ends]) + rng.choice(["", "", *ends]) for _ in range(4000)}
+    words |= {"hopefulness", "sky", "caress", "agreed", "conflated", "falling", "filing", "roll", "controlling", "ééé", "señor", "w" * 70 + "ing"}
+    for w in words:
+        con.execute("DELETE FROM f")
+        con.execute("INSERT INTO f VALUES (?)", [w])
+        (want,) = con.execute("SELECT term FROM v").fetchone()
+        assert stem_word(plain_letters(w)) == want, w
+
+
+def test_paths_of_deep_trees_and_cycles(spark):
+    from quarry.operators.lines import clause_paths
+
+    chain = [(1, i, i - 1 if i else None) for i in range(20)] + [(1, 50, 49), (2, 0, None)]
+    frame = spark.createDataFrame(chain, "doc int, node int, parent int")
+    got = {(r.doc, r.node): (r.level, r.path) for r in clause_paths(frame, "doc", "node", "parent", F.col("node").cast("string")).collect()}
+    assert got[1, 19] == (20, " › ".join(map(str, range(20)))) and got[1, 50] == (1, "50") and got[2, 0] == (1, "0") and len(got) == 22
+    with pytest.raises(ValueError):
+        clause_paths(spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, None)], frame.schema), "doc", "node", "parent", F.lit("x"))
+
+
+def test_cosine_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rng = random.Random(1)
+    rows_ = [(i, [rng.random(), rng.random()]) for i in range(30)]
+    frame = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    got = retrieval.cosine_topk(frame, frame.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), 3)
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
+    want = {(q, v) for q, x in rows_ for v, _ in sorted(((v, dot(x, y)) for v, y in rows_), key=lambda p: (-round(p[1], 9), p[0]))[:3]}
+    assert {(r.qid, r.vec_id) for r in got.collect()} == want
+
+
+def test_sweep_counts_by_definition(spark):
+    from quarry.operators.evaluation import threshold_sweep
+
+    rng = random.Random(2)
+    rows_ = [(round(rng.uniform(-9, 3), rng.choice([1, 2, 5])), rng.random() < 0.5) for _ in range(300)] + [(0.29, True), (0.57, False)]
+    got = {round(r.threshold, 2): (r.refusal, r.false_refusal) for r in threshold_sweep(spark.createDataFrame(rows_, "score double, answerable boolean")).collect()}
+    bad, good = [s for s, a in rows_ if not a], [s for s, a in rows_ if a]
+    for t, (x, y) in got.items():
+        assert x == pytest.approx(sum(s < t for s in bad) / len(bad)) and y == pytest.approx(sum(s < t for s in good) / len(good)), t
+
+
 def test_rank_fusion_known_case(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "qid int, doc_id int, rank int")
     b = spark.createDataFrame([(0, 3, 1), (0, 1, 2)], "qid int, doc_id int, rank int")

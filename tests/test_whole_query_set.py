@@ -93,7 +93,7 @@ def lexical(docs, columns):
             for d in docs:
                 if n := tf[d].get(term):
                     scores[d] = scores.get(d, 0) + (idf if idf > 0 else 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[d] / mean))
-        out[q] = sorted(scores.items(), key=lambda p: (-round(p[1], 9), p[0]))[:40]
+        out[q] = sorted(scores.items(), key=lambda p: (-round(p[1], 6), p[0]))[:40]
     assert len(out) > 1
     return out
 
