@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from quarry.tables import shared_dir, written  # noqa: F401  operators take them from here
+
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = "\\x20\\x09-\\x0D"
@@ -20,33 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir.
-
-    Where none is named, a local master has a temporary one; a cluster raises ValueError, as its executors would write
-    to disks of their own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="quarry-"))
-        folder = _own[0]
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drawn(rows: DataFrame, group: str, id_col: str, counts: dict, each: int) -> DataFrame:
     """`each` rows of every group at most (all of a smaller one), drawn by a hash of the id, with their place __rank.
 
