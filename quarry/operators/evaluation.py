@@ -79,3 +79,29 @@ def threshold_sweep(scores: DataFrame, extra: tuple[float, ...] = (-8.0, -6.0, -
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The row of the best score; the smallest threshold among equals."""
     return swept.orderBy(F.desc("score"), "threshold").limit(1)
+
+
+def expected_ranks(results: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, rank): best rank within k of a passage (qid, rank, slug, number, path) of an expected document (qid, slug,
+    clause): the clause itself, one below it, or a path that begins with it; any clause where none is named."""
+    clause = F.col("clause")
+    hit = clause.isNull() | (F.col("number") == clause) | F.col("number").startswith(F.concat(clause, F.lit("."))) | F.col("path").startswith(F.concat(clause, F.lit(" ")))
+    met = results.where(F.col("rank") <= k).join(expected, ["qid", "slug"]).where(hit).groupBy("qid").agg(F.min("rank").alias("rank"))
+    return expected.select("qid").distinct().join(met, "qid", "left")
+
+
+def fact_hits(answers: DataFrame, facts: DataFrame) -> DataFrame:
+    """(qid, facts, hits): how many of a question's facts (qid, fact) its answer (qid, text) holds, whatever the case."""
+    found = F.coalesce(F.lower("text").contains(F.lower("fact")), F.lit(False))
+    return facts.join(answers, "qid", "left").groupBy("qid").agg(F.count("*").alias("facts"), F.count_if(found).alias("hits"))
+
+
+def judged(refuse: Column, refused: Column, any_answer: Column, number_hit: Column, doc: Column, wanted: Column, avoided: Column) -> Column:
+    """Whether an everyday question was handled well. number_hit is null where no number is expected; wanted and
+    avoided are words of the first source's title, wanted null where none is."""
+    low = F.lower(F.coalesce(doc, F.lit("")))
+    source = F.exists(wanted, lambda w: low.contains(w)) & ~F.coalesce(F.exists(avoided, lambda w: low.contains(w)), F.lit(False))
+    return (
+        F.when(refuse, refused).when(refused, F.lit(False)).when(any_answer, F.lit(True)).when(number_hit.isNotNull(), number_hit)
+        .otherwise(F.coalesce(source, F.lit(False)))
+    )
