@@ -25,26 +25,3 @@ def query(sql: str | None = None, name: str | None = None):
         return plan
 
     return add
-
-
-def fixture(name: str, rows: list[tuple], columns: str, outputs: str, plan):
-    """Register a query over literal rows whose last column holds the expected value.
-
-    columns is the rows' schema; outputs are (name type) pairs of which plan(df) gives the value named `got`.
-    The oracle returns the expected literals, so it never depends on this library's output.
-    """
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, {columns}")
-        return plan(frame).select("id", "got")
-
-    def literal(x) -> str:
-        if x is None:
-            return f"CAST(NULL AS {outputs})"
-        if isinstance(x, bool):
-            return str(x).upper()
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-    values = ", ".join(f"({i}, {literal(r[-1])})" for i, r in enumerate(rows))
-    QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT CAST(id AS INTEGER) AS id, CAST(got AS {outputs}) AS got FROM (VALUES {values}) v(id, got)"

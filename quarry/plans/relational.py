@@ -8,7 +8,7 @@ from quarry.operators import relations as rel
 from quarry.operators import understanding as un
 from quarry.operators import validation as val
 from quarry.operators.lines import clause_paths, numbered_again
-from quarry.plans.core import fixture, query
+from quarry.plans.core import query
 
 
 @query("""SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey
@@ -128,87 +128,25 @@ def ablation(t):
     return out.select("item_id", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
-fixture(
-    "quote_norm", [("“Lead”  — Pb | 0.01.", '"lead" - pb 0.01'), ("contain-\nment", "containment"), (" A;", "a")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", val.norm_text(F.col("raw")).alias("got")),
-)
-fixture(
-    "number_support", [("Use 5 000 mg of IS 302 [C1], 0.50 and 1,000.", "5000|0.5|1000"), ("no digits", ""), ("6.5 to 8.5", "6.5|8.5")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", F.array_join(val.numbers_in(F.col("raw")), "|").alias("got")),
-)
-fixture(
-    "evidence_strength",
-    [(0, 5.0, 1.0, "none"), (2, 3.5, 0.9, "strong"), (1, 3.5, 0.9, "moderate"), (2, 1.0, 0.6, "moderate"), (3, -1.0, 1.0, "limited"), (2, None, 1.0, "moderate"), (2, 4.0, 0.4, "limited")],
-    "cited int, relevance double, survived double, want string", "VARCHAR",
-    lambda d: d.select("id", val.strength(F.col("cited"), F.col("relevance"), F.col("survived")).alias("got")),
-)
-fixture(
-    "gate",
-    [(0, True, None, None, None, True, False), (3, True, None, None, None, True, True), (3, False, -3.9, None, None, True, True),
-     (3, False, 0.9, None, None, False, False), (3, False, None, 0.7, 0.5, True, True), (3, False, None, 0.7, 0.5, False, False), (3, False, None, 0.5, 1.0, True, False)],
-    "n int, scoped boolean, rerank double, cosine double, coverage double, live boolean, want boolean", "BOOLEAN",
-    lambda d: d.select("id", val.gate(F.col("n"), F.col("scoped"), F.col("rerank"), F.col("cosine"), F.col("coverage"), F.col("live")).alias("got")),
-)
-fixture(
-    "term_coverage", [("helmet strength", "Helmets shall be strong", 0.5), ("bulb wattage", "lamps", 0.0), ("", "x", 1.0)],
-    "words string, text string, want double", "DOUBLE",
-    lambda d: d.select("id", val.coverage(F.filter(F.split("words", " "), lambda w: w != ""), F.col("text")).alias("got")),
-)
-fixture(
-    "strip_addresses", [("see https://a.in/x and http://b.org/y", "see https://a.in/x and "), ("none", "none")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", val.strip_addresses(F.col("raw"), F.array(F.lit("https://a.in"))).alias("got")),
-)
-fixture(
-    "intent",
-    [("hello", "out_of_scope"), ("Compare IS 1 and IS 2", "compare"), ("what does clause 4.2 say", "clause_lookup"), ("I make helmets, what applies?", "applicability"),
-     ("summarise IS 14543", "summarize"), ("testing of helmets", "requirements"), ("which standard covers toys", "discover"), ("what is drinking water", "define"),
-     ("what is the process for a licence", "ask"), ("helmet colours", "ask")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", un.intent(F.col("raw")).alias("got")),
-)
-fixture(
-    "language", [("what is this", "en"), ("यह क्या है", "hi"), ("ಇದು ಏನು", "kn"), ("123", "en")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", un.language(F.col("raw")).alias("got")),
-)
-fixture(
-    "content_terms", [("What is the pH limit of IS 14543 water?", "pH|limit|14543|water"), ("a the", "")],
-    "raw string, want string", "VARCHAR",
-    lambda d: d.select("id", F.array_join(F.filter(un.content_terms(F.col("raw")), lambda w: w != ""), "|").alias("got")),
-)
-fixture(
-    "clause_refs", [("see clause 4.2.1 and Table 3, Annex B", "4.2.1|Table 3|Annex B"), ("sec. A-2", "A-2"), ("none", "")],
-    "raw string, want string", "VARCHAR", lambda d: d.select("id", F.array_join(un.clause_refs(F.col("raw")), "|").alias("got")),
-)
-
-
-@query("""WITH u AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent
+
+
+def _found(pattern: str) -> str:
+    return f"regexp_matches(text, '{pattern.replace('(?iU)', '(?i)').replace(chr(39), chr(39) * 2)}')"
+
+
+_INTENT = "CASE " + " ".join(
+    f"WHEN {_found(p)}{f' AND NOT {_found(un.NOT_A_DEFINITION)}' if n == 'define' else ''} THEN '{n}'" for n, p in un.INTENT_RULES
+) + " ELSE 'ask' END"
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent, {_INTENT} AS intent
 FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CAST(coalesce(len(recent), 0) AS INTEGER) AS n_recent, coalesce(recent[len(recent)], '') AS last_question FROM u""")
+SELECT conv_id, turn, CAST(coalesce(len(recent), 0) AS INTEGER) AS n_recent, coalesce(recent[len(recent)], '') AS last_question, intent,
+coalesce(len(recent), 0) > 0 AND ({_found(un.ANAPHORA)} OR len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) <= 6
+ OR intent IN ('requirements', 'summarize', 'compare', 'clause_lookup')) AS follow_up FROM u""")
 def follow_up_context(t):
     out = un.follow_ups(t("conversations"))
-    return out.select("conv_id", "turn", F.size("recent").alias("n_recent"), F.coalesce(F.get("recent", F.size("recent") - 1), F.lit("")).alias("last_question"))
-
-
-DRAFT_SOURCES = [
-    ("d1", "C1", "Lead (Pb) shall not exceed 0.01 mg/l in packaged drinking water.", "4.2.1", "IS 14543:2016", 3, 3, False),
-    ("d1", "C2", "Helmets shall pass the impact test at 400 J.", "5", "DEMO-101:2026", 7, 8, True),
-]
-DRAFT_POINTS = [
-    ("d1", 0, "Lead is limited to 0.01 mg/l.", "shall not exceed 0.01 mg/l", ["C1"], None),
-    ("d1", 1, "Lead is limited to 0.05 mg/l.", None, ["C1"], "unsupported number"),
-    ("d1", 2, "Helmets are tested.", None, ["C9"], "no citation"),
-    ("d1", 3, "Lead is limited.", "is strictly forbidden anywhere", ["C1"], "quote not found"),
-    ("d1", 4, "Both are limited.", None, ["C1", "C2"], "sample and official mixed"),
-    ("d1", 5, "IS 9999 limits lead, see clause 4.2.", None, ["C1"], "unknown standard"),
-    ("d1", 6, "Clause 4.2 on page 3 limits lead.", None, ["C1"], None),
-]
-
-
-@query("SELECT point, \"drop\" FROM (VALUES " + ", ".join(f"({p[1]}, {'NULL' if p[5] is None else repr(p[5])})" for p in DRAFT_POINTS) + ') v(point, "drop")')
-def validated_points(t):
-    spark = t("region").sparkSession
-    sources = spark.createDataFrame(DRAFT_SOURCES, "draft string, cid string, text string, clause string, number string, page_start int, page_end int, synthetic boolean")
-    points = spark.createDataFrame([p[:5] for p in DRAFT_POINTS], "draft string, point int, text string, quote string, citations array<string>")
-    return val.checked_points(points, sources).select("point", "drop")
+    return out.select("conv_id", "turn", F.size("recent").alias("n_recent"), F.coalesce(F.get("recent", F.size("recent") - 1), F.lit("")).alias("last_question"), "intent", "follow_up")
 
 
 @query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_name) AS names, count(*) FILTER (WHERE p_size > 25) AS large FROM part GROUP BY ROLLUP (p_brand)""")
