@@ -96,3 +96,17 @@ def number_matches(found: Column, expected: Column) -> Column:
         (base == expected) | base.startswith(F.concat(expected, F.lit(" "))) | base.startswith(F.concat(expected, F.lit("("))),
         F.lit(False),
     )
+
+
+def number_spans(text: Column) -> Column:
+    """(number, start, end) of every number in a text, places from 1, end behind the last character."""
+    plain = F.coalesce(text, F.lit(""))
+    start = F.from_json(F.lit('{"at":1,"out":[]}'), "struct<at:int,out:array<struct<number:string,start:int,end:int>>>")
+
+    def add(acc: Column, m: Column) -> Column:
+        whole = F.trim(m["whole"])
+        at = F.position(whole, F.translate(plain, " ", " "), acc["at"])
+        span = F.struct(_canonical(m).alias("number"), at.alias("start"), (at + F.length(whole)).alias("end"))
+        return F.struct((at + F.length(whole)).alias("at"), F.when(_is_number(m), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(_matches(text), start, add, lambda acc: acc["out"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.identifiers import NUMBER_PATTERN, all_numbers, base_number
+from quarry.operators.understanding import clause_refs
 
 # What counts as a number, a citation and an address.
 PLAIN_NUMBER = r"(?<![\w.])(\d{1,3}(?:[ ,]\d{3})+|\d+(?:\.\d+)?)(?![\w.]*\d)"
@@ -53,13 +54,16 @@ def checked_points(points: DataFrame, sources: DataFrame) -> DataFrame:
 
     points: draft, point, text, quote, citations (array). sources: draft, cid, text, clause, number, page_start,
     page_end, synthetic. Reasons in order: no citation, quote not found, sample and official mixed, unknown standard,
-    unsupported number. Quotes under 12 characters (3 once normalised) aren't looked for.
+    unsupported number, unsupported clause. A clause that a point names must be a cited passage's own, above or below
+    it, or stand in its text; one of the draft's other passages will do for a numbered clause. Quotes under 12 characters (3 once normalised) aren't looked for.
     """
     views = sources.select(
         "draft", "cid", norm_text(F.col("text")).alias("flat"), "synthetic",
         source_numbers(*(F.col(c) for c in ("text", "clause", "number", "page_start", "page_end"))).alias("numbers"),
         F.concat(F.transform(all_numbers(F.col("text")), base_number), F.array(base_number(F.col("number")))).alias("bases"),
+        norm_text(F.coalesce("clause", F.lit(""))).alias("place"),
     )
+    places = views.groupBy("draft").agg(F.collect_set("place").alias("__places"))
     cited = points.select("draft", "point", "quote", F.explode_outer(F.array_distinct("citations")).alias("cid"))
     joined = cited.join(views, ["draft", "cid"], "left")
     quote = norm_text(F.col("quote"))
@@ -69,14 +73,23 @@ def checked_points(points: DataFrame, sources: DataFrame) -> DataFrame:
         F.bool_or(F.coalesce(~looked, F.lit(True)) | F.coalesce(F.col("flat").contains(quote), F.lit(False))).alias("quoted"),
         F.count_distinct("synthetic").alias("kinds"),
         F.flatten(F.collect_list("numbers")).alias("numbers"), F.flatten(F.collect_list("bases")).alias("bases"),
+        F.collect_list(F.when(F.col("flat").isNotNull(), F.struct("place", "flat"))).alias("held"),
     )
-    out = points.join(seen, ["draft", "point"])
+    out = points.join(seen, ["draft", "point"]).join(places, "draft", "left")
     standards = F.transform(all_numbers(F.col("text")), base_number)
     strange = F.size(F.array_except(standards, F.filter("bases", lambda x: x.isNotNull()))) > 0
     loose = F.size(F.array_except(numbers_in(F.col("text")), F.col("numbers"))) > 0
+    below = lambda a, b: a.startswith(F.concat(b, F.lit(".")))
+    here = lambda r: F.exists(
+        "held", lambda h: (h["place"] == r) | below(h["place"], r) | ((h["place"] != "") & below(r, h["place"])) | h["flat"].contains(r) | h["place"].contains(r)
+    )
+    elsewhere = lambda r: r.rlike(r"^(?:[a-h]-)?\d") & F.array_contains(F.coalesce("__places", F.array().cast("array<string>")), r)
+    refs = F.transform(clause_refs(F.col("text")), lambda r: norm_text(r))
+    lost = F.exists(refs, lambda r: ~here(r) & ~elsewhere(r))
     reason = (
         F.when(F.size("cited") == 0, "no citation").when(~F.col("quoted"), "quote not found")
         .when(F.col("kinds") > 1, "sample and official mixed").when(strange, "unknown standard").when(loose, "unsupported number")
+        .when(lost, "unsupported clause")
     )
     return out.select(*points.columns, "cited", reason.alias("drop"))
 

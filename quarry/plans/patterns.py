@@ -219,7 +219,7 @@ def clause_refs(t):
     return rows(t, F.array_join(un.clause_refs(pick(c(s("see clause "), N, s("."), S, s(" and Table "), S, s(", Annex B")), c(s("sec. A-"), S), "none")), "|"))
 
 
-@query(_sql(_pick("NULL", "'unsupported number'", "'no citation'", "'quote not found'", "'sample and official mixed'", "'unknown standard'", "NULL")))
+@query(_sql(_pick("NULL", "'unsupported number'", "'no citation'", "'quote not found'", "'sample and official mixed'", "'unknown standard'", "NULL", "NULL", "'unsupported clause'")))
 def validated_points(t):
     one = lambda cid, text, clause, number, sample: F.struct(
         s(cid).alias("cid"), text.alias("text"), clause.alias("clause"), number.alias("number"), s(3).alias("page_start"), s(4).alias("page_end"), s(sample).alias("synthetic")
@@ -228,10 +228,11 @@ def validated_points(t):
     both = F.array(one("C1", held, c(s("4."), S), c(s("IS "), N, s(":"), Y), False), one("C2", c(s("Other text on "), "p_type"), s("5"), s("DEMO-101"), True))
     sources = t("part").select(K.alias("draft"), F.explode(both).alias("x")).select("draft", "x.*")
     text = pick(
-        c(s("At most 0."), N, s(" mg.")), c(s("At most 7."), N, s(" mg.")), "None is named.", "A quote is given.", "Both are named.", c(s("IS 9"), N, s(" says so.")), c(s("See 4."), S, s(" on page 3."))
+        c(s("At most 0."), N, s(" mg.")), c(s("At most 7."), N, s(" mg.")), "None is named.", "A quote is given.", "Both are named.", c(s("IS 9"), N, s(" says so.")), c(s("See 4."), S, s(" on page 3.")),
+        c(s("As clause 4."), S, s(" says.")), "As Annex Q says."
     )
-    quote = pick(c(s("shall not exceed 0."), N), None, None, "is strictly forbidden anywhere", None, None, c("p_name", s(" SHALL not exceed")))
-    cites = F.split(pick("C1", "C1", "C9", "C1", "C1 C2", "C1", "C1"), " ")
+    quote = pick(c(s("shall not exceed 0."), N), None, None, "is strictly forbidden anywhere", None, None, c("p_name", s(" SHALL not exceed")), None, None)
+    cites = F.split(pick("C1", "C1", "C9", "C1", "C1 C2", "C1", "C1", "C1", "C1"), " ")
     points = t("part").select(K.alias("draft"), s(0).alias("point"), text.alias("text"), quote.alias("quote"), cites.alias("citations"))
     return val.checked_points(points, sources).select(F.col("draft").alias("p_partkey"), F.col("drop").alias("got"))
 

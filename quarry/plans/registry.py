@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import answers, catalogue, patterns, relational, retrieval, stateful, text  # noqa: F401  they register their queries
+from quarry.plans import answers, catalogue, details, patterns, relational, retrieval, stateful, text  # noqa: F401  they register their queries
 from quarry.plans.core import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_retrieval"
