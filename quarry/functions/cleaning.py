@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ HEADING_KINDS = [
 def normalize_text(text: Column) -> Column:
     """Separators to blanks, zero-width marks and soft hyphens away, ligatures spelt out, blanks collapsed.
 
-    Composition to NFC isn't built into Spark and is left to the source.
+    Composition to NFC isn't built into Spark: composed() does it, in Arrow batches.
     """
     out = F.regexp_replace(text, "[​⁠]+", " ")
     out = F.regexp_replace(out, "[‌‍﻿­]", "")
@@ -43,6 +46,16 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(out, " ", " "), r"[ \t\f\x0B]+", " "), F.lit(" \n\t\r\f\x0b"))
 
 
+@F.pandas_udf("string")
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """Letters and their marks in one character (NFC); plain texts don't leave the JVM's columns."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+
+
 def join_wrapped(lines: Column) -> Column:
     """One paragraph from its lines: blank ones skipped, a hyphen between two lower-case letters healed."""
     stripped = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")

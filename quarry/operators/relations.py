@@ -25,12 +25,19 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int =
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def facets(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Counts by (first, second) and by second alone under the same filter, in one scan; `level` tells which."""
+def facets(df: DataFrame, first: str, second: str, most: int | None = None) -> DataFrame:
+    """Counts by (first, second) and by second alone under the same filter, in one scan; `level` tells which.
+
+    With `most`, only so many pairs are listed, the largest ones, as a filter shows them.
+    """
     both = df.groupingSets([[F.col(first), F.col(second)], [F.col(second)]], first, second).agg(
         F.grouping(first).alias("level"), F.count("*").alias("n")
     )
-    return both.select(first, second, F.when(F.col("level") == 1, "second").otherwise("both").alias("level"), "n")
+    out = both.select(first, second, F.when(F.col("level") == 1, "second").otherwise("both").alias("level"), "n")
+    if most is None:
+        return out
+    pairs = out.where("level = 'both'").orderBy(F.desc("n"), first, second).limit(most)
+    return pairs.unionByName(out.where("level = 'second'"))
 
 
 def typeahead(df: DataFrame, column: str, typed: str, tie: str, k: int = 8) -> DataFrame:

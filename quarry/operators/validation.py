@@ -94,6 +94,52 @@ def checked_points(points: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select(*points.columns, "cited", reason.alias("drop"))
 
 
+def checked_summaries(drafts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(draft, summary): the sentences of a draft's summary (draft, text) that its sources bear out.
+
+    Markers of unknown sources go. A summary that cites both sample and official sources is dropped whole. A sentence
+    is dropped where it names an unknown standard, a number that its sources (all of them, if it cites none) don't have,
+    or any number without citing a source. sources: draft, cid, text, clause, number, page_start, page_end, synthetic.
+    """
+    views = sources.groupBy("draft").agg(
+        F.collect_list(
+            F.struct(
+                "cid", "synthetic", source_numbers(*(F.col(c) for c in ("text", "clause", "number", "page_start", "page_end"))).alias("numbers"),
+                F.concat(F.transform(all_numbers(F.col("text")), base_number), F.array(base_number(F.col("number")))).alias("bases"),
+            )
+        ).alias("held")
+    )
+    joined = drafts.join(views, "draft", "left").withColumn("held", F.coalesce("held", F.array().cast(views.schema["held"].dataType)))
+    markers = lambda t: F.regexp_extract_all(t, F.lit(CITATION), F.lit(1))
+    cited = lambda t: F.filter("held", lambda h: F.array_contains(markers(t), h["cid"]))
+    known = F.transform("held", lambda h: h["cid"])
+    sentences = F.split(F.trim("text"), r"(?<=[.!?\]])\s+(?=[A-Z0-9\"'(])")
+
+    def clean(t: Column) -> Column:
+        return F.aggregate(F.array_except(markers(t), known), t, lambda a, m: F.replace(a, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
+
+    def stands(t: Column) -> Column:
+        own = cited(t)
+        pool = F.when(F.size(own) > 0, own).otherwise(F.col("held"))
+        bases = F.flatten(F.transform("held", lambda h: F.filter(h["bases"], lambda b: b.isNotNull())))
+        numbers = F.flatten(F.transform(pool, lambda h: h["numbers"]))
+        strange = F.size(F.array_except(F.transform(all_numbers(t), base_number), bases)) > 0
+        loose = F.size(F.array_except(numbers_in(t), numbers)) > 0
+        bare = (F.size(own) == 0) & (F.size(numbers_in(t)) > 0)
+        return ~strange & ~loose & ~bare
+
+    kept = F.filter(F.transform(sentences, clean), lambda t: (F.trim(t) != "") & stands(t))
+    mixed = F.size(F.array_distinct(F.transform(cited(F.col("text")), lambda h: h["synthetic"]))) > 1
+    return joined.select("draft", F.when(mixed, "").otherwise(F.array_join(F.transform(kept, lambda t: F.trim(t)), " ")).alias("summary"))
+
+
+def kept_items(items: Column, bases: Column, most: int = 6) -> Column:
+    """A list's items, blanks collapsed, without those that name an unknown standard; the first ones."""
+    flat = F.filter(F.transform(items, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    known = F.filter(flat, lambda t: F.size(F.array_except(F.transform(all_numbers(t), base_number), bases)) == 0)
+    return F.slice(known, 1, most)
+
+
 def strip_addresses(text: Column, known: Column) -> Column:
     """Addresses that neither are nor begin with a known one go."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1)))

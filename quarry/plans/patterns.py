@@ -274,3 +274,39 @@ def front_matter(t):
     got = t("part").select("p_partkey", mf.front_matter(text).alias("m"))
     value = lambda name: F.coalesce(mf.header_value(F.col("m.header"), name), s(""))
     return got.select("p_partkey", F.concat_ws("|", value("number"), value("title"), "m.body").alias("got"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS text FROM documents")
+def composed_text(t):
+    apart = F.replace(F.replace("text", s("é"), s("e\u0301")), s("ü"), s("u\u0308"))
+    return t("documents").select("doc_id", cl.composed(apart).alias("text"))
+
+
+_SUMMARY = ("'The ' || p_name || ' holds 0.' || n || ' mg [C1].'", "'It is of ' || p_type || ' [C2].'", "'Nothing is known. It ends.'", "''", "'The ' || p_name || ' holds 0.' || n || ' mg [C1]. Plain words follow here.'")
+
+
+@query(_sql(_pick(*_SUMMARY)))
+def checked_summaries(t):
+    text = pick(
+        c(s("The "), "p_name", s(" holds 0."), N, s(" mg [C1]. It also holds 0.9"), N, s(" mg [C1].")), c(s("It is of "), "p_type", s(" [C2]. There are 7 of them.")),
+        "Nothing is known. It ends.[C9]", c(s("The one [C1] and the other [C2] differ.")), c(s("The "), "p_name", s(" holds 0."), N, s(" mg [C1]. Plain words follow here. IS 9"), N, s(" says more [C1].")),
+    )
+    one = lambda cid, body, sample: F.struct(s(cid).alias("cid"), body.alias("text"), s("4").alias("clause"), c(s("IS "), N).alias("number"), s(3).alias("page_start"), s(4).alias("page_end"), s(sample).alias("synthetic"))
+    both = F.array(one("C1", c(s("It holds 0."), N, s(" mg.")), False), one("C2", F.col("p_type"), True))
+    sources = t("part").select(K.alias("draft"), F.explode(both).alias("x")).select("draft", "x.*")
+    got = val.checked_summaries(t("part").select(K.alias("draft"), text.alias("text")), sources)
+    return got.select(F.col("draft").alias("p_partkey"), F.col("summary").alias("got"))
+
+
+@query(_sql("p_name || '|see IS ' || n || '|b|c|d|e'"))
+def kept_items(t):
+    items = F.array(c(s(" "), F.col("p_name"), s("  ")), c(s("see IS 8"), N), s(""), c(s("see  IS "), N), s("b"), s("c"), s("d"), s("e"), s("f"))
+    return rows(t, F.array_join(val.kept_items(items, F.array(c(s("IS "), N))), "|"))
+
+
+@query("""SELECT * FROM (SELECT p_brand, p_type, 'both' AS level, count(*) AS n FROM part GROUP BY 1, 2 ORDER BY n DESC, p_brand, p_type LIMIT 60)
+UNION ALL SELECT NULL, p_type, 'second', count(*) FROM part GROUP BY p_type""")
+def top_facets(t):
+    from quarry.operators.relations import facets
+
+    return facets(t("part"), "p_brand", "p_type", 60)
