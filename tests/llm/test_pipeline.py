@@ -69,3 +69,26 @@ def test_tokens_against_the_reference_encoder(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == Counter((r.doc_id, r.ids_sha256) for r in stages[5].collect())
+
+
+def test_mixing_copies_against_the_fitted_rates(spark, stages):
+    from quarry.llm.mixing import mixing_rates
+
+    before = stages[3]
+    covered = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id").distinct()
+    labelled = before.select("doc_id", "text", "lang").join(covered, "doc_id", "left_semi")
+    mixed = mixing_rates(before, labelled, ["doc_id"])
+    want = {r.doc_id: max(1, r.copies) for r in mixed.rows.collect()}
+    assert mixed.met and Counter(r.doc_id for r in stages[4].collect()) == Counter(want)
+
+
+def test_odd_documents_and_an_empty_table(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (9001, "", "en", None, 0), (9001, "", "en", None, 0), (9002, "a b " * 60_000, None, "s", 240_000), (9003, "x", "zz", "s", 1)]
+    docs = base.limit(60).union(spark.createDataFrame(odd, base.schema)).selectExpr("*", "1 AS __k", "'t' AS __lines", "2 AS label")
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES:
+            now = written(stage(spark, now, SF), "odd")
+            assert name == "SentencePiece" or now.columns == docs.columns
+        assert frame is docs or now.count() == 0
