@@ -84,17 +84,20 @@ def _fresh(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def weighted_shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, code, weight): the distinct shingles of each text with their counts."""
-    owner, code = shingle_codes(texts, width)
+def weights_of(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, weight): the distinct shingles of shingle_codes() with their counts."""
     first = np.flatnonzero(_fresh(owner, code))
     return owner[first], code[first], np.diff(np.append(first, len(code))).astype(float)
 
 
 def shingles(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the texts' shingles."""
+    return cells_of(*shingle_codes(texts, width))
+
+
+def cells_of(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, cell): the nth copy of a shingle is a cell of its own, so that the Jaccard similarity of cell sets is the
     weighted Jaccard similarity of shingle counts. Sorted by owner and cell."""
-    owner, code = shingle_codes(texts, width)
     fresh = _fresh(owner, code)
     nth = np.arange(len(code)) - np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
     again = nth > 0

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from quarry.llm.common import map_texts, sliced, table, written
 from quarry.llm.components import components
-from quarry.llm.hashing import mix, shingles, weighted_shingles
+from quarry.llm.hashing import cells_of, mix, shingle_codes, shingles, weights_of
 
 SIMILARITY, WIDTH = 0.8, 5
 #: A pair at the similarity misses all bands with probability (1 - 0.8 ** 6) ** 36 = 2e-5.
@@ -86,26 +86,34 @@ def throw(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int, k
 
 def dart_signatures(texts: list[str], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(some, darts): which texts have a shingle, and their earliest darts."""
-    owner, code, weight = weighted_shingles(texts, width)
-    return np.bincount(owner, minlength=len(texts)) > 0, throw(owner, code, weight, len(texts), bands * rows)
+    return _signatures(*shingle_codes(texts, width), len(texts), bands * rows)
+
+
+def _signatures(owner: np.ndarray, code: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.bincount(owner, minlength=texts) > 0, throw(*weights_of(owner, code), texts, k)
 
 
 def bin_counts(texts: list[str], width: int = WIDTH) -> list[bytes | None]:
     """How many shingles of each text fall in each bin, as 16-bit numbers; None for a text of more than MOST."""
-    owner, cell = shingles(texts, width)
+    return _bins(*shingle_codes(texts, width), len(texts))
+
+
+def _bins(owner: np.ndarray, code: np.ndarray, texts: int) -> list[bytes | None]:
+    owner, cell = cells_of(owner, code)
     at = owner * BINS + (cell % np.uint64(BINS)).astype(np.int64)
-    counts = np.bincount(at, minlength=len(texts) * BINS).reshape(len(texts), BINS)
+    counts = np.bincount(at, minlength=texts * BINS).reshape(texts, BINS)
     return [None if n > MOST else c.astype(np.uint16).tobytes() for c, n in zip(counts, counts.sum(1))]
 
 
 def _signed(docs: DataFrame) -> DataFrame:
     def run(texts):
-        some, darts = dart_signatures(texts)
+        shingled = shingle_codes(texts, WIDTH)
+        some, darts = _signatures(*shingled, len(texts), BANDS * ROWS)
         code = np.zeros((len(texts), BANDS), np.uint64)
         for i in range(ROWS):
             code = mix(code * _GOLD + darts[:, i::ROWS])
         code = mix(code + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-        return {"bands": [c if s else [] for c, s in zip(code, some)], "bins": bin_counts(texts)}
+        return {"bands": [c if s else [] for c, s in zip(code, some)], "bins": _bins(*shingled, len(texts))}
 
     fields = [StructField("bands", ArrayType(LongType())), StructField("bins", BinaryType())]
     return map_texts(docs, ["k"], "text", fields, run, rows=384, most=1 << 20)
