@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns of lines that carry no content.
 WATERMARK = (
@@ -46,7 +47,7 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(out, " ", " "), r"[ \t\f\x0B]+", " "), F.lit(" \n\t\r\f\x0b"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -11,7 +11,7 @@ from quarry.operators import details as de
 from quarry.operators import retrieval as rt
 from quarry.operators import structure as st
 from quarry.plans.core import query
-from quarry.plans.patterns import _pick, _sql, K, N, S, Y, pick, rows
+from quarry.plans.patterns import _pick, _sql, key, number, pick, rows, size, year
 
 c, s = F.concat, F.lit
 
@@ -19,32 +19,32 @@ c, s = F.concat, F.lit
 @query("""WITH p AS (SELECT p_partkey, p_name, CAST(p_partkey % 900 + 100 AS VARCHAR) AS n, CAST(p_partkey % 60 + 1960 AS VARCHAR) AS y FROM part)
 SELECT p_partkey, 'IS ' || n || ' ' || (length(p_name) + 2) || ' ' || (length(p_name) + 5 + length(n)) || '|IS 7' || n || ':' || y || ' ' || (length(p_name) + 5 + length(n) + 5) || ' ' || (length(p_name) + 5 + length(n) + 5 + 5 + length(n) + 4) AS got FROM p""")
 def number_spans(t):
-    spans = idn.number_spans(c("p_name", s(" IS "), N, s(" and IS 7"), N, s(":"), Y))
+    spans = idn.number_spans(c("p_name", s(" IS "), number(), s(" and IS 7"), number(), s(":"), year()))
     return rows(t, F.array_join(F.transform(spans, lambda x: F.concat_ws(" ", x["number"], x["start"], x["end"])), "|"))
 
 
 @query(_sql(_pick("true", "true", "false", "false")))
 def number_matches(t):
-    found = pick(c(s("IS "), N, s(" (Part 2):"), Y), c(s("IS "), N, s(":"), Y), c(s("IS "), N, s("1")), "none")
-    return rows(t, idn.number_matches(found, c(s("IS "), N)))
+    found = pick(c(s("IS "), number(), s(" (Part 2):"), year()), c(s("IS "), number(), s(":"), year()), c(s("IS "), number(), s("1")), "none")
+    return rows(t, idn.number_matches(found, c(s("IS "), number())))
 
 
 @query(_sql(_pick("true", "false", "false")))
 def broken_devanagari(t):
-    return rows(t, cl.is_broken_devanagari(pick(c(s("मा@न#क$ संख्या "), S), c(s("मानक संख्या "), S), F.col("p_name"))))
+    return rows(t, cl.is_broken_devanagari(pick(c(s("मा@न#क$ संख्या "), size()), c(s("मानक संख्या "), size()), F.col("p_name"))))
 
 
 @query("""WITH l AS (SELECT p_brand AS doc_id, p_size % 3 AS page, p_partkey % (2 + p_size % 3) = 0 AS bad FROM part)
 SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) FILTER (WHERE bad) > 0.5 * count(*) AS garbled FROM l GROUP BY doc_id, page""")
 def garbled_pages(t):
-    line = F.when(K % (F.col("p_size") % 3 + 2) == 0, c(s("ªvÈa ¶ÆbÐ ªªªª "), N)).otherwise(c(s("plain words of "), "p_name"))
+    line = F.when(key() % (F.col("p_size") % 3 + 2) == 0, c(s("ªvÈa ¶ÆbÐ ªªªª "), number())).otherwise(c(s("plain words of "), "p_name"))
     lines = t("part").select(F.col("p_brand").alias("doc_id"), (F.col("p_size") % 3).cast("int").alias("page"), line.alias("text"))
     return st.garbled_pages(lines)
 
 
 @query(_sql(_pick("true", "false", "true")))
 def unreadable_lines(t):
-    return rows(t, st.unreadable(pick(c(s("मानक संख्या भारतीय "), S), F.col("p_name"), c(s("ªvÈa ¶ÆbÐ "), N))))
+    return rows(t, st.unreadable(pick(c(s("मानक संख्या भारतीय "), size()), F.col("p_name"), c(s("ªvÈa ¶ÆbÐ "), number()))))
 
 
 @query("""WITH q AS (SELECT o_orderkey AS qid, o_custkey % 25 AS base, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1990 + o_orderkey % 30 AS INTEGER) END AS year FROM orders),
@@ -65,9 +65,9 @@ def rewritten_intents(t):
 
 @query(_sql("CASE WHEN p_partkey % 3 = 0 THEN 'x|y' WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'o|a|b|c' ELSE 'a|b|o|c' END ELSE '' END"))
 def merged_scopes(t):
-    explicit = F.when(K % 3 == 0, F.array(s("x"), s("y"))).otherwise(F.array().cast("array<string>"))
+    explicit = F.when(key() % 3 == 0, F.array(s("x"), s("y"))).otherwise(F.array().cast("array<string>"))
     own = F.when(F.col("p_size") % 2 == 0, "o")
-    return rows(t, F.array_join(de.merged_scope(explicit, K % 2 == 0, own, F.array(*map(F.lit, "abocd"))), "|"))
+    return rows(t, F.array_join(de.merged_scope(explicit, key() % 2 == 0, own, F.array(*map(F.lit, "abocd"))), "|"))
 
 
 @query("""SELECT o_orderkey AS qid, CAST(i - 1 AS INTEGER) AS place, n_name AS slug, n_nationkey AS id FROM (SELECT o_orderkey, unnest([1, 2, 3]) AS i FROM orders) JOIN nation ON n_nationkey = (o_orderkey * i) % 40""")
@@ -81,7 +81,7 @@ def scope_rows(t):
 
 @query(_sql(_pick("'IS ' || n", "'DEMO-' || n")))
 def number_phrases(t):
-    return rows(t, de.number_phrase(pick("IS", "DEMO"), N))
+    return rows(t, de.number_phrase(pick("IS", "DEMO"), number()))
 
 
 @query(_sql("'helmet glass/safety ' || CASE WHEN p_partkey % 2 = 0 THEN 'visor' ELSE 'lamp' END"))
@@ -115,12 +115,12 @@ def cached_answers(t):
 
 @query(_sql(_pick("'{\"n\": ' || n || ', \"x\": {}}'", "'{\"n\": ' || n || '}'", "NULL", "NULL")))
 def json_replies(t):
-    return rows(t, de.json_in(pick(c(s('Here: ```json\n{"n": '), N, s(', "x": {}}\n``` done')), c(s('<think>{"no": 1}</think>{"n": '), N, s("}")), F.col("p_name"), "{broken")))
+    return rows(t, de.json_in(pick(c(s('Here: ```json\n{"n": '), number(), s(', "x": {}}\n``` done')), c(s('<think>{"no": 1}</think>{"n": '), number(), s("}")), F.col("p_name"), "{broken")))
 
 
 @query(_sql(_pick("'demo/pdf/f' || n || '.PDF'", "'raw/f' || n || '.pdf'", "'public/f' || n || '.pdf'", "NULL")))
 def source_paths(t):
-    return rows(t, de.source_path(pick("synthetic_demo", "standard", "order", "standard"), c(s("f"), N, pick(".PDF", ".pdf", ".pdf", ".html"))))
+    return rows(t, de.source_path(pick("synthetic_demo", "standard", "order", "standard"), c(s("f"), number(), pick(".PDF", ".pdf", ".pdf", ".html"))))
 
 
 @query(_sql(_pick("NULL", "'empty'", "'not a PDF file'", "NULL")))
@@ -145,7 +145,7 @@ def pruned_vectors(t):
 def mentioned_by(t):
     base = lambda k: c(s("IS "), (k % 50 + 100).cast("string"))
     known = t("supplier").select(F.col("s_suppkey").alias("id"), base(F.col("s_suppkey")).alias("base"))
-    listed = t("part").where("p_partkey < 500").select(c(s("see "), base(K), s(" : "), Y).alias("number"), F.col("p_name").alias("product"))
+    listed = t("part").where("p_partkey < 500").select(c(s("see "), base(key()), s(" : "), year()).alias("number"), F.col("p_name").alias("product"))
     return de.mentioned_by(known, listed)
 
 
@@ -181,7 +181,7 @@ CASE WHEN p_size % 2 = 0 THEN 'M' || p_size ELSE 'D' || p_size END AS number, CA
 def library_rows(t):
     z = F.col("p_size")
     files = t("part").select(
-        c(s("f"), K).alias("file"), pick("is", "list", "page").alias("doc_type"), F.when(z % 2 == 0, c(s("M"), S)).alias("manifest_number"), c(s("D"), S).alias("detected_number"),
+        c(s("f"), key()).alias("file"), pick("is", "list", "page").alias("doc_type"), F.when(z % 2 == 0, c(s("M"), size())).alias("manifest_number"), c(s("D"), size()).alias("detected_number"),
         F.when(z % 3 == 0, F.col("p_name")).alias("manifest_title"), F.when(z % 3 == 1, F.col("p_type")).alias("detected_title"),
     )
     return de.library_rows(files, {"is": "standard", "list": "catalogue"})
@@ -204,16 +204,16 @@ def extracted_requirements(t):
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS got FROM part")
 def requirement_chunks(t):
     own = c(s("The  "), "p_name", s(" shall hold\n"), "p_type")
-    wanted = F.when(K % 3 == 2, "nowhere at all").otherwise(F.regexp_replace(own, r"\s+", " "))
-    sentences = t("part").select(K.alias("clause"), s(0).alias("sid"), wanted.alias("sentence"))
+    wanted = F.when(key() % 3 == 2, "nowhere at all").otherwise(F.regexp_replace(own, r"\s+", " "))
+    sentences = t("part").select(key().alias("clause"), s(0).alias("sid"), wanted.alias("sentence"))
     other = s("Another chunk of text.")
-    both = F.when(K % 3 == 0, F.array(own, own)).otherwise(F.array(other, own))
-    pieces = t("part").select(K.alias("clause"), F.posexplode(both).alias("ord", "chunk"))
+    both = F.when(key() % 3 == 0, F.array(own, own)).otherwise(F.array(other, own))
+    pieces = t("part").select(key().alias("clause"), F.posexplode(both).alias("ord", "chunk"))
     return ch.linked_chunks(sentences, pieces, "clause").select(F.col("clause").alias("p_partkey"), F.col("chunk_ord").alias("got"))
 
 
 @query("""SELECT p_partkey, '| Product | No |' || chr(10) || '|---|---|' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '| ' || p_name || ' | 1 |' ELSE chr(10) || '| ' || p_name || ' | 1 |' || chr(10) || '| other thing | 2 |' END AS got FROM part""")
 def trimmed_rows(t):
     text = c(s("| Product | No |\n|---|---|\n| "), "p_name", s(" | 1 |\n| other thing | 2 |"))
-    words = F.when(K % 2 == 0, F.array(F.lower("p_name"))).otherwise(F.array(s("absent")))
+    words = F.when(key() % 2 == 0, F.array(F.lower("p_name"))).otherwise(F.array(s("absent")))
     return rows(t, rt.trimmed_rows(text, words))

@@ -12,7 +12,7 @@ from quarry.plans.core import query
 
 
 @query("""WITH l AS (SELECT p_brand AS doc_id, p_partkey % 4 + 1 AS page, p_partkey AS k, unnest(['Head of ' || p_brand, p_name || ' ' || p_partkey, 'Page ' || (p_partkey % 4 + 1), p_type || ' x@y.in on 1.2.3.4']) AS text FROM part),
-key AS (SELECT *, regexp_replace(lower(trim(text)), '\d+', '#', 'g') AS key FROM l), pages AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1),
+key AS (SELECT *, regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g') AS key FROM l), pages AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1),
 again AS (SELECT doc_id, key FROM key JOIN pages USING (doc_id) GROUP BY doc_id, key, pages HAVING pages >= 2 AND count(DISTINCT page) >= greatest(2, ceil(pages * 0.5)))
 SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE (doc_id, key) IN (SELECT (doc_id, key) FROM again) OR text LIKE 'Page %' OR text LIKE '%x@y.in%') AS removed FROM key GROUP BY doc_id""")
 def strip_repeated_lines(t):
