@@ -197,6 +197,5 @@ def translated(questions: DataFrame, glossary: DataFrame, least: int = 3) -> Dat
 def search_terms(words: Column, most: int = 40) -> Column:
     """Terms of a lexical query: letters and digits only, each once whatever its case, the first ones."""
     clean = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}_+ ]", "")), lambda w: F.trim(w) != "")
-    low = F.transform(clean, lambda w: F.lower(w))
-    first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(clean) - 1, F.lit(0))), lambda i: F.array_position(low, F.get(low, i)) == i + 1)
-    return F.slice(F.transform(first, lambda i: F.get(clean, i)), 1, most)
+    new = lambda taken, w: (F.size(taken) < most) & ~F.exists(taken, lambda t: F.lower(t) == F.lower(w))
+    return F.aggregate(clean, F.array().cast("array<string>"), lambda taken, w: F.when(new(taken, w), F.concat(taken, F.array(w))).otherwise(taken))
