@@ -199,3 +199,27 @@ def search_terms(words: Column, most: int = 40) -> Column:
     clean = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}_+ ]", "")), lambda w: F.trim(w) != "")
     new = lambda taken, w: (F.size(taken) < most) & ~F.exists(taken, lambda t: F.lower(t) == F.lower(w))
     return F.aggregate(clean, F.array().cast("array<string>"), lambda taken, w: F.when(new(taken, w), F.concat(taken, F.array(w))).otherwise(taken))
+
+
+def grouped_standards(passages: DataFrame, explicit: DataFrame) -> DataFrame:
+    """(qid, std, score, ids, row_id, place): the standards of a question's ranked passages, best first.
+
+    A passage scores its rerank score (else 100 times the fused one) less a hundredth a place, or where by_position
+    holds 30 less its place. An official row scores by how well it matches, and not at all where it doesn't. Standards
+    that the question names (explicit: qid, std) come first, also without a passage. passages: qid, std, id, pos,
+    rerank, fused, is_list, match, by_position.
+    """
+    rank = F.col("pos") - 1
+    plain = F.when(F.col("by_position"), 30.0 - rank).otherwise(F.coalesce("rerank", F.col("fused") * 100) - rank * 0.01)
+    listed = F.when(F.col("by_position"), plain + 0.1 * F.col("match")).otherwise(plain - 0.5 + 2 * F.col("match"))
+    able = passages.where(~F.col("is_list") | (F.coalesce("match", F.lit(0.0)) > 0))
+    groups = able.withColumn("__score", F.when(F.col("is_list"), listed).otherwise(plain)).groupBy("qid", "std").agg(
+        F.max("__score").alias("__best"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"),
+        F.min_by("id", F.when(F.col("is_list"), F.col("pos"))).alias("row_id"),
+    )
+    named = explicit.select("qid", "std").distinct().withColumn("__named", F.lit(100.0))
+    both = groups.join(named, ["qid", "std"], "full").withColumn("score", F.coalesce("__best", F.lit(0.0)) + F.coalesce("__named", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "std"))
+    none = F.array().cast(groups.schema["ids"].dataType)
+    return both.select("qid", "std", "score", F.coalesce("ids", none).alias("ids"), "row_id", place.alias("place"))

@@ -532,3 +532,20 @@ def everyday_judge(t):
 @query("SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
 def medians(t):
     return t("events").groupBy("event_type").agg(F.median("value").alias("median"))
+
+
+@query(f"""WITH {_CTX}, p AS (SELECT *, kind = 'list' AS is_list, (id % 4) / 4.0::DOUBLE AS match, qid % 2 = 0 AS by_position, vec / 10 AS fused FROM ctx WHERE pos <= 20),
+s AS (SELECT *, CASE WHEN by_position THEN 30.0::DOUBLE - (pos - 1) ELSE coalesce(rerank, fused * 100) - (pos - 1) * 0.01::DOUBLE END AS plain FROM p WHERE NOT is_list OR match > 0),
+g AS (SELECT qid, source AS std, max(CASE WHEN NOT is_list THEN plain WHEN by_position THEN plain + 0.1::DOUBLE * match ELSE plain - 0.5 + 2 * match END) AS best,
+ string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids, arg_min(id, pos) FILTER (WHERE is_list) AS row_id FROM s GROUP BY qid, source),
+n AS (SELECT DISTINCT qid, 'src' || (qid % 30) AS std FROM p WHERE qid % 3 = 0),
+b AS (SELECT coalesce(g.qid, n.qid) AS qid, coalesce(g.std, n.std) AS std, coalesce(best, 0) + CASE WHEN n.qid IS NULL THEN 0 ELSE 100 END AS score, coalesce(ids, '') AS ids, row_id
+ FROM g FULL JOIN n ON g.qid = n.qid AND g.std = n.std)
+SELECT qid, std, round(score, 6) AS score, ids, row_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, std) AS INTEGER) AS place FROM b""")
+def grouped_standards(t):
+    rows = passages(t).where("pos <= 20").withColumns(
+        {"is_list": F.col("kind") == "list", "match": (F.col("id") % 4) / F.lit(4.0), "by_position": F.col("qid") % 2 == 0, "fused": F.col("vec") / 10, "std": F.col("source")}
+    )
+    named = rows.where("qid % 3 = 0").select("qid", F.concat(F.lit("src"), F.col("qid") % 30).alias("std"))
+    out = se.grouped_standards(rows, named)
+    return out.select("qid", "std", F.round("score", 6).alias("score"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "row_id", "place")
