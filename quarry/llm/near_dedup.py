@@ -32,7 +32,7 @@ BANDS, ROWS = 36, 6
 #: Bins of shingle counts, which bound a pair's similarity; a text of more shingles than MOST has no bins and no bound.
 BINS, MOST = 256, 65_535
 #: Rows of a block, and pairs of a hub that one group verifies.
-BLOCK, PAIRS = 1024, 2048
+BLOCK, PAIRS = 1024, 512
 _GOLD, _STRIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
