@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm.language_id import op6_language_id
 from quarry.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quarry.llm.merkle import OP11_SQL, op11_merkle_manifest
 from quarry.llm.mixing import op3_mixing
 from quarry.llm.near_dedup import op9_near_dedup
 from quarry.llm.ogg import op2_media_ogg
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
