@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from quarry.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from quarry.llm.language_id import op6_language_id
 from quarry.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
