@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import join_wrapped, kind_for_heading, rows_to_markdown
 from quarry.operators.lines import numbered_again
+from quarry.tables import written
 
 # What opens a clause, and the limits of a number's place.
 TOP = r"(?i)^(FOREWORD|INTRODUCTION|ANNEX\s+[A-Z]\b.*|ANNEXURE\s*[-–]?\s*[IVXLC\d]+\b.*|AMENDMENT\s+NO\.?\s*\d+.*|CONTENTS)$"
@@ -42,7 +43,7 @@ LEFT_OF_MARGIN, NUMBER_LEFT, NUMBER_RIGHT = 15, 30, 60
 
 def mostly_capitals(text: Column) -> Column:
     """Over four fifths of the letters, one at least, are capitals."""
-    letters, capitals = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Lu}"))
+    letters, capitals = F.length(F.regexp_replace(text, r"\P{L}+", "")), F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     return (letters > 0) & (capitals > 0.8 * letters)
 
 
@@ -125,17 +126,15 @@ def line_roles(lines: DataFrame) -> DataFrame:
         .when((numbered | lettered) & placed, "number")
         .otherwise("text")
     )
-    rest = F.trim(part(3))
     number = F.col("role") == "number"
-    return (
-        styled.withColumn("role", role).where("role is not null")
-        .withColumns({
-            "number": F.when(number, part(1)), "dotted": F.when(number, part(2) != ""), "rest": F.when(number, rest),
-            "capital": F.when(number, (rest == "") | rest.rlike(CAPITAL_START)), "unit": F.when(number, rest.rlike(UNIT_START)),
-            "large": large, "strong": F.when(number, large | mostly_capitals(rest)),
-        })
-        .drop("__first", "__left", "body", "margin")
+    read = (
+        styled.withColumns({"role": role, "large": large}).where("role is not null")
+        .withColumns({"number": F.when(number, part(1)), "dotted": F.when(number, part(2) != ""), "rest": F.when(number, F.trim(part(3)))})
     )
+    bare = F.col("rest")
+    return read.withColumns(
+        {"capital": (bare == "") | bare.rlike(CAPITAL_START), "unit": bare.rlike(UNIT_START), "strong": F.when(number, F.col("large") | mostly_capitals(bare))}
+    ).drop("__first", "__left", "body", "margin")
 
 
 @dataclass
@@ -307,7 +306,7 @@ def clause_tree(lines: DataFrame) -> DataFrame:
         "doc", "ord", F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("size", F.lit(0.0)).alias("size"),
         F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("x0", F.lit(0.0)).alias("x0"), "rows",
     )
-    given = given_clauses(line_roles(clean)).where("clause is not null")
+    given = written(given_clauses(line_roles(clean)).where("clause is not null"), "clause-lines")
     opens = F.col("lineage").isNotNull()
     split = _opened_heading(F.col("rest"), F.col("large"))
     given = given.withColumn("__split", F.when(opens & (F.col("role") == "number") & F.col("refused").isNull(), split))
@@ -325,9 +324,11 @@ def clause_tree(lines: DataFrame) -> DataFrame:
         .when(F.col("role") == "caption", F.concat(F.lit("Table "), F.regexp_extract("text", CAPTION, 1)))
         .when(F.col("role") == "table", F.concat(F.lit("Table (p. "), F.col("page").cast("string"), F.lit(")"))).otherwise("Front")
     )
-    said = F.when(F.col("role") == "top", F.col("text")).when(numbered & (F.size("lineage") == 1) & (heading == ""), F.col("rest")).otherwise(heading)
-    own = F.when(F.col("role").isin("caption", "table"), "table").when(numbered | (F.col("role") == "top"), kind_for_heading(said)).otherwise("front")
-    heads = given.where(opens).select("doc", "clause", number.alias("number"), heading.alias("heading"), own.alias("own"), "lineage", F.col("page").alias("page_start"))
+    heads = given.where(opens).select("doc", "clause", "lineage", "role", "rest", F.col("text").alias("line"), F.col("page").alias("page_start"), numbered.alias("numbered"), number.alias("number"), heading.alias("heading"))
+    bare = F.col("numbered") & (F.size("lineage") == 1) & (F.col("heading") == "")
+    said = F.upper(F.when(F.col("role") == "top", F.col("line")).when(bare, F.col("rest")).otherwise(F.col("heading")))
+    own = F.when(F.col("role").isin("caption", "table"), "table").when(F.col("numbered") | (F.col("role") == "top"), kind_for_heading(F.col("said"))).otherwise("front")
+    heads = written(heads.withColumn("said", said).select("doc", "clause", "number", "heading", own.alias("own"), "lineage", "page_start"), "clause-heads")
 
     # A clause has the kind of its first ancestor that says one; tables are tables.
     above = heads.where("own <> 'table'").select("doc", "clause", F.posexplode("lineage").alias("far", "at"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import chunking as ch
 from quarry.operators import clauses as cs
+from quarry.operators import structure as sr
+from quarry.operators.lines import clause_paths
 from quarry.plans.core import query
+from quarry.tables import written
 
 PAGE = 8  # lines a page
 
@@ -125,6 +129,34 @@ def clause_outline(t):
     return tree.select(F.col("doc").alias("doc_id"), "clause", "number", "unique_number", "level", "parent", "page_start", "page_end")
 
 
+def _lines(t) -> DataFrame:
+    return written(laid_out(t("documents")), "laid-out")
+
+
 @query()
 def clause_rows(t):
-    return cs.clause_tree(laid_out(t("documents"))).withColumnRenamed("doc", "doc_id")
+    return cs.clause_tree(_lines(t)).withColumnRenamed("doc", "doc_id")
+
+
+def _tree(t) -> DataFrame:
+    return written(cs.clause_tree(_lines(t)).withColumnRenamed("doc", "doc_id"), "clause-tree")
+
+
+@query()
+def clause_chunks(t):
+    return ch.clause_chunks(_tree(t), ["doc_id", "clause"])
+
+
+@query()
+def clause_requirements(t):
+    return ch.requirements(_tree(t).withColumn("of", F.lit("standard")), ["doc_id", "clause", "number"], "text", "kind", "of")
+
+
+@query()
+def clause_labels(t):
+    """Clause numbers under their annexes, and the path of labels down to each clause."""
+    tree = _tree(t)
+    label = F.when(F.col("number") == "Front", F.col("heading")).otherwise(F.trim(F.concat_ws(" ", "unique_number", "heading")))
+    paths = clause_paths(tree, "doc_id", "clause", "parent", label)
+    named = sr.annex_numbers(tree.select("doc_id", F.col("clause").alias("node"), "parent", "number"))
+    return paths.join(named.select("doc_id", F.col("node").alias("clause"), "qualified"), ["doc_id", "clause"])
