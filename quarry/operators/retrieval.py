@@ -5,18 +5,23 @@ Corpora and queries are DataFrames; every result is keyed by qid and every ranki
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quarry.functions.stemming import stemmed
+from quarry.tables import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors are met with all rows in blocks of this many, each of which is broadcast.
+#: Query vectors are met with all rows in blocks of about this many.
 QUERY_BLOCK = 8192
-MAX_BROADCAST_TERMS = 100_000
-#: Postings of a more frequent term are dealt over several tasks when they meet the queries.
-SALT_POSTINGS = 20_000
+#: Terms of the queries that meet the corpus together, and documents that are scored together.
+TERM_ENTRIES, SCORED_ROWS = 1 << 21, 256
+#: Rows of a vector cluster on average, and clusters at most.
+CLUSTER, CENTRES = 64, 256
 # Priors of clause kinds by intent, and topics that a question may name.
 INTENT_KIND_PRIORS = {
     "discover": {"scope": 0.012, "front": 0.004, "list": 0.010, "faq": 0.004},
@@ -42,33 +47,10 @@ def tokens(text: Column, stem: bool = False) -> Column:
     return stemmed(found) if stem else found
 
 
-def sized(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
-    """id, the tokens of each column, and dl, their number over all columns."""
-    out = corpus.select(id_col, *[tokens(F.col(c), stem).alias(f"__{c}") for c in columns])
-    return out.withColumn("dl", sum((F.size(f"__{c}") for c in columns), F.lit(0)))
-
-
-def totals(corpus: DataFrame, columns: dict[str, float]) -> DataFrame:
-    """One row (n, avgdl): documents and their mean length, counted without building tokens."""
-    runs = [F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}]+")) for c in columns]
-    return corpus.agg(F.count("*").alias("n"), F.avg(sum(runs, F.lit(0))).alias("avgdl"))
-
-
-def postings(corpus: DataFrame, terms: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
-    """(id, term, tf, dl) of the given terms: frequencies weighted by column, lengths unweighted.
-
-    Terms are counted first; up to MAX_BROADCAST_TERMS are broadcast, so that other tokens are dropped before the
-    shuffle. With more, the postings of all terms are returned: a join of single tokens by term would put a frequent
-    term into one task, and those who use postings drop the others by their own join.
-    """
-    few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    found = sized(corpus, id_col, columns, stem)
-    parts = None
-    for c, weight in columns.items():
-        part = found.select(id_col, "dl", F.explode(f"__{c}").alias("term"), F.lit(float(weight)).alias("w"))
-        parts = part if parts is None else parts.unionByName(part)
-    kept = parts.join(F.broadcast(terms), "term") if few else parts
-    return kept.groupBy(id_col, "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+def hashed(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
+    """(id, c0, c1, ..): the tokens of each column as 64-bit hashes, written."""
+    found = [F.transform(tokens(F.col(c), stem), lambda x: F.xxhash64(x)).alias(f"c{i}") for i, c in enumerate(columns)]
+    return written(corpus.select(id_col, *found), "hashed-tokens")
 
 
 def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame:
@@ -77,31 +59,116 @@ def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def weighted_terms(corpus: DataFrame, queries: DataFrame, columns: int, stem: bool = False) -> DataFrame:
+    """(qid, hashes, weights) of queries (qid, terms) over a hashed() corpus: the terms that it holds, in order, with
+    their inverse document frequencies. A term in most documents weighs 1e-6."""
+    asked = F.transform(stemmed(F.col("terms")) if stem else F.col("terms"), lambda x: F.xxhash64(x))
+    wanted = queries.select("qid", F.explode(F.array_distinct(asked)).alias("h"))
+    every = F.concat(*[f"c{i}" for i in range(columns)])
+    df = corpus.select(F.explode(F.array_distinct(every)).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    size = corpus.agg(F.count("*").alias("n"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.crossJoin(F.broadcast(size)).select("h", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("w"))
+    pairs = wanted.join(weights, "h").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("all"))
+    return pairs.select("qid", F.transform("all", lambda x: x["h"]).alias("hashes"), F.transform("all", lambda x: x["w"]).alias("weights"))
+
+
+class TermBlock:
+    """Queries of a block as one sparse matrix: sorted distinct terms, and for each the queries that ask it by weight."""
+
+    def __init__(self, hashes: list[np.ndarray], weights: list[np.ndarray]):
+        term, weight = np.concatenate(hashes), np.concatenate(weights)
+        query = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        order = np.argsort(term, kind="stable")
+        self.terms, self.first = np.unique(term[order], return_index=True)
+        self.first = np.append(self.first, len(term))
+        self.query, self.weight, self.queries = query[order], weight[order], len(hashes)
+
+    def scores(self, columns: list[tuple[np.ndarray, np.ndarray, float]], rows: int, mean: float) -> np.ndarray:
+        """(rows, queries): BM25 of documents given by column as (document, token hash, weight of the column)."""
+        length = sum((np.bincount(doc, minlength=rows) for doc, _, _ in columns), np.zeros(rows))
+        keys, worth = [], []
+        for doc, token, weight in columns:
+            at = np.minimum(np.searchsorted(self.terms, token), len(self.terms) - 1)
+            met = self.terms[at] == token
+            keys.append(doc[met] * len(self.terms) + at[met])
+            worth.append(np.full(int(met.sum()), weight))
+        pair, which = np.unique(np.concatenate(keys), return_inverse=True)
+        tf = np.bincount(which, np.concatenate(worth), minlength=len(pair))
+        doc, term = np.divmod(pair, len(self.terms))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+        asked = self.first[term + 1] - self.first[term]
+        # Each posting meets the queries of its term.
+        place = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(asked)[:-1]]), asked) + np.arange(asked.sum())
+        cell = np.repeat(doc, asked) * self.queries + self.query[place]
+        return np.bincount(cell, np.repeat(part, asked) * self.weight[place], minlength=rows * self.queries).reshape(rows, self.queries)
+
+
+def _best_of_tasks(block: TermBlock, ids: list, names: list[str], weights: list[float], mean: float, k: int, schema):
+    """The task that keeps, of its documents, the k best of every query: by score to six digits, then by id."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[list[tuple]] = [[] for _ in range(block.queries)]
+        floor = np.zeros(block.queries)
+        order = lambda x: (-x[0], x[1] is not None, x[1])
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(start, SCORED_ROWS)
+                columns = []
+                for c, weight in zip(names, weights, strict=True):
+                    lists = part.column(part.schema.get_field_index(c))
+                    columns.append((np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), weight))
+                raw = block.scores(columns, part.num_rows, mean)
+                near = np.round(raw, 6)
+                keys = part.column(0).to_pylist()
+                reach = (raw > 0) & (near >= floor)
+                for q in np.flatnonzero(reach.any(axis=0)):
+                    rows = np.flatnonzero(reach[:, q])
+                    if len(rows) > k:
+                        rows = rows[near[rows, q] >= np.partition(near[rows, q], -k)[-k]]
+                    held[q] = sorted(held[q] + [(near[i, q], keys[i], raw[i, q]) for i in rows], key=order)[:k]
+                    if len(held[q]) == k:
+                        floor[q] = held[q][-1][0]
+        out = [(ids[q], key, float(score)) for q, best in enumerate(held) for _, key, score in best]
+        for start in range(0, len(out), 1 << 16):
+            columns = list(zip(*out[start : start + (1 << 16)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def bm25(
     corpus: DataFrame, queries: DataFrame, columns: dict[str, float], k: int = 40, id_col: str = "doc_id", stem: bool = False
 ) -> DataFrame:
     """(qid, id, score, rank) of the k best documents for the terms (array) of each query, any term matching.
 
     Terms are as tokens() gives them; with stem they and the documents' words are stemmed, and marks on letters don't
-    count. A term in most documents scores 1e-6. A term of over SALT_POSTINGS documents is salted: its postings are dealt by
-    document over parts, and the queries that ask for it are repeated for each part.
+    count. Frequencies are weighted by column, lengths aren't. A term in most documents scores 1e-6.
+
+    The corpus is tokenised once, into hashes of 64 bits that stand for terms. Document frequencies are the only thing
+    that is counted across tasks by term. Queries then meet the corpus in blocks of TERM_ENTRIES terms at most, or one
+    query: each task has a block as a sparse matrix, multiplies its documents with it, and keeps k of them a query, so
+    that no posting is shuffled and a term in most documents is nobody's hot key.
     """
-    terms_ = stemmed(F.col("terms")) if stem else F.col("terms")
-    wanted = queries.select("qid", F.explode(F.array_distinct(terms_)).alias("term"))
-    hits = postings(corpus, wanted.select("term").distinct(), id_col, columns, stem)
-    size = totals(corpus, columns)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    parts = F.ceil(F.col("df") / SALT_POSTINGS).cast("int")
-    terms = df.crossJoin(F.broadcast(size)).select("term", weight.alias("idf"), "avgdl", parts.alias("__parts"))
-    asked = wanted.join(terms, "term").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    frequent = df.where(F.col("df") > SALT_POSTINGS).select("term", parts.alias("__of"))
-    salt = F.pmod(F.xxhash64(id_col), F.coalesce("__of", F.lit(1))).cast("int")
-    dealt = hits.join(F.broadcast(frequent), "term", "left").withColumn("__salt", salt)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = dealt.join(asked, ["term", "__salt"]).groupBy("qid", id_col).agg(F.sum(part).alias("score"))
-    return ranked(scores, k, id_col, 6)
+    found = hashed(corpus, id_col, columns, stem)
+    asked = written(weighted_terms(found, queries, len(columns), stem), "query-terms")
+    names, lengths = [f"c{i}" for i in range(len(columns))], sum((F.size(f"c{i}") for i in range(len(columns))), F.lit(0))
+    mean, entries = found.agg(F.avg(lengths)).first()[0], asked.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    blocks, best = max(1, -(-entries // TERM_ENTRIES)), None
+    schema = StructType([asked.schema["qid"], found.schema[id_col], StructField("score", DoubleType())])
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
+        if not rows.num_rows:
+            continue
+        lists = [[np.asarray(x, t) for x in rows[c].to_pylist()] for c, t in (("hashes", np.int64), ("weights", float))]
+        task = _best_of_tasks(TermBlock(*lists), rows["qid"].to_pylist(), names, list(columns.values()), mean, k, to_arrow_schema(schema))
+        part = found.mapInArrow(task, schema)
+        best = part if best is None else best.unionAll(part)
+    if best is None:
+        best = corpus.sparkSession.createDataFrame([], schema)
+    return ranked(best, k, id_col, 6)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -114,21 +181,133 @@ def normalized(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(qid, id, score, rank) of the k nearest unit vectors of each query (qid, vector).
+def _vectors(column) -> np.ndarray:
+    """An Arrow column of arrays of one length as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between the rows of a and those of b; a zero vector is at a right angle to all."""
+    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    return np.arccos(np.clip(np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size > 0), -1, 1))
+
+
+def clustered(corpus: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, np.ndarray]:
+    """(cluster, angle, id, vector) of every row with a vector, written in this order, and the clusters' centres.
 
-    Queries are a stated set, met with all rows in blocks of about QUERY_BLOCK that are broadcast; each scan of the
-    corpus keeps k rows of a query and partition before anything is shuffled. Equal qids stay in one block.
+    Centres are rows drawn by a hash of the id, one for CLUSTER rows and CENTRES at most; a row belongs to the centre of
+    the least angle. Rows are dealt by ranges, so a large cluster lies in many tasks.
     """
-    asked = queries.select("qid", F.col("vector").alias("__q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    given, found = corpus.select(id_col, vector), None
+    given = corpus.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    wanted = max(1, min(CENTRES, given.count() // CLUSTER))
+    drawn = given.select("vector").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    centres = np.array([r.vector for r in drawn], float)
+    schema = StructType([StructField("cluster", IntegerType()), StructField("angle", DoubleType()), *given.schema.fields])
+    arrow = to_arrow_schema(schema)
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                far = _angles(_vectors(batch.column(1)), centres)
+                near = far.argmin(axis=1)
+                made = [pa.array(near, pa.int32()), pa.array(far[np.arange(len(near)), near])]
+                yield pa.RecordBatch.from_arrays([*made, *[c.cast(f.type) for c, f in zip(batch.columns, list(arrow)[2:], strict=True)]], schema=arrow)
+
+    order = ["cluster", "angle", F.xxhash64("id")]
+    return written(given.mapInArrow(assign, schema).repartitionByRange(*order).sortWithinPartitions(*order), "clustered-vectors"), centres
+
+
+def reach(queries: np.ndarray, far: np.ndarray, rows: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """The greatest product that each query can have with rows of one cluster. far: the queries' angles to its centre,
+    angles: the rows'. By the triangle inequality a query is off a row by at least the difference of their angles."""
+    least = np.maximum(0, np.maximum(far - angles.max(), angles.min() - far))
+    sizes = np.linalg.norm(rows, axis=1)
+    bound = np.cos(np.minimum(least, np.pi)) * np.linalg.norm(queries, axis=1)
+    return np.maximum(bound * sizes.max(), bound * sizes.min())
+
+
+def _near_tasks(queries: np.ndarray, qids: list, centres: np.ndarray, floors: np.ndarray, k: int, own: bool, schema):
+    """The task that keeps k rows a query of those that can still reach its floor; with own, of each query's own cluster.
+
+    A slice of rows of one cluster is met by the queries whose bound isn't below the floor, which rises as the task goes
+    on. The last row says how many products were taken (scored)."""
+    far = _angles(queries, centres)
+    home = far.argmin(axis=1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[list[tuple]] = [[] for _ in qids]
+        floor, scored = floors.copy(), 0
+        order = lambda x: (-x[0], x[1] is not None, x[1])
+        for batch in batches:
+            clusters = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(clusters)) + 1
+            for begin, stop in zip([0, *cuts], [*cuts, len(clusters)], strict=True):
+                for start in range(begin, stop, SCORED_ROWS):
+                    part = batch.slice(start, min(SCORED_ROWS, stop - start))
+                    if not part.num_rows:
+                        continue
+                    cluster, rows = clusters[start], _vectors(part.column(3))
+                    able = home == cluster if own else reach(queries, far[:, cluster], rows, part.column(1).to_numpy()) >= floor - 1e-9
+                    some = np.flatnonzero(able)
+                    if not len(some):
+                        continue
+                    raw, keys = rows @ queries[some].T, part.column(2).to_pylist()
+                    scored += raw.size
+                    near = np.round(raw, 9)
+                    for j in np.flatnonzero((near >= floor[some] - 1e-9).any(axis=0)):
+                        q, hits = some[j], np.flatnonzero(near[:, j] >= floor[some[j]] - 1e-9)
+                        if len(hits) > k:
+                            hits = hits[near[hits, j] >= np.partition(near[hits, j], -k)[-k]]
+                        held[q] = sorted(held[q] + [(near[i, j], keys[i], raw[i, j]) for i in hits], key=order)[:k]
+                        if len(held[q]) == k:
+                            floor[q] = max(floor[q], held[q][-1][0])
+        out = [(qids[q], key, float(score), None) for q, best in enumerate(held) for _, key, score in best]
+        for start in range(0, len(out) + 1, 1 << 16):
+            rows = out[start : start + (1 << 16)] + ([(None, None, None, scored)] if start + (1 << 16) > len(out) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def cosine_scored(corpus: DataFrame, queries: DataFrame, k: int = 40, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(qid, id, score, scored): the k best rows of each query and task; a row a task says how many products it took."""
+    table, centres = clustered(corpus, id_col, vector)
+    asked = queries.where(F.col("vector").isNotNull()).select("qid", "vector")
+    schema = StructType([asked.schema["qid"], StructField(id_col, corpus.schema[id_col].dataType), StructField("score", DoubleType()), StructField("scored", LongType())])
+    arrow, found = to_arrow_schema(schema), None
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK)) if len(centres) else 0
     for i in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        scores = given.crossJoin(F.broadcast(block)).select("qid", id_col, dot(F.col(vector), F.col("__q")).alias("score"))
-        best = ranked(scores, k, id_col)
-        found = best if found is None else found.unionByName(best)
-    return found
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()
+        if not rows:
+            continue
+        given, qids = np.array([r.vector for r in rows], float), list(range(len(rows)))
+        # First each query's own cluster: its k-th best there is a floor for the whole table.
+        places = StructType([StructField("qid", LongType()), *schema.fields[1:]])
+        none = np.full(len(rows), -np.inf)
+        first = table.mapInArrow(_near_tasks(given, qids, centres, none, k, True, to_arrow_schema(places)), places).where("qid is not null")
+        last = ranked(first, k, id_col).where(F.col("rank") == k).select("qid", "score").collect()
+        floors = none.copy()
+        for r in last:
+            floors[r.qid] = round(r.score, 9)
+        part = table.mapInArrow(_near_tasks(given, [r.qid for r in rows], centres, floors, k, False, arrow), schema)
+        found = part if found is None else found.unionAll(part)
+    return corpus.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank) of the k rows of the greatest product with each query (qid, vector), equal to nine digits
+    by id; exact for vectors of any length, and best pruned for unit ones. Rows and queries without a vector are left out.
+
+    Rows are clustered around CENTRES rows at most. Queries are a stated set, met in blocks of about QUERY_BLOCK: the
+    k-th best row of a query's own cluster is its floor, and rows whose bound by the triangle inequality is below the
+    floor are never scored. Each task keeps k rows a query before anything is shuffled. qids are distinct.
+    """
+    found = cosine_scored(corpus, queries, k, id_col, vector).where("scored is null").drop("scored")
+    return ranked(found, k, id_col)
 
 
 def rrf(*lists: DataFrame, id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:

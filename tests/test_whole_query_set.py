@@ -98,10 +98,10 @@ def lexical(docs, columns):
     return out
 
 
-@pytest.mark.parametrize("salt", [20_000, 3])
-def test_lexical(spark, docs, monkeypatch, salt):
-    monkeypatch.setattr(retrieval, "SALT_POSTINGS", salt)
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_TERMS", 100_000 if salt > 3 else 1)
+@pytest.mark.parametrize("entries, rows_", [(1 << 21, 256), (300, 7)])
+def test_lexical(spark, docs, monkeypatch, entries, rows_):
+    monkeypatch.setattr(retrieval, "TERM_ENTRIES", entries)  # the queries in one block, or in several
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", rows_)
     got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in QUERIES["bm25_top40_whole"](spark, SF).collect()}
     want = {(q, i): (d, pytest.approx(s, abs=2e-6)) for q, best in lexical(docs, {"text": 1.0}).items() for i, (d, s) in enumerate(best, 1)}
     assert got == want
