@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.plans.core import query
 from quarry.sources import pages as pg
+from quarry.streaming import ingest as ing
 from quarry.streaming import limits as lim
+from quarry.tables import shared_dir
 
 
 @query()
@@ -60,3 +64,20 @@ def page_check(t):
 def page_blocks(t):
     """Headed clauses of pages; tested against known pages."""
     return pg.clauses(t("pages"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS sha256, length(coalesce(text, ''))::INTEGER AS chars FROM documents")
+def ingested_texts(t):
+    """The documents' table as a stream of its files into a table that takes each text once; run twice, as a restart."""
+    docs = t("documents")
+    spark, out, state = docs.sparkSession, _folder(docs.sparkSession, "ingested"), _folder(docs.sparkSession, "ingest-state")
+    folder, file = docs.inputFiles()[0].rsplit("/", 1)  # the table is a folder of files, or one file beside others
+    glob = "*" if folder.endswith(".parquet") else file
+    for _ in range(2):
+        stream = ing.rows(spark, folder, docs.schema, F.col("text"), glob).select("sha256", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+        taken = ing.ingested(stream, out, state)
+    return taken

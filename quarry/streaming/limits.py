@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 
@@ -56,33 +57,75 @@ def sliding_limiter(events: DataFrame, key: str, ts: str, id_col: str, limit: in
     return in_order(events, key, ts, id_col, "allowed", lambda times, held: admit(times, limit, window, held))
 
 
+class _Admission(StatefulProcessor):
+    """Decides a key's events in order of time. They are put into state by bucket of time and the part of a batch that
+    they came in, and leave it bucket after bucket, so that only a bucket's events are in memory: with wait once the
+    watermark has passed the bucket, else at the end of their micro-batch."""
+
+    def __init__(self, id_col: str, id_kind: str, limit: int, window: float, bucket: float, wait: bool):
+        self.id_col, self.id_kind, self.limit, self.window, self.bucket, self.wait = id_col, id_kind, limit, window, bucket, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "times array<double>")
+        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part int", f"times array<double>, ids array<{self.id_kind}>")
+
+    def decided(self, key, bucket: int):
+        events = []
+        for part in range(self.parts.getValue((bucket,))[0]):
+            events += zip(*self.waiting.getValue((bucket, part)), strict=True)
+            self.waiting.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        events.sort()
+        held = deque(self.held.get()[0]) if self.held.exists() else deque()
+        allowed, held = admit([at for at, _ in events], self.limit, self.window, held)
+        self.held.update((list(held),))
+        self.handle.registerTimer(int((max(held, default=0.0) + self.window) * 1000) + 1)
+        return pd.DataFrame({"key": key[0], self.id_col: [i for _, i in events], "allowed": allowed})
+
+    def handleInputRows(self, key, rows, timerValues):
+        touched = set()
+        for frame in rows:
+            for bucket, part in frame.groupby((frame["at"] // self.bucket).astype("int64")):
+                bucket = int(bucket)
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not n and self.wait:
+                    self.handle.registerTimer(int((bucket + 1) * self.bucket * 1000))
+                self.waiting.updateValue((bucket, n), (part["at"].tolist(), part[self.id_col].tolist()))
+                self.parts.updateValue((bucket,), (n + 1,))
+                touched.add(bucket)
+        for bucket in () if self.wait else sorted(touched):
+            yield self.decided(key, bucket)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        for bucket in sorted(b for (b,) in self.parts.keys() if (b + 1) * self.bucket <= passed):
+            yield self.decided(key, bucket)
+        if self.held.exists() and max(self.held.get()[0], default=0.0) + self.window < passed:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def limiter_stream(
-    events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float, delay: str = "10 minutes"
+    events: DataFrame, key: str, ts: str, id_col: str, limit: int, window: float, delay: str = "10 minutes", bucket: float = 1.0, wait: bool = False
 ) -> DataFrame:
-    """The same over a stream: state is the admitted times within the window, dropped once the watermark (events up to
-    `delay` late) has passed them by a window. Events of one micro-batch are decided in order of time."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """(key, id, allowed) over a stream. Events may come up to `delay` late; later ones are left out.
 
+    Events of one micro-batch are decided in order of time, at its end. With wait an event is decided when the watermark
+    has passed its bucket of `bucket` seconds, so that the answer is sliding_limiter()'s however events arrive, and the
+    last ones wait for later events. State is a key's admitted times within the window, dropped once the watermark has
+    passed them by a window, and its undecided events. The state store must be RocksDB, which is set on the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_col)}
-
-    def run(group, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["at", id_col])
-        allowed, held = admit(rows["at"].tolist(), limit, window, held)
-        state.update((list(held),))
-        end = int((max(held, default=0.0) + window) * 1000) + 1
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: rows[key], id_col: rows[id_col], "allowed": allowed})
-
-    timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
-    timed = timed.select(key, id_col, "__ts", (F.unix_micros("__ts") / 1e6).alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean", "held array<double>", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    timed = events.select(key, id_col, F.col(ts).cast("timestamp").alias("time")).withWatermark("time", delay)
+    timed = timed.withColumn("at", F.unix_micros("time") / 1e6)
+    admission = _Admission(id_col, kinds[id_col], limit, window, bucket, wait)
+    found = timed.groupBy(key).transformWithStateInPandas(admission, f"key {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean", "append", "eventTime")
+    return found.withColumnRenamed("key", key)
 
 
 def cache_key(*parts: Column) -> Column:
