@@ -17,19 +17,30 @@ from quarry.llm.pieces import DEFAULT_MODEL, encode_texts, load
 from quarry.llm.quality_classifier import learn_rule, quality_scores
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with names of this module's own for the columns that the stages don't read, so that none is replaced."""
+    return docs.select([F.col(c) if c in ("doc_id", "text") else F.col(c).alias(f"column {i}") for i, c in enumerate(docs.columns)])
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, from those of _plain()."""
+    return rows.select([F.col(plain).alias(c) for plain, c in zip(_plain(docs).columns, docs.columns, strict=True)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects. It learns from labelled rows outside the held-out third."""
     learn, fold = learn_rule()
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), learn, fold, docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    plain = _plain(docs)
+    scored = quality_scores(plain, table(spark, sf_dir, "labels"), learn, fold, plain.columns)
+    return _named(scored.where("predicted = 1"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that five documents or more share, but for one of them; n_chars follows the text."""
-    kept = line_dedup(docs)
+    kept = _named(line_dedup(_plain(docs)), docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +56,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     covered = table(spark, sf_dir, "labels").select("doc_id").distinct()
     labelled = docs.select("doc_id", "text", "lang").join(covered, "doc_id", "left_semi")
-    mixed = mixing_rates(docs, labelled, docs.columns)
+    plain = _plain(docs)
+    mixed = mixing_rates(plain, labelled, plain.columns)
     copies = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies")))
-    return mixed.rows.withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    return _named(mixed.rows.withColumn("copy", F.explode(copies)), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ linear, embedding and weights fold into one score table, which executors sum ove
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,9 @@ SAMPLE, LEAST = 2400, 60
 #: A prediction is rejected under the smallest confidence at which the calibration texts reach this precision.
 PRECISION = 0.98
 CHUNK = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most, the most frequent ones; it bounds the labelled rows and the model.
+LANGUAGES = 256
+_LETTER = r"\p{L}"
 _FOLD = bytes(
     b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)
 )  # ASCII letters in lower case, other ASCII as blanks
@@ -102,8 +103,9 @@ class LanguageModel:
         return total / np.maximum(count, 1)[:, None]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(language, confidence) of each text; texts without a letter come as empty ones and are `und`."""
         p = softmax(self.logits(texts) / self.temperature)
-        some = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+        some = np.array([bool(t) for t in texts], bool)
         best = p.argmax(1)
         return (
             [self.languages[b] if s else "und" for b, s in zip(best, some)],
@@ -156,11 +158,13 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | None:
-    """Fit on a sample of the rows that learn admits, of every language that occurs, drawn by a hash of the id."""
+    """Fit on a sample of the rows that learn admits, of the LANGUAGES most frequent languages (equal ones by name),
+    drawn by a hash of the id. Rows without a letter teach nothing."""
     named = {id_col: "id", lang_col: "lang", text_col: "text"}
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)))
     known = known.select(*[F.col(c).alias(n) for c, n in named.items()])
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
     some = drawn(known, "lang", "id", counts, max(LEAST, SAMPLE // len(counts)))
@@ -196,8 +200,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred string, score double (calibrated probability, 0 to 1), rejected boolean.
 
-    Whole texts are read. Defined cases: a null text or one without a letter is `und` with score 0 and rejected;
-    without a model everything is. A text shorter than an n-gram has the model's bias alone. A tie goes to the
+    Whole texts are read. Defined cases: a null text or one without a letter (Unicode category L, as in fit()) is `und`
+    with score 0 and rejected; without a model everything is. A text shorter than an n-gram has the model's bias alone. A tie goes to the
     first language by name. Repeated rows are predicted alike; columns outside keep are not read.
     """
     names = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
@@ -208,7 +212,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text
         limit = model.threshold if model else 1.0
         return {"lang_pred": lang, "score": score, "rejected": [x == "und" or s < limit for x, s in zip(lang, score)]}
 
-    return map_texts(docs, names, text_col, fields, run)
+    lettered = "lettered"
+    while lettered in docs.columns:
+        lettered += "_"
+    able = docs.withColumn(lettered, F.when(F.col(text_col).rlike(_LETTER), F.col(text_col)))
+    return map_texts(able, names, lettered, fields, run)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

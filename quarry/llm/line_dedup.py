@@ -38,47 +38,40 @@ def line_dedup(
     bits of hash.
     """
     spare = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # The input's columns travel as one struct, so that no name of theirs meets one of these.
     keyed = docs.select(
-        *spare,
-        F.xxhash64(id_col, text_col).alias("__k1"),
-        F.hash(text_col, F.lit(7), id_col).alias("__k2"),
+        F.struct(*spare).alias("row"), F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, F.lit(7), id_col).alias("k2")
     )
-    lines = keyed.select(
-        "__k1", "__k2", F.col(id_col).alias("__id"),
-        F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("__pos", "__line"),
-    )
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    lines = keyed.select("k1", "k2", F.col("row")[id_col].alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     held = written(
-        lines.select("__k1", "__k2", "__id", "__pos", line_key(F.col("__line")).alias("__key"))
-        .where(F.char_length("__key") >= min_chars)
-        .select("__k1", "__k2", "__id", "__pos", F.xxhash64("__key").alias("__h1"), F.hash("__key").alias("__h2"))
-        .groupBy("__h1", "__h2", "__k1", "__k2")
-        .agg(F.first("__id").alias("__id"), F.collect_set("__pos").alias("__at")),
+        lines.select("k1", "k2", "id", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.char_length("key") >= min_chars)
+        .select("k1", "k2", "id", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+        .groupBy("h1", "h2", "k1", "k2")
+        .agg(F.first("id").alias("id"), F.collect_set("pos").alias("at")),
         "held-lines",
     )
     common = (
-        held.select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2")
-        .agg(F.count("*").alias("__docs"), F.max("__id").alias("__keep"))
-        .where(F.col("__docs") >= min_docs)
+        held.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
+        .agg(F.count("*").alias("docs"), F.max("id").alias("keep"))
+        .where(F.col("docs") >= min_docs)
     )
     # Joined by a struct, so that both sides are dealt anew and Spark may split the rows of a very common line.
     lost = (
-        held.withColumn("__h", F.struct("__h1", "__h2"))
-        .join(common.select(F.struct("__h1", "__h2").alias("__h"), "__keep"), "__h")
-        .where(F.col("__id").isNull() | F.col("__keep").isNull() | (F.col("__id") != F.col("__keep")))
-        .groupBy("__k1", "__k2")
-        .agg(F.flatten(F.collect_list("__at")).alias("__lost"))
+        held.withColumn("h", F.struct("h1", "h2"))
+        .join(common.select(F.struct("h1", "h2").alias("h"), "keep"), "h")
+        .where(F.col("id").isNull() | F.col("keep").isNull() | (F.col("id") != F.col("keep")))
+        .groupBy("k1", "k2")
+        .agg(F.flatten(F.collect_list("at")).alias("lost"))
     )
-    split = keyed.join(lost, ["__k1", "__k2"], "left").withColumn(
-        "__lines", F.split(F.coalesce(text_col, F.lit("")), "\n")
-    )
-    stay = F.array_except(
-        F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__lost", F.array().cast("array<int>"))
-    )
-    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
+    split = keyed.join(lost, ["k1", "k2"], "left").withColumn("lines", F.split(text, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("lost", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     return split.select(
-        *[kept.alias(c) if c == text_col else c for c in spare],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(stay)).cast("long").alias("n_dropped"),
+        *[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in spare],
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(stay)).cast("long").alias("n_dropped"),
     )
 
 

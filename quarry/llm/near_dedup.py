@@ -7,7 +7,7 @@ doesn't exceed. Darts under the text's rank limit are kept, hashed to one of BAN
 coordinate keeps its earliest dart. Two texts agree in a coordinate with the probability of their weighted Jaccard
 similarity. Equal bands make candidates.
 
-Links. Copies collapse first, by a hash of the text. Pairs within a band's bucket are never emitted: each bucket
+Links. Copies collapse once they are signed, by a hash of the text. Pairs within a band's bucket are never emitted: each bucket
 links to its hub, the member with the most bucket mates, and these few pairs are verified exactly, text against text.
 Buckets whose members are in one class by then are done. In the others, members of different classes are compared in
 blocks of about BLOCK rows inside tasks: first without texts, by an upper bound of their similarity that shingle counts
@@ -311,13 +311,11 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other id. Repeated rows give repeated rows. Other columns aren't read; an empty table gives an empty result.
     Texts are told apart by a 64-bit hash.
     """
-    keyed = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     labels = near_dup_labels(keyed.select("k", "text"))
-    members = keyed.select(id_col, F.col("k").alias("__k")).join(
-        labels.select(F.col("k").alias("__k"), "label"), "__k", "left"
-    ).withColumn("label", F.coalesce("label", "__k"))
-    names = members.groupBy("label").agg(F.min(id_col).alias("class_id")).withColumn("key", F.struct("label")).drop("label")
-    return members.join(names, F.struct("label") == F.col("key")).select(id_col, "class_id", "__k")
+    members = keyed.select("id", "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    names = members.groupBy("label").agg(F.min("id").alias("class_id")).withColumn("key", F.struct("label")).drop("label")
+    return members.join(names, F.struct("label") == F.col("key")).select(F.col("id").alias(id_col), "class_id", F.col("k").alias("__k"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,16 +324,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Where equal rows share that id and text one of them stays; where only the text differs, the one of smaller hash.
     All columns pass through. The other cases are those of near_dup_classes.
     """
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    labels = near_dup_labels(keyed.select(F.col("__k").alias("k"), F.coalesce(text_col, F.lit("")).alias("text")))
-    members = keyed.select(F.col(id_col).alias("__id"), "__k").join(
-        labels.select(F.col("k").alias("__k"), "label"), "__k", "left"
-    ).withColumn("label", F.coalesce("label", "__k"))
-    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col("__k"))).alias("best")
-    stay = members.groupBy("label").agg(best).select("best.__k", "best.__id")
+    # The input's columns travel as one struct, so that no name of theirs meets one of these.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k"))
+    labels = near_dup_labels(keyed.select("k", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text")))
+    members = keyed.select(F.col("row")[id_col].alias("id"), "k").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k"))).alias("best")
+    stay = members.groupBy("label").agg(best).select("best.k", "best.id")
     # A text's hash names at most one row to keep, so the rows that are left repeat each other.
-    rows = keyed.join(stay, "__k").where(F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__k"])
-    return rows.select(*docs.columns)
+    rows = keyed.join(stay, "k").where(F.col("row")[id_col].eqNullSafe(F.col("id"))).dropDuplicates(["k"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

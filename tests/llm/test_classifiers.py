@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from quarry.llm import language_id as lid
@@ -125,3 +126,20 @@ def test_ridge_equals_dense_least_squares(spark):
     drag = np.sqrt(qc.RIDGE * len(x)) * np.eye(qc.FEATURES + 1)[:-1]
     beta = np.linalg.lstsq(np.vstack([z, drag]), np.concatenate([y, np.zeros(qc.FEATURES)]), rcond=None)[0]
     assert np.allclose(z @ beta, model.raw(x), atol=1e-4)
+
+
+def test_only_letters_make_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = lid.fit(docs, crc32_mod("doc_id", 4) != 2)
+    odd = ["½", "²", "①", "Ⅷ", "12 34 _-", "", None, " \n", "ª", "ß", "中", "½ a"]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("lettered", F.lit("own"))
+    got = {r.doc_id: r for r in lid.identify(frame, model, ["doc_id", "lettered", "text"]).collect()}
+    assert [odd[i] for i in sorted(got) if got[i].lang_pred == "und"] == odd[:8]
+    assert all(got[i].score == 0 and got[i].rejected for i in range(8)) and all(got[i].score > 0 for i in range(8, 12))
+    assert [got[i].text for i in range(len(odd))] == odd and {r.lettered for r in got.values()} == {"own"}
+
+
+def test_many_languages_are_bounded(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('text of ', id) AS text", "if(id % 2 = 0, concat('l', id % 8), concat('x', id)) AS lang")
+    model = lid.fit(docs, crc32_mod("doc_id", 4) != 2)
+    assert len(model.languages) == lid.LANGUAGES and {"l0", "l2", "l4", "l6"} < set(model.languages)

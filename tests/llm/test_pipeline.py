@@ -92,3 +92,14 @@ def test_odd_documents_and_an_empty_table(spark):
             now = written(stage(spark, now, SF), "odd")
             assert name == "SentencePiece" or now.columns == docs.columns
         assert frame is docs or now.count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["__k", "__id", "__lines", "__h1", "k", "row", "label", "score", "predicted", "n_lines", "tokens", "posterior", "rate", "copies", "copy", "lines", "at", "keep", "text_"]
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    docs = base.selectExpr("*", *[f"concat('{n} of ', doc_id) AS `{n}`" for n in names])
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, SF), "clash")
+        assert now.columns == docs.columns and now.count()
+        assert all(r[n] == f"{n} of {r.doc_id}" for r in now.collect() for n in names)
