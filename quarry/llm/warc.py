@@ -16,6 +16,7 @@ import codecs
 import gzip
 import hashlib
 import html
+import itertools
 import re
 import uuid
 import zlib
@@ -31,20 +32,24 @@ VERSION, CRLF = "WARC/1.1", "\r\n"
 #: Capture date of pages, which have none of their own.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 HTML, PLAIN = ("text/html", "application/xhtml+xml"), "text/plain"
-#: Bytes that a body may inflate to; a larger one is an error, not cut.
-MAX_BODY = 1 << 28
-# A head without a closing tag ends, as in HTML, before the first text or element that can't be in a head.
-_HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
-    r"<head\b[^>]*>(?:.*?</head\s*>|(?:\s|<!--.*?-->|</?(?:meta|link|base)\b[^>]*>|"
-    r"<(title|script|style|noscript|template)\b[^>]*>.*?</\2\s*>)*)", re.I | re.S,
-)
-_BREAK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|"
-    r"html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I,
-)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>")
-_SPACES, _LINES = re.compile(r"[ \t\r\f\v ]+"), re.compile(r" ?\n[ \n]*")
+#: Bytes that a body may have without its codings: what a cell of a column holds. A larger one is an error, not cut.
+MAX_BODY = (1 << 31) - 1
+BLOCK = 1 << 20
+#: A body's type, where none is stated, follows from so many first bytes, and its meta element's charset from so many;
+#: both are the numbers that the standards of MIME sniffing and HTML give.
+SNIFFED, PRESCANNED = 1445, 1024
+_MARKUP = re.compile(rb"[\t\n\f\r ]*<(?:!doctype html|html|head|script|iframe|h1|div|font|table|a|style|title|b|body|br|p|meta|!--|\?xml)", re.I)
+_BINARY = re.compile(rb"[\0-\x08\x0b\x0e-\x1a\x1c-\x1f]")
+_HIDDEN = frozenset(("script", "style", "noscript", "template"))
+#: Elements that may stand in a head, and those of them whose text is the head's.
+_IN_HEAD, _HEAD_TEXT = frozenset(("meta", "link", "base", "title", *_HIDDEN)), frozenset(("title", *_HIDDEN))
+_BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
+    "html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
+)
+# A tag to its end; a ">" in a quoted value doesn't end it. The alternatives exclude each other, so a scan is linear.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)(?:(?>[^>"'=]+)|=\s*(?>"[^"]*"|'[^']*')|=(?!\s*["'])|["'])*>""")
+_SPACES, _LINES = re.compile(r"[ \t\r\f\v\u00a0]+"), re.compile(r" ?\n[ \n]*")
 
 
 class WarcError(ValueError):
@@ -109,53 +114,73 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
 
 
-def unchunked(body: bytes) -> bytes:
-    """The body of a chunked transfer; the bytes as they stand where they aren't in chunks."""
+def unchunked(body: bytes) -> tuple[bytes, bool]:
+    """The body of a chunked transfer, and whether it is whole: one that is cut off gives the bytes up to there. Bytes
+    that don't begin with a chunk's size are no chunks and stay."""
     at, parts = 0, []
     while True:
         end = body.find(b"\r\n", at)
         size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
         if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
-            return body
+            return (b"".join(parts), False) if at else (body, True)
         at, n = end + 2, int(size, 16)
         if not n:
-            return b"".join(parts)
+            return b"".join(parts), True
         parts.append(body[at : at + n])
+        if len(parts[-1]) < n:
+            return b"".join(parts), False
         at += n + 2
 
 
-def inflated(body: bytes, bits: int) -> bytes:
-    """Undo gzip (bits 31), zlib (15) or bare deflate (-15)."""
-    unzip = zlib.decompressobj(bits)
-    try:
-        out = unzip.decompress(body, MAX_BODY)
-    except zlib.error as broken:
-        raise NoText(f"broken content encoding: {broken}") from broken
-    if unzip.unconsumed_tail:
-        raise NoText(f"a body of over {MAX_BODY} bytes")
+def inflated(blocks, bits: int):
+    """Blocks of what blocks of gzip (bits 31), zlib (15) or bare deflate (-15) hold."""
+    unzip, total = zlib.decompressobj(bits), 0
+    for block in blocks:
+        while block and not unzip.eof:
+            try:
+                out = unzip.decompress(block, BLOCK)
+            except zlib.error as broken:
+                raise NoText(f"broken content encoding: {broken}") from broken
+            block, total = unzip.unconsumed_tail, total + len(out)
+            if total > MAX_BODY:
+                raise NoText(f"a body of over {MAX_BODY} bytes")
+            yield out
     if not unzip.eof:
         raise NoText("a coded body is cut off")
-    return out
 
 
-def entity(http: list[tuple[str, str]], body: bytes) -> tuple[str, str, bytes]:
-    """Media type (lower case, empty if not stated), content type as stated, and the body without its codings.
+def _begun(blocks, size: int):
+    """The first `size` bytes of blocks (all of fewer), and blocks that begin with them."""
+    held, blocks = b"", iter(blocks)
+    for block in blocks:
+        held += block
+        if len(held) >= size:
+            break
+    return held[:size], itertools.chain([held], blocks)
+
+
+def entity(http: list[tuple[str, str]], body: bytes) -> tuple[str, str, object, bool]:
+    """Media type (lower case, empty if not stated), content type as stated, blocks of the body without its codings, and
+    whether the transfer is whole.
 
     A coding that the stored bytes don't show, as crawlers may have undone it, is passed over.
     """
     first = lambda name: next((v for k, v in http if k.lower() == name), "")
+    whole = True
     if "chunked" in first("transfer-encoding").lower():
-        body = unchunked(body)
+        body, whole = unchunked(body)
+    blocks = (body[i : i + BLOCK] for i in range(0, len(body), BLOCK))
     for coding in reversed([c.strip().lower() for c in first("content-encoding").split(",")]):
+        head, blocks = _begun(blocks, 2)
         if coding in ("gzip", "x-gzip"):
-            body = inflated(body, 31) if body[:2] == b"\x1f\x8b" else body
+            blocks = inflated(blocks, 31) if head == b"\x1f\x8b" else blocks
         elif coding == "deflate":
-            zlib_head = len(body) > 1 and body[0] & 15 == 8 and not (body[0] << 8 | body[1]) % 31
-            body = inflated(body, 15 if zlib_head else -15)
+            zlib_head = len(head) > 1 and head[0] & 15 == 8 and not (head[0] << 8 | head[1]) % 31
+            blocks = inflated(blocks, 15 if zlib_head else -15)
         elif coding not in ("", "identity"):
             raise NoText(f"content encoding {coding}")
     kind = first("content-type")
-    return kind.split(";")[0].strip().lower(), kind, body
+    return kind.split(";")[0].strip().lower(), kind, blocks, whole
 
 
 def charset(kind: str, body: bytes) -> str:
@@ -164,7 +189,7 @@ def charset(kind: str, body: bytes) -> str:
         if body.startswith(mark):
             return name
     found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
-    meta = None if found else re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:1024], re.I)
+    meta = None if found else re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:PRESCANNED], re.I)
     name = found[1] if found else meta[1].decode("ascii", "replace") if meta else "utf-8"
     try:
         known = codecs.lookup(name)
@@ -175,22 +200,152 @@ def charset(kind: str, body: bytes) -> str:
     return "cp1252" if known.name in ("iso8859-1", "ascii") else known.name  # as browsers read these two
 
 
-def body_text(http: list[tuple[str, str]], body: bytes) -> str:
-    """The text of a response's body. Raises NoText where it has none."""
-    media, kind, body = entity(http, body)
+def sniffed(head: bytes) -> str:
+    """The media type of a body that states none, by its first SNIFFED bytes."""
+    if _MARKUP.match(head):
+        return HTML[0]
+    marked = head.startswith((codecs.BOM_UTF8, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE))
+    return PLAIN if marked or not _BINARY.search(head) else "unknown bytes"
+
+
+def body_text(http: list[tuple[str, str]], body: bytes) -> tuple[str, bool]:
+    """The text of a response's body, and whether its transfer is whole. Raises NoText where it has none. The body
+    passes in blocks, so that beside it only its text is held."""
+    media, kind, blocks, whole = entity(http, body)
+    head, blocks = _begun(blocks, SNIFFED)
     if not media:
-        head = body[:512].lstrip().lower()
-        media = HTML[0] if head.startswith(b"<") or b"<html" in head else PLAIN if b"\0" not in body[:512] else "unknown bytes"
+        media = sniffed(head)
+        if media == PLAIN and head.startswith((codecs.BOM_UTF8, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+            opening = head.decode(charset("", head), "ignore").encode()
+            media = HTML[0] if _MARKUP.match(opening.lstrip(codecs.BOM_UTF8)) else media
     if media not in HTML and media != PLAIN:
         raise NoText(f"no text in {media}")
-    text = body.decode(charset(kind, body), "replace")
-    return plain_text(text) if media in HTML else text.replace("\r\n", "\n").strip()
+    decoder = codecs.getincrementaldecoder(charset(kind, head))("replace")
+    page = VisibleText() if media in HTML else None
+    plain: list[str] = []
+    for block in itertools.chain(blocks, [None]):
+        text = decoder.decode(b"", True) if block is None else decoder.decode(block)
+        page.feed(text) if page else plain.append(text)
+    return (page.text() if page else "".join(plain).replace("\r\n", "\n").strip()), whole
+
+
+class VisibleText:
+    """The visible text of a page that comes in pieces, by one scan forward.
+
+    Comments, scripts, styles, templates and the like go, block tags break lines, other tags vanish, entities are
+    resolved, blanks collapse; line breaks stay in preformatted elements. A head goes as a whole; one without a closing
+    tag ends, as in HTML, before the first text or element that can't be in a head. What is open at the end of the page
+    goes: a comment, a hidden element, a tag.
+    """
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.held, self.need = "", 0
+        self.until: str | None = None  # the hidden element or comment whose end is awaited
+        self.head_from: int | None = None  # where the head's output begins
+        self.in_head, self.pre = False, 0
+
+    def feed(self, text: str) -> None:
+        self.held += text
+        if len(self.held) >= self.need:
+            self._scan(False)
+
+    def text(self) -> str:
+        self._scan(True)
+        return _LINES.sub("\n", _SPACES.sub(" ", "".join(self.out))).strip()
+
+    def _said(self, text: str) -> None:
+        if not text or self.in_head and not text.strip():
+            return
+        self.in_head = False
+        self.out.append(html.unescape(text if self.pre else text.replace("\n", " ")))
+
+    def _ended(self, at: int) -> int:
+        """The place after the end of what is awaited, or -1."""
+        if self.until == "--":
+            end = self.held.find("-->", at)
+            return -1 if end < 0 else end + 3
+        found = re.compile(rf"</{self.until}(?=[\s/>])[^>]*>", re.I).search(self.held, at)
+        return found.end() if found else -1
+
+    def _scan(self, last: bool) -> None:
+        held, at = self.held, 0
+        while True:
+            if self.until is not None:
+                end = self._ended(at)
+                if end < 0:
+                    # Only an end that has begun can matter: an end tag of this name, or two marks of a comment's end.
+                    rest = held[at:]
+                    begun, name = rest.rfind("</"), rest[rest.rfind("</") + 2 :][: len(self.until)].lower()
+                    if self.until != "--" and begun >= 0 and self.until.startswith(name):
+                        self.held, self.need = rest[begun:], 2 * (len(rest) - begun) if name == self.until else 0
+                    else:
+                        self.held, self.need = rest[-2:], 0
+                    return
+                at, self.until = end, None
+                if not self.in_head:
+                    self.out.append(" ")
+            start = held.find("<", at)
+            if start < 0:
+                stop = len(held)
+                if not last and (amp := held.rfind("&", max(at, stop - 64))) >= 0:
+                    stop = amp  # an entity may go on in the next piece
+                self._said(held[at:stop])
+                self.held, self.need = held[stop:], 0
+                return
+            self._said(held[at:start])
+            if not last and len(held) - start < 4:
+                self.held, self.need = held[start:], 0
+                return
+            at = start
+            if held.startswith("<!--", at):
+                self.until, at = "--", at + 4
+                continue
+            tag = _TAG.match(held, at)
+            if tag:
+                at = tag.end()
+                self._tag(bool(tag[1]), tag[2].lower())
+                continue
+            follows = held[at + 1 : at + 3]
+            if follows[:1] in ("!", "?") or (follows[:1] == "/" and not follows[1:2].isalpha()):
+                end = held.find(">", at)
+            elif follows[:1].isascii() and follows[:1].isalpha() or follows[:1] == "/":
+                end = -1
+            else:
+                self._said("<")
+                at += 1
+                continue
+            if end < 0:
+                # A tag that isn't closed yet; it is looked at again when as much has come once more.
+                self.held, self.need = ("", 0) if last else (held[at:], 2 * (len(held) - at))
+                return
+            at = end + 1
+
+    def _tag(self, closes: bool, name: str) -> None:
+        if name == "head":
+            if closes and self.head_from is not None:
+                del self.out[self.head_from :]
+                self.out.append(" ")
+                self.head_from, self.in_head = None, False
+            elif not closes and self.head_from is None:
+                self.head_from, self.in_head = len(self.out), True
+            return
+        if self.in_head and not closes and name not in _IN_HEAD:
+            self.in_head = False
+        if not closes and (name in _HIDDEN or self.in_head and name in _HEAD_TEXT):
+            self.until = name
+        elif not self.in_head:
+            if name == "pre":
+                self.pre = max(0, self.pre + (-1 if closes else 1))
+            if name in _BREAKS:
+                self.out.append("\n")
 
 
 def plain_text(page: str) -> str:
-    """Visible text: hidden elements and comments go, block tags break lines, other tags vanish, entities are resolved."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page).replace("\n", " "))))
-    return _LINES.sub("\n", _SPACES.sub(" ", text)).strip()
+    """The visible text of a page."""
+    scan = VisibleText()
+    scan.feed(page)
+    return scan.text()
 
 
 def derived_id(source: str, kind: str) -> str:
@@ -204,9 +359,9 @@ def derive(data: bytes) -> tuple[Record, str, bytes, bytes | None, str | None, s
     if response.get("WARC-Type") != "response" or not source:
         raise WarcError("not a response with an identifier")
     status, http, body = parse_http(response.block)
-    text = why = None
+    text, why, whole = None, None, True
     try:
-        text = body_text(http, body)
+        text, whole = body_text(http, body)
     except NoText as none:
         why = str(none)
     ids = {kind: derived_id(source, kind) for kind in ("metadata", "conversion")}
@@ -216,6 +371,7 @@ def derive(data: bytes) -> tuple[Record, str, bytes, bytes | None, str | None, s
         ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http),
         ("source-block-digest", response.get("WARC-Block-Digest") or digest(response.block)),
         ("source-payload-digest", payload), ("source-content-length", str(len(response.block))),
+        *([] if whole else [("source-truncated", "a chunk of the transfer is cut off")]),
         *([("no-conversion", why)] if text is None else [("conversion", ids["conversion"]), ("text-length", str(len(text)))]),
     ]
     block = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode()
@@ -224,7 +380,7 @@ def derive(data: bytes) -> tuple[Record, str, bytes, bytes | None, str | None, s
         ("WARC-Concurrent-To", None if text is None else ids[other]), ("Content-Type", content),
     ]
     metadata = serialize(head("metadata", "conversion", "application/warc-fields"), block)
-    wet = [*head("conversion", "metadata", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", payload)]
+    wet = [*head("conversion", "metadata", "text/plain; charset=utf-8"), ("WARC-Source-Payload-Digest", payload), ("WARC-Truncated", None if whole else "unspecified")]
     conversion = None if text is None else serialize(wet, text.encode("utf-8", "replace"))
     return response, payload, metadata, conversion, text, why
 
@@ -285,8 +441,9 @@ def derivatives(responses: DataFrame, keep: list[str], record_col: str = "record
     """The columns `keep` of responses with DERIVED: identifiers, the plain text, both records, and error.
 
     Defined cases: a null or broken record, or one that is no response, has its error and nulls. A response without
-    text (another media type, an unknown or broken coding, a body of over MAX_BODY bytes) has its error, a metadata
-    record and no conversion. An empty body gives an empty text; texts of any length are converted whole. A response without a target address gives records without one. Repeated rows give repeated rows
+    text (another media type, an unknown or broken coding, a body of over MAX_BODY bytes, which fits no cell) has its
+    error, a metadata record and no conversion. A chunked transfer that is cut off gives the text up to there, and both
+    records say so. A type that isn't stated is sniffed from the first SNIFFED bytes. An empty body gives an empty text; texts of any length are converted whole. A response without a target address gives records without one. Repeated rows give repeated rows
     with equal identifiers. Columns of the names above are replaced; an empty table gives an empty result.
     """
     names = [c for c in keep if c not in {f.name for f in DERIVED}]
@@ -408,9 +565,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = derivatives(page_responses(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
-    return made.select(
-        "page_id", "response_id", "target_uri", "metadata_id", "conversion_id", "payload_digest", "n_chars",
-        F.sha2("text", 256).alias("text_sha256"), F.sha2("metadata", 256).alias("metadata_sha256"),
-        F.sha2("conversion", 256).alias("conversion_sha256"),
-    )
+    """Every page's two records with their identifiers and the plain text."""
+    return derivatives(page_responses(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
