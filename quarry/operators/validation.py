@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions.identifiers import NUMBER_PATTERN, all_numbers, base_number
 from quarry.operators.understanding import clause_refs
@@ -12,8 +13,8 @@ from quarry.operators.understanding import clause_refs
 PLAIN_NUMBER = r"(?<![\w.])(\d{1,3}(?:[ ,]\d{3})+|\d+(?:\.\d+)?)(?![\w.]*\d)"
 CITATION = r"\[(C\d{1,2})\]"
 ADDRESS = r"https?://[^\s)\]>\"']+"
-#: More quotes of one or two words than this are met without a broadcast.
-MAX_BROADCAST_SHORT = 1000
+#: Quotes of one or two words that one scan of the passages looks for, and bits of the filter of longer ones at most.
+MAX_BROADCAST_SHORT, FILTER_BITS = 100_000, 1 << 23
 STRONG_MIN, MODERATE_MIN = 3.0, 0.0
 GATE = {"reranked_live": -4.0, "reranked_extractive": 1.0, "cosine": 0.62, "coverage": 0.6}
 
@@ -170,36 +171,89 @@ def coverage(words: Column, passages: Column, prefix: int = 5) -> Column:
     return F.when(F.size(heads) > 0, found / F.greatest(F.size(heads), F.lit(1))).otherwise(1.0)
 
 
+def _filter(hashes: DataFrame, count: int) -> tuple[bytes, int]:
+    """A Bloom filter of the column h as bytes, and its bits: 16 a value, FILTER_BITS at most, two of them set by each."""
+    bits = max(1 << 12, min(FILTER_BITS, 1 << (16 * count).bit_length()))
+    places = hashes.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("b"))
+    out = bytearray(bits // 8)
+    for r in words.collect():
+        out[r["at"]] = r["b"]
+    return bytes(out), bits
+
+
+def _places(h: Column, bits: int) -> list[Column]:
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))]
+
+
+def _may_hold(held: bytes, bits: int, h: Column) -> Column:
+    byte = lambda p: F.conv(F.hex(F.substring(F.lit(held), (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    one, two = (F.getbit(byte(p), (p % 8).cast("int")) == 1 for p in _places(h, bits))
+    return one & two
+
+
+def _holding(given: DataFrame, text: str, quotes: list[str], keys: list[str]) -> DataFrame:
+    """(keys, quote) of passages that hold one of a block's quotes, found by one automaton of them all in one scan."""
+    schema = StructType([given.schema[k] for k in keys]).add("__quote", "string")
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        found = ahocorasick.Automaton()
+        for q in quotes:
+            found.add_word(q, q)
+        found.make_automaton()
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            hits = [{q for _, q in found.iter(x)} if x else set() for x in batch.column(len(keys)).to_pylist()]
+            take = pa.array([i for i, qs in enumerate(hits) for _ in qs], pa.int64())
+            columns = [batch.column(i).take(take).cast(arrow.field(i).type) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([q for qs in hits for q in qs], pa.string())], schema=arrow)
+
+    return given.select(*keys, text).mapInArrow(run, schema)
+
+
 def found_quotes(quotes: DataFrame, passages: DataFrame, quote: str, text: str, keys: list[str]) -> DataFrame:
     """(quote's columns, passage's keys) where a passage holds a quote letter for letter.
 
-    Both sides meet on hashed runs of a quote's inner words, which stand whole in every passage that holds it, as its
-    first and last may be parts of longer ones: words 2 to 9 of a quote of ten or more, all inner words of one of three
-    to nine. So no pair without a common run is compared, and no text is copied to its runs. Quotes of one or two words have no inner word and meet every
-    passage; quotes are counted by length first, and up to MAX_BROADCAST_SHORT of these are broadcast.
+    Quotes meet passages on a hashed run of their inner words, which stand whole in every passage that holds them, as
+    the first and last may be parts of longer ones: words 2 to 9 of a quote of ten or more, all inner words of one of
+    three to nine. A passage's runs are tested by a Bloom filter of the quotes' before they are rows, so that few but
+    those of a quote are shuffled; no text is copied to its runs. Quotes of one or two words have no inner word: they
+    are found by scans of the passages for MAX_BROADCAST_SHORT of them at a time. An empty quote is in every passage.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    asked = quotes.withColumn("__w", words(F.col(quote))).where(F.col(quote).isNotNull())
+    asked = quotes.where(F.col(quote).isNotNull()).withColumn("__w", F.transform(words(F.col(quote)), lambda w: F.xxhash64(w)))
     asked = asked.withColumn("__n", F.least(F.greatest(F.size("__w") - 2, F.lit(0)), F.lit(8)))
     counts = {r["__n"]: r["count"] for r in asked.groupBy("__n").count().collect()}
-    short = asked.where("__n = 0").drop("__w", "__n")
     given = passages.select(*keys, text)
-    holds = F.col(text).contains(F.col(quote))
-    few = counts.get(0, 0) <= MAX_BROADCAST_SHORT
-    met = given.crossJoin(F.broadcast(short) if few else short).where(holds).drop(text) if 0 in counts else None
+    met = None
+
+    def also(found: DataFrame) -> None:
+        nonlocal met
+        met = found if met is None else met.unionByName(found)
+
+    if 0 in counts:
+        short = asked.where("__n = 0").drop("__w", "__n")
+        blocks = max(1, -(-counts[0] // max(1, MAX_BROADCAST_SHORT)))
+        for i in range(blocks):
+            block = [r[0] for r in short.where((F.pmod(F.xxhash64(quote), F.lit(blocks)) == i) & (F.col(quote) != "")).select(quote).distinct().collect()]
+            if block:
+                also(short.withColumn("__quote", F.col(quote)).join(_holding(given, text, block, keys), "__quote").drop("__quote"))
+        also(short.where(F.col(quote) == "").crossJoin(given.where(F.col(text).isNotNull()).select(*keys)))
     lengths = sorted(n for n in counts if n > 0)
-    if lengths or met is None:
-        run = lambda n: F.expr(
-            f"transform(sequence(0, greatest(size(__w) - {n}, 0)), i -> xxhash64(array_join(slice(__w, i + 1, {n}), ' ')))"
-        )
+    if lengths:
+        long_ = asked.where("__n > 0").withColumn("h", F.xxhash64(F.slice("__w", F.lit(2), F.col("__n")))).drop("__w", "__n")
+        held, bits = _filter(long_.select("h"), sum(counts[n] for n in lengths))
+        run = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("__w") - n, F.lit(0))), lambda i: F.xxhash64(F.slice("__w", i + 1, F.lit(n))))
         coded = given.withColumn("__p", F.xxhash64(*keys, text))
-        long_ = asked.where("__n > 0").withColumn("__run", F.struct(F.expr("xxhash64(array_join(slice(__w, 2, __n), ' '))").alias("h")))
-        seen = coded.select("__p", words(F.col(text)).alias("__w")).select(
-            "__p", F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths or [8]]))).alias("h")
-        )
+        hashed = coded.select("__p", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("__w"))
+        runs = F.filter(F.concat(*[run(n) for n in lengths]), lambda h: _may_hold(held, bits, h))
+        # An outer explode: for an inner one Spark would compute the runs once more, as a filter on their number.
+        seen = hashed.select("__p", F.explode_outer(F.array_distinct(runs)).alias("h")).where("h is not null")
         # Only hashes meet by run, joined by a struct so that Spark may split a frequent one; texts come to what is left.
-        asked_by = long_.drop("__w", "__n")
-        pairs = seen.select("__p", F.struct("h").alias("__run")).join(asked_by, "__run").drop("__run").distinct()
-        by_run = coded.join(pairs, "__p").where(holds).drop("__p", text)
-        met = by_run if met is None else met.unionByName(by_run)
-    return met.distinct()
+        pairs = seen.select("__p", F.struct("h").alias("__run")).join(long_.withColumn("__run", F.struct("h")).drop("h"), "__run").drop("__run").distinct()
+        also(coded.join(pairs, "__p").where(F.col(text).contains(F.col(quote))).drop("__p", text))
+    return quotes.limit(0).join(passages.select(*keys).limit(0)) if met is None else met.distinct()
