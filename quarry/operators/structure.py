@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.cleaning import devanagari_ratio, is_broken_devanagari, looks_like_legacy_font
+from quarry.functions.cleaning import devanagari_ratio, is_broken_devanagari, looks_like_legacy_font, strip_parallel_devanagari
 from quarry.tables import written
 
 # Words of a sentence, and months of an amendment's date.
@@ -156,3 +156,11 @@ def inside(outer: tuple[Column, ...], inner: tuple[Column, ...], slack: float =
     """Whether the middle of a box (x0, y0, x1, y1) lies in another one, give or take a little."""
     x, y = (inner[0] + inner[2]) / 2, (inner[1] + inner[3]) / 2
     return x.between(outer[0] - slack, outer[2] + slack) & y.between(outer[1] - slack, outer[3] + slack)
+
+
+def single_script(clauses: DataFrame) -> DataFrame:
+    """A clause tree (heading, text, rows) without the other script where both stand side by side: in the heading, in
+    each paragraph of the text and in each cell."""
+    paragraphs = F.transform(F.split("text", "\n\n"), strip_parallel_devanagari)
+    cells = F.transform("rows", lambda row: F.transform(row, strip_parallel_devanagari))
+    return clauses.withColumns({"heading": strip_parallel_devanagari(F.col("heading")), "text": F.array_join(paragraphs, "\n\n"), "rows": cells})

@@ -43,3 +43,40 @@ def header_value(header: Column, name: str) -> Column:
     """A scalar of a "name: value" header, without quotes; null where it is missing."""
     value = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*(.*?)\s*$", 1)
     return F.nullif(F.trim(value, F.lit("\"' ")), F.lit(""))
+
+
+def mode(dataset: Column) -> Column:
+    """official, or sample for sample and demo data."""
+    return F.when(dataset.isin("sample", "demo"), "sample").otherwise("official")
+
+
+def public_entries(pages: DataFrame, log: DataFrame, kinds: Mapping[str, tuple[str, str]], fallback: tuple[str, str]) -> DataFrame:
+    """Manifest entries of the public pages (file, title, url, doc_type, language) that the fetch log (file, obtained_on)
+    has: a PDF of guidance has a type of its own; kinds gives each type's tier and source type."""
+    kind = F.coalesce("doc_type", F.lit("guidance_page"))
+    kind = F.when((kind == "guidance_page") & F.lower("file").endswith(".pdf"), "guidance_pdf").otherwise(kind)
+    of = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[i])]), F.col("doc_type")), F.lit(fallback[i]))
+    last = log.groupBy("file").agg(F.max("obtained_on").alias("obtained_on"))
+    return pages.withColumn("doc_type", kind).join(last, "file").select(
+        "file", of(0).alias("tier"), F.lit("public").alias("location"), "title", "doc_type", of(1).alias("source_type"), F.col("url").alias("source_url"),
+        "obtained_on", F.lit("current").alias("status"), F.col("obtained_on").alias("status_verified_on"), F.lit("verified").alias("verification_status"),
+        F.coalesce("language", F.lit("en")).alias("language"), F.lit(False).alias("synthetic"), F.lit(False).alias("needs_review"),
+    )
+
+
+def sample_entries(documents: DataFrame) -> DataFrame:
+    """Manifest entries of sample documents (file, text) by the header of each; those without a number are left out."""
+    head = front_matter(F.col("text"))["header"]
+    of = lambda name: header_value(F.col("head"), name)
+    out = documents.select(F.regexp_replace("file", r"\.[^.]*$", ".pdf").alias("file"), head.alias("head")).where(of("number").isNotNull())
+    return out.select(
+        "file", F.lit("D").alias("tier"), F.lit("demo").alias("location"), of("number").alias("standard_number"), of("title").alias("title"),
+        F.lit("synthetic_demo").alias("doc_type"), F.lit("sample").alias("source_type"), F.lit("unknown").alias("status"),
+        F.lit("sample").alias("verification_status"), F.lit(True).alias("synthetic"), F.lit(False).alias("needs_review"),
+    )
+
+
+def save(manifest: DataFrame, path: str) -> None:
+    """The entries as JSON lines in one file, by tier (a missing one last) and file. A manifest has a row a file of a
+    folder, so it is small beside what it lists."""
+    manifest.orderBy(F.coalesce("tier", F.lit("Z")), "file").coalesce(1).write.mode("overwrite").json(path)

@@ -45,3 +45,9 @@ def write_requirements(df: DataFrame, path: str) -> None:
 def write_report(rows: DataFrame, group: str, counts: dict[str, str], path: str) -> None:
     """JSON lines: for each group and in all (group null), how many rows satisfy each named condition."""
     rows.rollup(group).agg(F.count("*").alias("rows"), *[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()]).write.mode("overwrite").json(path)
+
+
+def write_sheets(lines: DataFrame, path: str) -> None:
+    """The sheets of present.requirement_sheet(): a folder a standard, its lines in order in one file."""
+    dealt = lines.repartition("slug").sortWithinPartitions("slug", "ord").select("slug", "line")
+    dealt.write.mode("overwrite").partitionBy("slug").text(path)
