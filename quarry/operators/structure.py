@@ -69,12 +69,17 @@ def split_heading(rest: Column, bold: Column) -> Column:
 
 def annex_numbers(clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
     """clauses (doc, node, parent, number) with qualified: a plain number below an annex gets the nearest annex's letter
-    ("B-3.1"). Ancestors are climbed by doubling, so deep trees take few joins."""
+    ("B-3.1"). Ancestors are climbed by doubling, so deep trees take few joins; clauses that are their own ancestors, which
+    no number of rounds would settle, raise ValueError."""
     letter = F.regexp_extract("number", r"^Annex ([A-Z])", 1)
     own = clauses.select(doc, "node", F.col("parent").alias("__up"), F.nullif(letter, F.lit("")).alias("__own"))
     # __found: the nearest annex among the ancestors seen so far; __up: the next ancestor to ask.
     state = written(own.select(doc, "node", "__up", F.lit(None).cast("string").alias("__found"), "__own"), "annexes")
+    most, reach = state.count(), 1
     while state.where("__up is not null and __found is null").limit(1).count():
+        if reach > 2 * most:
+            raise ValueError("clauses that are their own ancestors")
+        reach *= 2
         above = state.select(doc, F.col("node").alias("__up"), F.col("__up").alias("__next"), F.coalesce("__own", "__found").alias("__seen"))
         state = written(
             state.join(above, [doc, "__up"], "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import answers as an
 from quarry.operators import present as pr
+from quarry.operators import retrieval as rt
 from quarry.operators import structure as sr
 from quarry.plans.core import query
 from quarry.sources import glossary as gl
@@ -155,3 +156,28 @@ def published_versions(t):
     sinks.publish(part.groupBy("p_brand").agg(F.min("p_size").alias("size"), F.lit(0).cast("long").alias("n")), root, "first")
     sinks.publish(part.groupBy("p_brand").agg(F.max("p_size").alias("size"), F.count("*").alias("n")), root, "second")
     return sinks.current(part.sparkSession, root)
+
+
+_ASKED = "['How is it marked?', 'Packing and sampling of bundles', 'What does pH mean', 'Which standard applies']"
+
+
+@query(f"""WITH asked AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'discover' WHEN '2-HIGH' THEN 'requirements' WHEN '3-MEDIUM' THEN 'define' WHEN '4-NOT SPECIFIED' THEN 'compare' ELSE 'ask' END AS intent,
+  {_ASKED}[o_custkey % 4 + 1] AS q FROM orders),
+rows_ AS (SELECT l_orderkey, l_linenumber, l_partkey, intent, q, ['scope', 'marking', 'packing', 'sampling', 'terminology', 'requirement', 'list', 'other'][p_size % 8 + 1] AS kind, p_size % 5 = 0 AS named,
+  1.0::DOUBLE / (60 + l_linenumber) AS score FROM lineitem JOIN asked ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+boosts AS (SELECT *, CASE WHEN (kind = 'marking' AND q LIKE '%marked%') OR (kind IN ('packing', 'sampling') AND q LIKE 'Packing%') OR (kind = 'terminology' AND q LIKE '%mean') THEN 0.015
+  ELSE CASE intent || ' ' || kind WHEN 'discover scope' THEN 0.012 WHEN 'discover list' THEN 0.010 WHEN 'requirements requirement' THEN 0.010 WHEN 'requirements marking' THEN 0.004 WHEN 'requirements packing' THEN 0.003
+    WHEN 'requirements sampling' THEN 0.003 WHEN 'define terminology' THEN 0.014 WHEN 'compare scope' THEN 0.004 WHEN 'compare requirement' THEN 0.004 ELSE 0 END END::DOUBLE AS kind_boost FROM rows_)
+SELECT l_orderkey, l_linenumber, l_partkey, round(kind_boost, 4) AS kind_boost, round(score + kind_boost + CASE WHEN named THEN 0.02 ELSE 0 END::DOUBLE, 6) AS total FROM boosts""")
+def boosted_passages(t):
+    """Passages of every question with the priors of its intent, the topics that it names and the numbers that it gives."""
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    priority = F.col("o_orderpriority")
+    intent = F.when(priority == "1-URGENT", "discover").when(priority == "2-HIGH", "requirements").when(priority == "3-MEDIUM", "define").when(priority == "4-NOT SPECIFIED", "compare").otherwise("ask")
+    questions = ("How is it marked?", "Packing and sampling of bundles", "What does pH mean", "Which standard applies")
+    asked = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), intent.alias("intent"), pick(questions, F.col("o_custkey") % 4).alias("q"))
+    kinds = ("scope", "marking", "packing", "sampling", "terminology", "requirement", "list", "other")
+    parts = t("part").select(F.col("p_partkey").alias("l_partkey"), pick(kinds, F.col("p_size") % 8).alias("kind"), (F.col("p_size") % 5 == 0).alias("named"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (1.0 / (60 + F.col("l_linenumber"))).alias("score")).join(asked, "l_orderkey").join(parts, "l_partkey")
+    out = rt.boosted(rows, F.col("intent"), F.col("kind"), rt.topic_kinds(F.col("q")), F.col("named"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("kind_boost", 4).alias("kind_boost"), F.round("total", 6).alias("total"))

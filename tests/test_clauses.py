@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 
 from quarry.functions.cleaning import HEADING_KINDS
 from quarry.operators import clauses as cs
@@ -226,3 +227,13 @@ def test_whole_documents_against_a_loop(spark):
     assert len(kinds) > 8
 
 
+
+
+def test_annex_numbers_end_on_a_cycle(spark):
+    from quarry.operators.structure import annex_numbers
+
+    rows = [(1, 0, 1, "1"), (1, 1, 2, "1.1"), (1, 2, 0, "1.1.1"), (2, 0, None, "Annex B"), (2, 1, 0, "3"), (2, 2, 1, "3.1"), (2, 3, None, "4")]
+    frame = spark.createDataFrame(rows, "doc_id int, node int, parent int, number string")
+    assert {r.qualified for r in annex_numbers(frame.where("doc_id = 2")).collect()} == {"Annex B", "B-3", "B-3.1", "4"}
+    with pytest.raises(ValueError, match="ancestors"):
+        annex_numbers(frame)
