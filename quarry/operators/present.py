@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.operators.answers import snippet
 
@@ -128,3 +129,95 @@ def requirement_sheet(items: DataFrame) -> DataFrame:
     lines = F.array(F.struct(F.lit(-3).alias("ord"), note.alias("line")), F.struct(F.lit(-2).alias("ord"), F.when(F.col("synthetic"), cell(F.lit(SHEET_SAMPLE))).alias("line")), F.struct(F.lit(-1).alias("ord"), F.lit(",".join(SHEET)).alias("line")))
     top = heads.select("slug", F.explode(lines).alias("x")).select("slug", F.col("x.ord").cast(items.schema["ord"].dataType).alias("ord"), "x.line").where("line is not null")
     return rows.unionByName(top)
+
+
+def cut_at_word(text: Column, most: int, mark: str = "…") -> Column:
+    """The text, or what is before the last blank of its first `most` characters, and the mark."""
+    head = F.left(text, F.lit(most))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit(mark)))
+
+
+def short_product(text: Column, most: int = 70) -> Column:
+    """A product's name up to a dash, a colon, a sentence's end or a part number."""
+    return cut_at_word(F.trim(F.get(F.split(text, r"\s+[-–—:]\s+|\.\s|\(Part", 2), 0), F.lit(" .,")), most)
+
+
+def short_category(text: Column, most: int = 80) -> Column:
+    """A list's heading as a category: its first line with words, without a number or "List of" before it, and what
+    stands before "(Quality Control)"."""
+    first = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), 0), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(first, r"^\d+\.\s*", ""), r"(?i)^List of\s+", "")
+    bare = F.trim(F.get(F.split(bare, r"\s*\(Quality Control\)", 2), 0))
+    cut = F.regexp_replace(F.regexp_replace(F.left(bare, F.lit(most)), r" [^ ]*$", ""), r"[,;:-]+$", "")
+    return F.when(F.length(bare) <= most, bare).otherwise(F.concat(cut, F.lit("…")))
+
+
+def shorten_order(order: Column, most: int = 260) -> Column:
+    return cut_at_word(order, most, " … (further amendment and extension orders are listed on the source page)")
+
+
+def standing_standards(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(draft, pos, base, citations, reason): drafted standards (draft, pos, base, citations) with the citations that name
+    a source (draft, cid) once each, and why one is dropped: its base isn't among the sources', or no citation stands.
+
+    sources: draft, cid, bases (array of the base numbers that the source names).
+    """
+    held = sources.groupBy("draft").agg(F.collect_set("cid").alias("cids"), F.array_distinct(F.flatten(F.collect_list("bases"))).alias("known"))
+    out = items.join(held, "draft", "left")
+    valid = F.coalesce(F.array_distinct(F.filter("citations", lambda c: F.array_contains("cids", c))), F.array().cast("array<string>"))
+    known = F.coalesce(F.array_contains("known", F.col("base")), F.lit(False))
+    reason = F.when(~known, "standard not present in the sources").when(F.size(valid) == 0, "listed standard without a valid citation")
+    return out.select("draft", "pos", "base", valid.alias("citations"), reason.alias("reason"))
+
+
+def _attribute(value: Column) -> Column:
+    out = F.coalesce(value.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def source_blocks(passages: DataFrame, attributes: dict[str, str], text: str = "text") -> DataFrame:
+    """(qid, block): a question's passages (qid, pos, text) as marked sources, in order: attributes (name: column) are
+    escaped, and what looks like a mark in a text becomes a blank."""
+    named = F.concat(*[F.concat(F.lit(f' {name}="'), _attribute(F.col(c)), F.lit('"')) for name, c in attributes.items()])
+    clean = F.regexp_replace(text, r"(?i)</?\s*(source|sources|user_question|context|intent|system)\b[^>]*>", " ")
+    one = passages.select("qid", "pos", F.concat(F.lit("<source"), named, F.lit(">\n"), clean, F.lit("\n</source>")).alias("part"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])
+    return one.groupBy("qid").agg(F.concat(F.lit("<sources>\n"), F.array_join(parts, "\n"), F.lit("\n</sources>")).alias("block"))
+
+
+def suggested_questions(questions: DataFrame, phrases: DataFrame, products: DataFrame, padding: tuple[str, ...], most: int = 2) -> DataFrame:
+    """(qid, place, question): other questions to ask: two for each official wording (qid, pos, phrase) of a question's
+    product; without one, one for each product (qid, pos, product) that shares a word; padding fills the rest."""
+    both = F.array(F.concat(F.lit("Which Indian Standard applies to "), "phrase", F.lit("?")), F.concat(F.lit("Is BIS certification compulsory for "), "phrase", F.lit("?")))
+    worded = phrases.select("qid", F.lit(0).alias("rank"), "pos", F.posexplode(both).alias("nth", "question"))
+    shared = products.join(phrases.select("qid").distinct(), "qid", "left_anti")
+    shared = shared.select("qid", F.lit(1).alias("rank"), "pos", F.lit(0).alias("nth"), F.concat(F.lit("Is BIS certification compulsory for "), short_product(F.col("product"), 60), F.lit("?")).alias("question"))
+    filled = questions.select("qid", F.lit(2).alias("rank"), F.lit(0).cast("long").alias("pos"), F.posexplode(F.array(*map(F.lit, padding))).alias("nth", "question"))
+    rows = worded.unionByName(shared).unionByName(filled).withColumn("pos", F.col("pos").cast("long"))
+    first = rows.groupBy("qid", "question").agg(F.min(F.struct("rank", "pos", "nth")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("qid", "place", "question")
+
+
+def lead_first(standards: DataFrame, lead: DataFrame) -> DataFrame:
+    """standards (qid, pos, slug) with the question's lead (qid, slug) in front, added where it isn't among them."""
+    led = lead.select("qid", F.lit(-1).cast(standards.schema["pos"].dataType).alias("pos"), "slug")
+    rest = standards.join(lead, ["qid", "slug"], "left_anti").select("qid", "pos", "slug")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "slug"))
+    return led.unionByName(rest).withColumn("place", place).select("qid", "place", "slug")
+
+
+def newest_distinct(events: DataFrame, owner: str, key: str, ts: str, tie: str, most: int) -> DataFrame:
+    """(owner, key, place): the last `most` distinct keys of each owner, newest first."""
+    last = events.groupBy(owner, key).agg(F.max(F.struct(ts, tie)).alias("last"))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("last")))
+    return last.withColumn("place", place).where(F.col("place") <= most).select(owner, key, "place")
+
+
+def reaffirmed(lines: DataFrame, doc: str, pages: int = 2) -> DataFrame:
+    """(doc, reaffirmed): the year after "Reaffirmed" on the first pages (doc, page, line_no, text); null without one."""
+    some = lines.where(F.col("page") <= pages).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))).alias("all"))
+    said = F.array_join(F.transform("all", lambda x: x["text"]), " ")
+    return some.select(doc, F.nullif(F.regexp_extract(said, r"(?i)Reaffirmed\s*(\d{4})", 1), F.lit("")).alias("reaffirmed"))
