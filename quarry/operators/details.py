@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions.identifiers import base_number
 from quarry.operators.retrieval import product_score, stem
-from quarry.operators.understanding import intent
+from quarry.operators.understanding import content_terms, intent
 
 MAX_PDF = 50 * 1024 * 1024
 #: Folders of source files by kind of document.
@@ -31,6 +31,14 @@ def rewritten_intent(own: Column, english: Column) -> Column:
     return F.when(own == "ask", intent(english)).otherwise(own)
 
 
+def rewritten_terms(question: Column, rewritten: Column, keywords: Column) -> Column:
+    """struct(question, terms): a question's English form and its search terms, derived anew from it, with the keywords
+    that came along; an empty form leaves the question as it was."""
+    form = F.when(F.trim(F.coalesce(rewritten, F.lit(""))) != "", F.trim(rewritten)).otherwise(question)
+    given = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: k != "")
+    return F.struct(form.alias("question"), F.concat(content_terms(form), given).alias("terms"))
+
+
 def merged_scope(explicit: Column, wants_context: Column, open_slug: Column, focus: Column, most: int = 4) -> Column:
     """The standards that a question is about: those it names, else the open one and those in focus, if it refers to them."""
     first = F.when(open_slug.isNotNull(), F.array(open_slug)).otherwise(F.array().cast("array<string>"))

@@ -19,6 +19,16 @@ def text_filter(df: DataFrame, terms: Sequence[str], columns: Sequence[str], mos
     return df
 
 
+def narrowed(df: DataFrame, equal: dict[str, object] | None = None, least: dict[str, object] | None = None, most: dict[str, object] | None = None) -> DataFrame:
+    """Rows that satisfy every given condition, by column: a value to equal, a least or a greatest one. A value of None
+    asks for nothing; a row without a value fails each condition on it."""
+    for values, test in ((equal, lambda c, v: c == v), (least, lambda c, v: c >= v), (most, lambda c, v: c <= v)):
+        for name, value in (values or {}).items():
+            if value is not None:
+                df = df.where(test(F.col(name), F.lit(value)))
+    return df
+
+
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int = 20) -> DataFrame:
     """One page (from 1) of at most 100 rows in an order that ends with a unique key."""
     size = min(size, 100)

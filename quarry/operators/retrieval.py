@@ -348,6 +348,12 @@ def demoted(candidates: DataFrame, stray: Column, first: int = 3) -> DataFrame:
     return moved.withColumn("pos", place).drop("__late")
 
 
+def passage_text(number: Column, title: Column, clause: Column, heading: Column, text: Column, most: int = 700) -> Column:
+    """What a reranker reads of a passage: where it stands and its text, cut to `most` characters."""
+    place = F.concat(F.coalesce(number, F.lit("")), F.lit(" "), title, F.lit(" — "), clause, F.lit(" "), F.coalesce(heading, F.lit("")))
+    return F.left(F.concat(F.trim(place), F.lit("\n"), text), F.lit(most))
+
+
 def reranked_head(candidates: DataFrame, rerank: Column, boost: Column, head: int = 16) -> DataFrame:
     """The first `head` positions sorted by rerank score plus 20 times the boost; the tail stays."""
     order = Window.partitionBy("qid").orderBy(

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.operators import answers as an
+from quarry.operators import details as de
 from quarry.operators import present as pr
+from quarry.operators import relations as rel
 from quarry.operators import retrieval as rt
 from quarry.operators import structure as sr
 from quarry.plans.core import query
@@ -260,3 +262,29 @@ def reaffirmed_years(t):
     year = F.when((F.col("doc_id") % 3 == 0) & (F.col("line_no") == 8), F.concat(F.lit(" REAFFIRMED\n"), (F.col("doc_id") % 30 + 1990).cast("string")))
     later = F.when(F.col("page") == 3, " Reaffirmed 1900")
     return pr.reaffirmed(lines.withColumn("text", F.concat("text", F.coalesce(year, later, F.lit("")))), "doc_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size >= 10 AND p_retailprice <= 1800")
+def narrowed_list(t):
+    """The first brand's parts of a size and a price; a condition without a value asks for nothing."""
+    first = t("part").agg(F.min("p_brand")).first()[0]
+    return rel.narrowed(t("part"), {"p_brand": first, "p_type": None}, {"p_size": 10}, {"p_retailprice": 1800.0, "p_size": None}).select("p_partkey", "p_name")
+
+
+@query("""SELECT doc_id, sha256(left(trim('N' || doc_id || ' ' || lang || ' — ' || source || ' ') || chr(10) || text, 700)) AS passage FROM documents""")
+def reranked_texts(t):
+    number = F.concat(F.lit("N"), F.col("doc_id").cast("string"))
+    text = rt.passage_text(number, F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.col("text"))
+    return t("documents").select("doc_id", F.sha2(text, 256).alias("passage"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 OR trim(text) = '' THEN text ELSE trim(regexp_replace(text, ' .*$', '', 's')) END AS question FROM conversations),
+w AS (SELECT conv_id, turn, question, list_filter(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9\\-]*|\\d+(?:\\.\\d+)?'), lambda x: length(x) > 1 AND NOT list_contains(string_split(
+  'a an the of for to in on at by with from and or is are was were be been being what which who whom whose how why when where do does did can could should would will shall may might must i me my we our you your it its this that these those '
+  || 'there about as into than then so such any all some no not only also please tell give list show explain simple language bis standard standards indian apply applies applicable relevant', ' '), lower(x))) AS terms FROM q)
+SELECT conv_id, turn, sha256(question) AS question, len(terms) + 1 AS terms FROM w""")
+def rewritten_questions(t):
+    """Every other turn as rewritten to its first word, with a keyword."""
+    new = F.when(F.col("turn") % 2 == 1, F.regexp_replace("text", r"(?s) .*$", ""))
+    made = de.rewritten_terms(F.col("text"), new, F.array(F.lit("key"), F.lit("")))
+    return t("conversations").select("conv_id", "turn", F.sha2(made["question"], 256).alias("question"), F.size(made["terms"]).cast("long").alias("terms"))
