@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
         key = target = None
         for batch in batches:
-            for part, found in sliced(batch, 3, 512, 1 << 22):
+            for part, found in sliced(batch, 3, 256, 1 << 21):
                 owner, cell = shingles(found, WIDTH)
                 edge = np.searchsorted(owner, np.arange(len(found) + 1))
                 keep_a, keep_b = [], []

@@ -441,7 +441,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str], text_col:
             "round_trip": [x == t.encode("utf-8", "replace") for x, t in zip(back, texts)],
         }
 
-    return map_texts(docs, names, text_col, fields, run, rows=4096, most=1 << 22)
+    return map_texts(docs, names, text_col, fields, run, rows=2048, most=1 << 21)
 
 
 def decode_ids(tokens: DataFrame, model: PieceModel, keep: list[str], ids_col: str = "ids") -> DataFrame:
