@@ -237,3 +237,18 @@ def test_annex_numbers_end_on_a_cycle(spark):
     assert {r.qualified for r in annex_numbers(frame.where("doc_id = 2")).collect()} == {"Annex B", "B-3", "B-3.1", "4"}
     with pytest.raises(ValueError, match="ancestors"):
         annex_numbers(frame)
+
+
+def test_chunks_of_a_tree(spark):
+    from quarry.operators.chunking import clause_chunks
+
+    cells = [["h1", "h2"], *[[str(i), "x"] for i in range(45)]]
+    long_ = [line(f"Sentence {i} states that the product shall comply.") for i in range(120)]
+    tree_ = spark.createDataFrame([(1, i, *ln) for i, ln in enumerate([line("1 SCOPE", True), line("Table 1 Limits"), line("", rows=cells), line("2 TESTS", True), *long_])], SCHEMA)
+    got = clause_chunks(cs.clause_tree(tree_), ["doc", "clause"]).orderBy("clause", "ord").collect()
+    tables = [r for r in got if r.clause == 1]
+    assert [r.ord for r in tables] == [0, 1, 2] and all(r.chunk.startswith("Limits\n| h1 | h2 |\n|---|---|\n") for r in tables)
+    assert [r.chunk.count("| x |") for r in tables] == [20, 20, 5]
+    words = [r for r in got if r.clause == 2]
+    assert len(words) > 1 and all(r.tokens <= 470 for r in words) and all(f"Sentence {i} " in " ".join(r.chunk for r in words) for i in range(120))
+    assert not [r for r in got if r.clause == 0]  # a heading alone has no text
