@@ -288,3 +288,15 @@ def rewritten_questions(t):
     new = F.when(F.col("turn") % 2 == 1, F.regexp_replace("text", r"(?s) .*$", ""))
     made = de.rewritten_terms(F.col("text"), new, F.array(F.lit("key"), F.lit("")))
     return t("conversations").select("conv_id", "turn", F.sha2(made["question"], 256).alias("question"), F.size(made["terms"]).cast("long").alias("terms"))
+
+
+@query("""SELECT 'f' || page_id AS file, CASE WHEN page_id % 7 = 0 THEN 'team' ELSE 'public' END AS location, CASE WHEN page_id % 7 = 0 THEN NULL ELSE url END AS source_url FROM pages""")
+def manifest_files(t):
+    """A public manifest and one of the team's, saved as files and read as one; the team's entries win."""
+    pages = t("pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("file"), "page_id", F.lit("B").alias("tier"), F.lit("public").alias("location"), F.col("url").alias("source_url"))
+    team = pages.where("page_id % 7 = 0").select("file", F.lit(None).cast("string").alias("tier"), F.lit("team").alias("location"))
+    spark = pages.sparkSession
+    roots = [f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}" for _ in range(2)]
+    mf.save(pages.drop("page_id"), roots[0])
+    mf.save(team, roots[1])
+    return mf.read(spark, *roots).select("file", "location", "source_url")

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.relations import union_override
 
 
+#: The columns of an entry.
+ENTRY = (
+    "file string, tier string, location string, standard_number string, title string, doc_type string, source_type string, source_url string, "
+    "obtained_on string, status string, status_verified_on string, verification_status string, language string, synthetic boolean, needs_review boolean"
+)
+
+
+def read(spark: SparkSession, *paths: str) -> DataFrame:
+    """The entries of manifests in JSON lines, those of later paths overriding by file; lines without a file are none."""
+    return merged(*[spark.read.schema(ENTRY).json(p).where("file is not null") for p in paths])
+
+
 def merged(*manifests: DataFrame, mode: str | None = None, key: str = "file") -> DataFrame:
     """Rows of all manifests by file, later ones overriding; of one mode (official or sample) if it is given."""
     out = union_override(*manifests, key=key)
