@@ -63,8 +63,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded text."""
-    return encode_texts(docs, load(DEFAULT_MODEL), ["doc_id"])
+    """Token ids of every document, with digests of the ids and of the decoded text. Tasks take half as much text at a
+    time as the operator alone does, as the workers of the stages before still hold memory."""
+    return encode_texts(docs, load(DEFAULT_MODEL), ["doc_id"], most=1 << 21)
 
 
 STAGES = [

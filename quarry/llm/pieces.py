@@ -416,11 +416,12 @@ def decode(model: PieceModel, ids: np.ndarray) -> bytes:
     return out[1:] if out[:1] == b" " else out
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str], text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str], text_col: str = "text", with_ids: bool = True, most: int = 1 << 22) -> DataFrame:
     """The columns `keep` of docs with ids (array<int>, if with_ids), n_tokens long, ids_sha256 (of the ids as
     little-endian 32-bit integers), decoded_sha256 (of the text that decoding gives) and round_trip boolean.
 
-    Whole texts are encoded, very long ones and those without a blank too. Defined cases: a null or empty text has no ids, decodes to the empty text and makes the
+    Whole texts are encoded, very long ones and those without a blank too; a task works on about `most` characters, or
+    one text, at a time. Defined cases: a null or empty text has no ids, decodes to the empty text and makes the
     round trip; a text with the character U+2581 doesn't, as the model takes it for a blank. Repeated rows are encoded
     alike; columns outside keep aren't read; an empty table gives an empty result.
     """
@@ -441,7 +442,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: list[str], text_col:
             "round_trip": [x == t.encode("utf-8", "replace") for x, t in zip(back, texts)],
         }
 
-    return map_texts(docs, names, text_col, fields, run, rows=2048, most=1 << 21)
+    return map_texts(docs, names, text_col, fields, run, rows=max(1, most >> 10), most=most)
 
 
 def decode_ids(tokens: DataFrame, model: PieceModel, keep: list[str], ids_col: str = "ids") -> DataFrame:
