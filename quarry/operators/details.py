@@ -20,10 +20,20 @@ FOLDERS = {"synthetic_demo": "demo/pdf", "standard": "raw"}
 def find_standards(asked: DataFrame, standards: DataFrame) -> DataFrame:
     """asked (qid, base, year) with id, the best standard of that base: of the year asked for if there is one, catalogue
     entries last, the newest first; null where the base is unknown."""
-    met = asked.join(standards.select("base", "id", "kind", F.col("year").alias("__year")), "base", "left")
-    exact = F.coalesce(F.col("year") == F.col("__year"), F.lit(False))
-    order = Window.partitionBy("qid", "base").orderBy(exact.desc(), F.col("kind") == "catalogue", F.desc_nulls_last("__year"), "id")
-    return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("qid", "base", "year", "id")
+    # A base has one answer a year and one besides, so that a question meets two rows and not all standards of its base.
+    order = (F.col("kind") == "catalogue", F.desc_nulls_last("year"), "id")
+
+    def first(df: DataFrame, keys: list[str], order: tuple) -> DataFrame:
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+    known = standards.select("base", "id", "kind", "year")
+    best = F.struct(F.col("kind").alias("kind"), F.col("year").alias("year"), F.col("id").alias("id"))
+    exact = first(known.where("year is not null"), ["base", "year"], order).select("base", "year", best.alias("__exact"))
+    other = first(known, ["base"], order).select("base", best.alias("__other"))
+    met = asked.join(exact, ["base", "year"], "left").join(other, "base", "left")
+    met = met.withColumn("__met", F.coalesce("__exact", "__other"))
+    own = (F.col("__exact").isNull(), F.col("__met.kind") == "catalogue", F.desc_nulls_last("__met.year"), F.col("__met.id"))
+    return first(met, ["qid", "base"], own).select("qid", "base", "year", F.col("__met.id").alias("id"))
 
 
 def rewritten_intent(own: Column, english: Column) -> Column:

@@ -239,3 +239,36 @@ def test_limiter_stream_gives_the_same(spark, tmp_path):
 
     batch = sliding_limiter(spark.read.parquet(str(tmp_path / "in")), "user_id", "ts", "event_id", 3, 6 * 3600.0)
     assert Counter(tuple(r) for r in spark.table("limited").collect()) == Counter(tuple(r) for r in batch.collect())
+
+
+def test_find_standards_meets_two_rows_a_question(spark):
+    from quarry.operators.details import find_standards
+
+    rng = random.Random(5)
+    kinds, years = ("catalogue", "standard", None), (None, 1990, 1991, 1992)
+    known = [(i, rng.choice((0, 1, 2, None)), rng.choice(kinds), rng.choice(years)) for i in range(40)]
+    asked = [(q, rng.choice((0, 1, 2, 3, None)), rng.choice((*years, 2000))) for q in range(60)]
+    frames = spark.createDataFrame(asked, "qid int, base int, year int"), spark.createDataFrame(known, "id int, base int, kind string, year int")
+    got = {r.qid: r.id for r in find_standards(*frames).collect()}
+    first = lambda year: lambda s: (year is None or s[3] != year, -1 if s[2] is None else s[2] == "catalogue", s[3] is None, -(s[3] or 0), s[0])
+    for q, base, year in asked:
+        own = sorted((s for s in known if base is not None and s[1] == base), key=first(year))
+        assert got[q] == (own[0][0] if own else None), (q, base, year)
+    # Many standards of one base: the join has a row a question, however many there are.
+    seen = []
+    many = spark.range(2000).selectExpr("id", "1 as base", "'standard' as kind", "cast(id % 30 as int) as year")
+    out = find_standards(spark.range(500).selectExpr("id as qid", "1 as base", "cast(id % 40 as int) as year"), many)
+    out.collect()
+
+    def joins(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return joins(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return joins(node.plan())
+        if "Join" in node.nodeName():
+            seen.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        return [joins(children.apply(i)) for i in range(children.size())]
+
+    joins(out._jdf.queryExecution().executedPlan())
+    assert seen and max(seen) <= 500
