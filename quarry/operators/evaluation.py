@@ -53,8 +53,11 @@ def threshold_sweep(scores: DataFrame, extra: tuple[float, ...] = (-8.0, -6.0, -
     from pyspark.sql.window import Window
 
     spark = scores.sparkSession
-    near, step = F.bround("score", digits), 10.0**-digits
-    rows = scores.select(F.when(F.col("score") < near, near).otherwise(F.bround(near + step, digits)).alias("above"), near.alias("near"), "answerable")
+    # The rounded value is the nearest whole number of steps, on doubles as SQL's round_even; no zero is negative.
+    unit = F.lit(10.0**digits)
+    whole = lambda x: F.rint(x * unit) / unit + F.lit(0.0)
+    near, step = whole(F.col("score")), 10.0**-digits
+    rows = scores.select(F.when(F.col("score") < near, near).otherwise(whole(near + step)).alias("above"), near.alias("near"), "answerable")
     fixed = spark.createDataFrame([(x,) for x in extra], "t double")
     thresholds = rows.select(F.col("near").alias("t")).union(fixed).distinct()
     counted = rows.groupBy("above").agg(
