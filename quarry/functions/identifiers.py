@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # The forms that a number may be written in.
 NUMBER_PATTERN = (
     r"(?i)(?<![A-Za-z0-9])((IS\s*/\s*ISO\s*/\s*IEC|IS\s*/\s*IEC|IS\s*/\s*ISO|IS|DEMO)"
-    r"(?:\s*[-:]?\s*|\s+)(\d{1,6}(?:[-.]\d{1,4})*)"
+    r"(?:\s*[-:]?\s*|\s+)(\d+(?:[-.]\d{1,4})*)"
     r"(?:\s*[:(]?\s*(?:Part|Pt\.?|भाग)\s*(\d{1,3}[A-Z]?)\s*\)?)?"
     r"(?:\s*[(/]?\s*(?:Sec(?:tion)?\.?)\s*(\d{1,3}[A-Z]?)\s*\)?)?"
     r"(?:\s*[:：]\s*((?:19|20)\d{2}))?)(?=([\s\S]{0,8}))"
