@@ -34,6 +34,15 @@ HEADING_KINDS = [
     ("ANNEX", "annex"), ("AMENDMENT", "amendment"),
 ]
 
+#: A word's boundary where only ASCII letters, digits and _ make words.
+ASCII_BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """The pattern with words and boundaries of ASCII characters only, as RE2 (DuckDB) reads it; Java's own \\b also
+    counts letters such as ä as part of a word."""
+    return pattern.replace("(?iU)", "(?iu)").replace(r"\b", ASCII_BOUND)
+
 
 def normalize_text(text: Column) -> Column:
     """Separators to blanks, zero-width marks and soft hyphens away, ligatures spelt out, blanks collapsed.
@@ -66,8 +75,10 @@ def join_wrapped(lines: Column) -> Column:
     return F.aggregate(stripped, F.lit(""), heal)
 
 
-def is_watermark(line: Column) -> Column:
-    return line.rlike(WATERMARK) | (line.rlike(EMAIL) & (line.rlike(IP_ADDRESS) | line.rlike(DATED)))
+def is_watermark(line: Column, ascii: bool = False) -> Column:
+    """Marks of a licence holder; with ascii, other letters than ASCII's end a word."""
+    has = lambda p: line.rlike(ascii_words(p) if ascii else p)
+    return has(WATERMARK) | (has(EMAIL) & (has(IP_ADDRESS) | has(DATED)))
 
 
 def is_page_number(line: Column) -> Column:

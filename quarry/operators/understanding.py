@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.cleaning import script_counts
+from quarry.functions.cleaning import ascii_words, script_counts
 
 # Intent rules in order, stop words and reference patterns.
 INTENT_RULES = [
@@ -34,12 +34,14 @@ STOPWORDS = (
 FOLLOW_UP_INTENTS = ("requirements", "summarize", "compare", "clause_lookup")
 
 
-def intent(question: Column) -> Column:
-    """The first rule that matches; a definition that asks for requirements or a process is no definition."""
+def intent(question: Column, ascii: bool = False) -> Column:
+    """The first rule that matches; a definition that asks for requirements or a process is no definition. With ascii,
+    other letters than ASCII's end a word."""
+    has = lambda p: question.rlike(ascii_words(p) if ascii else p)
     out = F.lit("ask")
     for name, pattern in reversed(INTENT_RULES):
-        hit = question.rlike(pattern)
-        out = F.when(hit & ~question.rlike(NOT_A_DEFINITION) if name == "define" else hit, name).otherwise(out)
+        hit = has(pattern)
+        out = F.when(hit & ~has(NOT_A_DEFINITION) if name == "define" else hit, name).otherwise(out)
     return out
 
 
@@ -63,11 +65,14 @@ def clause_refs(question: Column) -> Column:
     return F.transform(groups, lambda g: F.when(g["g1"] != "", g["g1"]).when(g["g2"] != "", g["g2"]).otherwise(g["g3"]))
 
 
-def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """User turns with recent (the last two user questions before, oldest first), intent and follow_up."""
+def follow_ups(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ascii: bool = False
+) -> DataFrame:
+    """User turns with recent (the last two user questions before, oldest first), intent and follow_up. With ascii, other
+    letters than ASCII's end a word."""
     asked = turns.where(F.col(role) == "user")
     before = Window.partitionBy(conv).orderBy(turn).rowsBetween(-2, -1)
-    out = asked.withColumn("recent", F.collect_list(text).over(before)).withColumn("intent", intent(F.col(text)))
+    out = asked.withColumn("recent", F.collect_list(text).over(before)).withColumn("intent", intent(F.col(text), ascii))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    like = F.col(text).rlike(ANAPHORA) | (words <= 6) | F.col("intent").isin(*FOLLOW_UP_INTENTS)
+    like = F.col(text).rlike(ascii_words(ANAPHORA) if ascii else ANAPHORA) | (words <= 6) | F.col("intent").isin(*FOLLOW_UP_INTENTS)
     return out.withColumn("follow_up", (F.size("recent") > 0) & like)
