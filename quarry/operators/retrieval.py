@@ -20,6 +20,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 QUERY_BLOCK = 8192
 #: Terms of the queries that meet the corpus together, and documents that are scored together.
 TERM_ENTRIES, SCORED_ROWS = 1 << 21, 256
+#: Products of a posting and a query that are held at once, and cells of documents and queries.
+PRODUCTS, CELLS = 1 << 20, 1 << 21
 #: Rows of a vector cluster on average, and clusters at most.
 CLUSTER, CENTRES = 64, 256
 # Priors of clause kinds by intent, and topics that a question may name.
@@ -85,7 +87,10 @@ class TermBlock:
         self.query, self.weight, self.queries = query[order], weight[order], len(hashes)
 
     def scores(self, columns: list[tuple[np.ndarray, np.ndarray, float]], rows: int, mean: float) -> np.ndarray:
-        """(rows, queries): BM25 of documents given by column as (document, token hash, weight of the column)."""
+        """(rows, queries): BM25 of documents given by column as (document, token hash, weight of the column).
+
+        Postings meet their queries in pieces of about PRODUCTS, cut between documents unless one alone has more.
+        """
         length = sum((np.bincount(doc, minlength=rows) for doc, _, _ in columns), np.zeros(rows))
         keys, worth = [], []
         for doc, token, weight in columns:
@@ -98,10 +103,20 @@ class TermBlock:
         doc, term = np.divmod(pair, len(self.terms))
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         asked = self.first[term + 1] - self.first[term]
-        # Each posting meets the queries of its term.
-        place = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(asked)[:-1]]), asked) + np.arange(asked.sum())
-        cell = np.repeat(doc, asked) * self.queries + self.query[place]
-        return np.bincount(cell, np.repeat(part, asked) * self.weight[place], minlength=rows * self.queries).reshape(rows, self.queries)
+        out, ends, start = np.zeros((rows, self.queries)), np.cumsum(asked), 0
+        while start < len(pair):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - asked[start] + PRODUCTS, "right")))
+            whole = int(np.searchsorted(doc, doc[stop])) if stop < len(pair) else stop
+            stop = whole if whole > start else stop
+            at, low, high = slice(start, stop), doc[start], doc[stop - 1] + 1
+            # Each posting meets the queries of its term.
+            n, before = asked[at], ends[at] - asked[at] - (ends[start] - asked[start])
+            place = np.repeat(self.first[term[at]] - before, n) + np.arange(n.sum())
+            cell = np.repeat(doc[at] - low, n) * self.queries + self.query[place]
+            sums = np.bincount(cell, np.repeat(part[at], n) * self.weight[place], minlength=(high - low) * self.queries)
+            out[low:high] += sums.reshape(high - low, self.queries)
+            start = stop
+        return out
 
 
 def _best_of_tasks(block: TermBlock, ids: list, names: list[str], weights: list[float], mean: float, k: int, schema):
@@ -113,9 +128,10 @@ def _best_of_tasks(block: TermBlock, ids: list, names: list[str], weights: list[
         held: list[list[tuple]] = [[] for _ in range(block.queries)]
         floor = np.zeros(block.queries)
         order = lambda x: (-x[0], x[1] is not None, x[1])
+        together = max(1, min(SCORED_ROWS, CELLS // block.queries))
         for batch in batches:
-            for start in range(0, batch.num_rows, SCORED_ROWS):
-                part = batch.slice(start, SCORED_ROWS)
+            for start in range(0, batch.num_rows, together):
+                part = batch.slice(start, together)
                 columns = []
                 for c, weight in zip(names, weights, strict=True):
                     lists = part.column(part.schema.get_field_index(c))

@@ -299,3 +299,23 @@ def test_words_end_at_other_letters_as_in_the_sql(spark, tmp_path):
         for name, table in (("odd_lines", "documents"), ("follow_up_context", "conversations")):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
             assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL[name]).fetchall()), name
+
+
+def test_scoring_memory_is_bounded_in_the_number_of_queries(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    terms = np.sort(rng.choice(1 << 40, 300, replace=False))
+    block = retrieval.TermBlock([terms] * 1000, [rng.random(300) for _ in range(1000)])
+    columns = [(np.repeat(np.arange(60), 300), np.tile(terms, 60), 1.0), (np.arange(60), terms[:60], 2.0)]
+    tracemalloc.start()
+    got = block.scores(columns, 60, 301.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    # Pieces of any size give the same sums.
+    for products in (1, 700, 1 << 40):
+        monkeypatch.setattr(retrieval, "PRODUCTS", products)
+        assert np.allclose(block.scores([(d[d < 3], t[d < 3], w) for d, t, w in columns], 3, 301.0), got[:3], rtol=1e-12, atol=0)
