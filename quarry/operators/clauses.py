@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import join_wrapped, kind_for_heading, rows_to_markdown
 from quarry.operators.lines import numbered_again
-from quarry.tables import written
+from quarry.tables import sorted_join, written
 
 # What opens a clause, and the limits of a number's place.
 TOP = r"(?i)^(FOREWORD|INTRODUCTION|ANNEX\s+[A-Z]\b.*|ANNEXURE\s*[-–]?\s*[IVXLC\d]+\b.*|AMENDMENT\s+NO\.?\s*\d+.*|CONTENTS)$"
@@ -60,7 +60,7 @@ def page_styles(lines: DataFrame) -> DataFrame:
     edge = lines.where(plain).groupBy("doc", F.bround("x0").alias("x")).agg(F.count("*").alias("n"))
     size = size.groupBy("doc").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
     edge = edge.groupBy("doc").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("margin"))
-    both = lines.select("doc").distinct().join(size, "doc", "left").join(edge, "doc", "left")
+    both = lines.select("doc").distinct().join(sorted_join(size), "doc", "left").join(sorted_join(edge), "doc", "left")
     return both.select("doc", F.coalesce("body", F.lit(10.0)).alias("body"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
 
 
@@ -99,7 +99,7 @@ def line_roles(lines: DataFrame) -> DataFrame:
 
     number, dotted, rest, level-independent facts of a numbered line; note, the margin note before a number on its line.
     """
-    styled = joined_orphans(lines).join(page_styles(lines), "doc")
+    styled = joined_orphans(lines).join(sorted_join(page_styles(lines)), "doc")
     first = F.row_number().over(Window.partitionBy("doc", "page").orderBy("ord")) == 1
     styled = styled.withColumns({"text": F.trim("text"), "__first": first})
     left = (F.col("margin") != 0) & (F.col("x0") < F.col("margin") - LEFT_OF_MARGIN) & F.col("rows").isNull()
@@ -328,11 +328,12 @@ def clause_tree(lines: DataFrame) -> DataFrame:
     bare = F.col("numbered") & (F.size("lineage") == 1) & (F.col("heading") == "")
     said = F.upper(F.when(F.col("role") == "top", F.col("line")).when(bare, F.col("rest")).otherwise(F.col("heading")))
     own = F.when(F.col("role").isin("caption", "table"), "table").when(F.col("numbered") | (F.col("role") == "top"), kind_for_heading(F.col("said"))).otherwise("front")
-    heads = written(heads.withColumn("said", said).select("doc", "clause", "number", "heading", own.alias("own"), "lineage", "page_start"), "clause-heads")
+    heads = heads.withColumn("said", said).select("doc", "clause", "number", "heading", own.alias("own"), "lineage", "page_start")
+    heads = written(numbered_again(heads, "doc", "number", "clause"), "clause-heads")
 
     # A clause has the kind of its first ancestor that says one; tables are tables.
     above = heads.where("own <> 'table'").select("doc", "clause", F.posexplode("lineage").alias("far", "at"))
-    kinds = above.join(heads.select("doc", F.col("clause").alias("at"), F.col("own").alias("its")), ["doc", "at"])
+    kinds = above.join(sorted_join(heads.select("doc", F.col("clause").alias("at"), F.col("own").alias("its"))), ["doc", "at"])
     kinds = kinds.groupBy("doc", "clause").agg(F.min_by("its", F.when(~F.col("its").isin("table", "other", "front"), F.col("far"))).alias("kind"))
 
     # Text of a caption before its table gives way to the table.
@@ -342,7 +343,7 @@ def clause_tree(lines: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<how:string,piece:string>>")
     plain = F.concat(F.coalesce(lead, none), F.array(F.struct(F.lit("text").alias("how"), F.col("text").alias("piece"))))
     pieces = given.select("doc", "clause", "ord", "page", F.posexplode(F.when(F.col("part") == "text", plain).otherwise(F.coalesce(body, none))).alias("nth", "it"))
-    pieces = pieces.join(filled.select("doc", "clause", "table_ord"), ["doc", "clause"], "left").where("table_ord is null or ord > table_ord")
+    pieces = pieces.join(sorted_join(filled.select("doc", "clause", "table_ord")), ["doc", "clause"], "left").where("table_ord is null or ord > table_ord")
     by = Window.partitionBy("doc", "clause").orderBy("ord", "nth")
     breaks = (F.col("it.how") == "text") & (F.col("it.piece").rlike(LIST_ITEM) | F.lag("it.piece").over(by).rlike(r"[.:;]$"))
     paragraph = F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(by)
@@ -353,15 +354,16 @@ def clause_tree(lines: DataFrame) -> DataFrame:
     texts = texts.select("doc", "clause", F.array_join(F.transform(F.filter("all", lambda p: p["text"] != ""), lambda p: p["text"]), "\n\n").alias("told"))
 
     ends = given.where("part = 'text'").groupBy("doc", "clause").agg(F.max("page").alias("end"))
-    ends = heads.select("doc", "clause", "lineage").join(ends, ["doc", "clause"]).select("doc", F.explode("lineage").alias("clause"), "end")
+    ends = heads.select("doc", "clause", "lineage").join(sorted_join(ends), ["doc", "clause"]).select("doc", F.explode("lineage").alias("clause"), "end")
     ends = ends.groupBy("doc", "clause").agg(F.max("end").alias("end"))
 
     keys = ["doc", "clause"]
-    out = heads.join(kinds, keys, "left").join(filled, keys, "left").join(texts, keys, "left").join(ends, keys, "left")
+    out = heads
+    for part in (kinds, filled, texts, ends):
+        out = out.join(sorted_join(part), keys, "left")
     told = F.array_join(F.array_compact(F.array(F.when(F.col("rows").isNotNull(), rows_to_markdown(F.col("rows"))), F.col("told"))), "\n\n")
-    out = out.select(
+    return out.select(
         *keys, "number", "heading", F.size("lineage").alias("level"), F.coalesce("kind", "own").alias("kind"),
         F.get("lineage", F.size("lineage") - 2).alias("parent"), "lineage", "page_start",
-        F.greatest("page_start", F.coalesce("table_page", "page_start"), F.coalesce("end", "page_start")).alias("page_end"), told.alias("text"), "rows",
+        F.greatest("page_start", F.coalesce("table_page", "page_start"), F.coalesce("end", "page_start")).alias("page_end"), told.alias("text"), "rows", "unique_number",
     )
-    return numbered_again(out, "doc", "number", "clause")

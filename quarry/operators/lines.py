@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import is_gazette_noise, is_page_number, is_watermark, repeat_key
-from quarry.tables import written
+from quarry.tables import sorted_join, written
 
 
 def repeated_keys(lines: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
@@ -51,7 +51,7 @@ def clause_paths(clauses: DataFrame, doc: str, node: str, parent: str, label: Co
     """
     nodes = clauses.select(doc, node, parent, label.alias("path"))
     known = nodes.select(doc, F.col(node).alias(parent), F.lit(True).alias("__has"))
-    rooted = nodes.join(known, [doc, parent], "left")
+    rooted = nodes.join(sorted_join(known), [doc, parent], "left")
     paths = rooted.select(doc, node, F.when(F.col("__has"), F.col(parent)).alias("__up"), "path", F.lit(1).alias("level"))
     most, reach = None, 1
     while True:
@@ -62,7 +62,7 @@ def clause_paths(clauses: DataFrame, doc: str, node: str, parent: str, label: Co
         if reach > 2 * most:
             raise ValueError("clauses that are their own ancestors")
         above = paths.select(doc, F.col(node).alias("__up"), F.col("__up").alias("__next"), F.col("path").alias("__head"), F.col("level").alias("__more"))
-        paths = paths.join(above, [doc, "__up"], "left").select(
+        paths = paths.join(sorted_join(above), [doc, "__up"], "left").select(
             doc, node, F.col("__next").alias("__up"), F.concat(F.coalesce(F.concat("__head", F.lit(" › ")), F.lit("")), "path").alias("path"),
             (F.col("level") + F.coalesce("__more", F.lit(0))).alias("level"),
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import devanagari_ratio, is_broken_devanagari, looks_like_legacy_font, strip_parallel_devanagari
-from quarry.tables import written
+from quarry.tables import sorted_join, written
 
 # Words of a sentence, and months of an amendment's date.
 SENTENCE = r"\b(shall|should|may|must|will|is|are|has|have)\b"
@@ -82,12 +82,12 @@ def annex_numbers(clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
         reach *= 2
         above = state.select(doc, F.col("node").alias("__up"), F.col("__up").alias("__next"), F.coalesce("__own", "__found").alias("__seen"))
         state = written(
-            state.join(above, [doc, "__up"], "left").select(
+            state.join(sorted_join(above), [doc, "__up"], "left").select(
                 doc, "node", F.when(F.coalesce("__found", "__seen").isNull(), F.col("__next")).alias("__up"), F.coalesce("__found", "__seen").alias("__found"), "__own"
             ),
             "annexes",
         )
-    named = clauses.join(state.select(doc, "node", "__found"), [doc, "node"], "left")
+    named = clauses.join(sorted_join(state.select(doc, "node", "__found")), [doc, "node"], "left")
     plain = F.col("number").rlike(r"^\d+(\.\d+)*$") & F.col("__found").isNotNull()
     return named.withColumn("qualified", F.when(plain, F.concat("__found", F.lit("-"), "number")).otherwise(F.col("number"))).drop("__found")
 

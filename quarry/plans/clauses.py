@@ -10,7 +10,7 @@ from quarry.operators import clauses as cs
 from quarry.operators import structure as sr
 from quarry.operators.lines import clause_paths
 from quarry.plans.core import query
-from quarry.tables import written
+from quarry.tables import sorted_join, written
 
 PAGE = 8  # lines a page
 
@@ -159,4 +159,4 @@ def clause_labels(t):
     label = F.when(F.col("number") == "Front", F.col("heading")).otherwise(F.trim(F.concat_ws(" ", "unique_number", "heading")))
     paths = clause_paths(tree, "doc_id", "clause", "parent", label)
     named = sr.annex_numbers(tree.select("doc_id", F.col("clause").alias("node"), "parent", "number"))
-    return paths.join(named.select("doc_id", F.col("node").alias("clause"), "qualified"), ["doc_id", "clause"])
+    return paths.join(sorted_join(named.select("doc_id", F.col("node").alias("clause"), "qualified")), ["doc_id", "clause"])

@@ -252,3 +252,13 @@ def test_chunks_of_a_tree(spark):
     words = [r for r in got if r.clause == 2]
     assert len(words) > 1 and all(r.tokens <= 470 for r in words) and all(f"Sentence {i} " in " ".join(r.chunk for r in words) for i in range(120))
     assert not [r for r in got if r.clause == 0]  # a heading alone has no text
+
+
+def test_no_table_of_the_tree_goes_through_the_driver(spark, tmp_path):
+    from quarry.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, "SCOPE\nThis line is plain.\n4.1 A line") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("clause_rows", "clause_labels"):
+        out = QUERIES[name](spark, str(tmp_path))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString(), name
+        assert out.collect()
