@@ -58,6 +58,8 @@ def checked_points(points: DataFrame, sources: DataFrame) -> DataFrame:
     unsupported number, unsupported clause. A clause that a point names must be a cited passage's own, above or below
     it, or stand in its text; one of the draft's other passages will do for a numbered clause. Quotes under 12 characters (3 once normalised) aren't looked for.
     """
+    # Dealt by draft before any text is read: a few small files would else be a few long tasks.
+    points, sources = points.repartition("draft"), sources.repartition("draft")
     views = sources.select(
         "draft", "cid", norm_text(F.col("text")).alias("flat"), "synthetic",
         source_numbers(*(F.col(c) for c in ("text", "clause", "number", "page_start", "page_end"))).alias("numbers"),
@@ -102,6 +104,8 @@ def checked_summaries(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     is dropped where it names an unknown standard, a number that its sources (all of them, if it cites none) don't have,
     or any number without citing a source. sources: draft, cid, text, clause, number, page_start, page_end, synthetic.
     """
+    # Dealt by draft before any text is read: a few small files would else be a few long tasks.
+    drafts, sources = drafts.repartition("draft"), sources.repartition("draft")
     views = sources.groupBy("draft").agg(
         F.collect_list(
             F.struct(

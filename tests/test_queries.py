@@ -319,3 +319,26 @@ def test_scoring_memory_is_bounded_in_the_number_of_queries(monkeypatch):
     for products in (1, 700, 1 << 40):
         monkeypatch.setattr(retrieval, "PRODUCTS", products)
         assert np.allclose(block.scores([(d[d < 3], t[d < 3], w) for d, t, w in columns], 3, 301.0), got[:3], rtol=1e-12, atol=0)
+
+
+def test_few_texts_are_python_strings_while_composed(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.functions import cleaning
+
+    given = pa.array(["é" * 5000, None, ""] * 500)
+    tracemalloc.start()
+    got = cleaning._nfc.func(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == ["é" * 5000, None, ""] * 500 and peak < 5e6
+
+
+def test_checks_of_one_small_file_run_in_many_tasks(spark, tmp_path):
+    columns = ("id as p_partkey", "concat('part ', id) as p_name", "'TYPE A' as p_type", "'B' as p_brand", "cast(id % 50 as int) as p_size")
+    spark.range(30).selectExpr(*columns).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("validated_points", "checked_summaries"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression [draft") >= 2, name
