@@ -8,6 +8,7 @@ cells which reach into later ones.
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from pyspark.sql.window import Window
 
 from quarry.functions.cleaning import normalize_text, rows_to_markdown
 from quarry.functions.identifiers import all_numbers
-from quarry.tables import written
 
 # The content's class, what isn't content, noise lines, question numbers and columns of official lists.
 AREA, DROPPED_CLASS = "who_we_area", "fbc"
@@ -32,8 +32,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: The largest spans that HTML allows, and the depth to which elements open, as in browsers.
 COLUMNS_SPANNED, ROWS_SPANNED, DEPTH = 1000, 65534, 512
 
-_ELEMENT = "struct<node:int,tag:string,classes:array<string>,across:int,down:int>"
-_RUN = f"pos int, text string, path array<{_ELEMENT}>"
+#: Elements that are taken whole, bold ones, those of tables, and those whose starts count: the rest is only walked.
+WHOLE, BOLD, CELLS = (*HEADINGS, *PARAGRAPHS, "table"), ("strong", "b"), ("td", "th")
+STARTS = frozenset((*WHOLE, *BOLD, *CELLS))
+#: What a batch of runs weighs: characters, and 16 for each element of a path.
+BATCH = 4 << 20
+
+_RUN = "pos int, text string, path array<struct<node:int,tag:string,classes:array<string>,across:int,down:int>>"
+_CONTENT = "pos int, text string, under array<struct<node:int,tag:string,role:string>>"
 
 
 class _Runs(HTMLParser):
@@ -45,15 +51,20 @@ class _Runs(HTMLParser):
         self.runs: list[tuple] = []
         self.nodes = 0
 
-    def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
+    def element(self, tag, given):
         span = lambda name, most: min(most, max(1, int(given[name]))) if given.get(name, "").strip().isdecimal() else 1
-        element = (self.nodes, tag, given.get("class", "").split(), span("colspan", COLUMNS_SPANNED), span("rowspan", ROWS_SPANNED))
-        self.nodes += 1
+        return self.nodes, tag, given.get("class", "").split(), span("colspan", COLUMNS_SPANNED), span("rowspan", ROWS_SPANNED)
+
+    def begun(self, element):
+        self.runs.append(("", (*self.open, element)))
+
+    def handle_starttag(self, tag, attrs):
         if len(self.open) < DEPTH:
-            self.runs.append(("", (*self.open, element)))
+            element = self.element(tag, {k: v or "" for k, v in attrs})
+            self.begun(element)
             if tag not in VOID:
                 self.open.append(element)
+        self.nodes += 1
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][1] == tag), None)
@@ -69,93 +80,175 @@ class _Runs(HTMLParser):
         if data.strip():
             self.runs.append((data, tuple(self.open)))
 
+    def found(self):
+        return self.runs
 
-def text_runs(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, pos, text, path): each run of text of a page in order, with the elements from the outermost that it stands
-    in; an empty run for the start of each element. An end tag closes the nearest open element of its name and all in
-    it; other end tags don't count, and nothing is closed for being out of place. A null page has no run."""
-    schema = StructType.fromDDL(f"page {pages.schema[id_col].dataType.simpleString()}, {_RUN}")
+
+class _Content(_Runs):
+    """The runs of a page's content with the elements below its root. An element is (node, tag, role, depth, the innermost
+    element around it that isn't content, the areas around it, whether it is shown); its role is null where it isn't
+    taken whole."""
+
+    def __init__(self):
+        super().__init__()
+        self.areas: dict[int, list[int]] = {}
+        self.first: dict[str, tuple[int, int]] = {}
+
+    def element(self, tag, given):
+        classes, (*_, dropped, areas, shown) = given.get("class", "").split(), self.open[-1] if self.open else (-1, (), True)
+        role = "question" if "accordion" in classes else "answer" if "panel" in classes else tag if tag in WHOLE else None
+        if tag in DROPPED or DROPPED_CLASS in classes:
+            dropped = self.nodes
+        shown = shown and tag not in ("script", "style")
+        if tag == "div" and AREA in classes:
+            areas = (*areas, self.nodes)
+            if shown:
+                self.areas[self.nodes] = [0, len(self.open)]
+        if tag in ("main", "article", "body"):
+            self.first.setdefault(tag, (self.nodes, len(self.open)))
+        return self.nodes, tag, role, dropped, areas, shown
+
+    def begun(self, element):
+        if element[2] or element[1] in STARTS:
+            super().begun(element)
+
+    def handle_data(self, data):
+        super().handle_data(data)
+        if self.open and self.open[-1][-1] and data.strip():
+            for area in self.open[-1][-2]:
+                self.areas[area][0] += len(data)
+
+    def found(self):
+        if self.areas:
+            root = max(self.areas, key=lambda node: (self.areas[node][0], -node))
+            depth = self.areas[root][1]
+        else:
+            root, depth = next((self.first[tag] for tag in ("main", "article", "body") if tag in self.first), (None, 0))
+        if root is not None:
+            for text, path in self.runs:
+                if len(path) > depth and path[depth][0] == root and path[-1][3] <= root:
+                    yield text, path[depth + 1 :]
+
+
+def _parsed(pages: DataFrame, id_col: str, html: str, kind: type[_Runs], columns: str) -> DataFrame:
+    """The runs that a parser finds on each page, by columns, in batches of some megabytes."""
+    schema = StructType.fromDDL(f"page {pages.schema[id_col].dataType.simpleString()}, {columns}")
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        names = [f.name for f in arrow.field("path").type.value_type]
+        paths = arrow.field(3).type
+
+        def made(rows):
+            flat = [e for row in rows for e in row[3]]
+            parts = zip(*flat, strict=True) if flat else [()] * paths.value_type.num_fields
+            elements = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(parts, paths.value_type, strict=False)], fields=list(paths.value_type))
+            ends = pa.array(accumulate((len(row[3]) for row in rows), initial=0), pa.int32())
+            columns = [pa.array([row[i] for row in rows], arrow.field(i).type) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, elements, type=paths)], schema=arrow)
+
+        rows, weight = [], 0
         for batch in batches:
-            for page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parser = _Runs()
-                parser.feed(source or "")
+            for page, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parser = kind()
+                parser.feed(source.as_py() or "")
                 parser.close()
-                paths = [[dict(zip(names, e, strict=True)) for e in path] for _, path in parser.runs]
-                columns = ([page] * len(paths), list(range(len(paths))), [text for text, _ in parser.runs], paths)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                for pos, (text, path) in enumerate(parser.found()):
+                    rows.append((page, pos, text, path))
+                    weight += len(text) + 16 * len(path)
+                    if weight >= BATCH:
+                        yield made(rows)
+                        rows, weight = [], 0
+        yield made(rows)
 
     return pages.select(F.col(id_col).alias("page"), html).mapInArrow(run, schema)
 
 
-def _first(path: Column, tag: str) -> Column:
-    return F.get(F.filter(path, lambda e: e["tag"] == tag), 0)["node"]
+def text_runs(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, pos, text, path): each run of text of a page in order, with the elements from the outermost that it stands
+    in; an empty run for the start of each element. An end tag closes the nearest open element of its name and all in
+    it; other end tags don't count, and nothing is closed for being out of place. A null page has no run."""
+    return _parsed(pages, id_col, html, _Runs, _RUN)
+
+
+def content_runs(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, pos, text, under): the runs of each page's content, with the elements below the content's root. The root is
+    the largest area of the content's class by text, else the first main, article or body; what isn't content goes, and
+    so do the starts of elements that begin no block, part, cell or bold text. A page without an id has no run."""
+    return _parsed(pages.where(F.col(id_col).isNotNull()), id_col, html, _Content, _CONTENT)
 
 
-def content_runs(runs: DataFrame) -> DataFrame:
-    """runs within a page's content, with `under`: the elements below the content's root. The root is the largest area
-    of the content's class by text, else the first main, article or body; what isn't content goes."""
-    dropped = F.exists("under", lambda e: e["tag"].isin(*DROPPED) | F.array_contains(e["classes"], DROPPED_CLASS))
-    seen = runs.where(~F.exists("path", lambda e: e["tag"].isin("script", "style")))
-    is_area = lambda e: (e["tag"] == "div") & F.array_contains(e["classes"], AREA)
-    areas = seen.select("page", F.explode(F.transform(F.filter("path", is_area), lambda e: e["node"])).alias("node"), F.length("text").alias("n"))
-    largest = areas.groupBy("page", "node").agg(F.sum("n").alias("n")).groupBy("page").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("area"))
-    named = [F.min(_first(F.col("path"), tag)).alias(tag) for tag in ("main", "article", "body")]
-    roots = runs.groupBy("page").agg(*named).join(largest, "page", "left").select("page", F.coalesce("area", "main", "article", "body").alias("root"))
-    inside = runs.join(roots.where("root is not null"), "page").where(F.exists("path", lambda e: e["node"] == F.col("root")))
-    return inside.withColumn("under", F.filter("path", lambda e: e["node"] > F.col("root"))).drop("root").where(~dropped)
+def _text(runs: Column) -> Column:
+    """The text of sorted runs: joined by blanks, then normalised."""
+    return normalize_text(F.regexp_replace(F.array_join(F.transform(runs, lambda x: x["text"]), " "), r"\s+", " "))
 
 
 def _joined(order: str = "pos") -> Column:
-    """The text of a group of runs: joined by blanks, then normalised."""
-    return normalize_text(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " "), r"\s+", " "))
+    """The text of a group of runs."""
+    return _text(F.array_sort(F.collect_list(F.struct(order, "text"))))
+
+
+def _cuts(sorted_array: str, *fields: str) -> Column:
+    """The places in a sorted array at which a new value of the fields begins, from 0."""
+    value = lambda i: F.struct(*[F.get(sorted_array, i)[f] for f in fields])
+    places = F.when(F.size(sorted_array) > 0, F.sequence(F.lit(0), F.size(sorted_array) - 1))
+    return F.filter(places, lambda i: (i == 0) | ~value(i).eqNullSafe(value(i - 1)))
+
+
+def _pieces(array: str, cuts: str) -> Column:
+    """The array cut at these places."""
+    return F.transform(cuts, lambda at, n: F.slice(array, at + 1, F.coalesce(F.get(cuts, n + 1), F.size(array)) - at))
 
 
 def content_blocks(runs: DataFrame) -> DataFrame:
-    """(page, block, part, element, role, part_tag, text, strong): the blocks of a page's content in document order.
+    """(page, block, part, element, role, part_tag, text, strong, rows): the blocks of a page's content (content_runs) in
+    document order.
 
     A block is the first element on the way down from the root that is taken whole: an accordion (question), a panel
     (answer), a heading, a table, a paragraph or an item. Only lists, plain containers and inline marks are entered on
     the way; text loose in them is a block of its own. An answer has a part for each of its paragraphs, items and cells
-    that hold no paragraph or item themselves. strong: the text of the block's first bold element, null without one.
+    that hold no paragraph or item themselves. strong: the text of a paragraph's or item's first bold element, null
+    without one. rows: the texts of the cells of each row of a table that has a text, those of a table in a cell in both;
+    null without such a row. Runs meet once, by page; what follows groups them where they are.
     """
-    has = lambda e, name: F.array_contains(e["classes"], name)
-    whole = lambda e: has(e, "accordion") | has(e, "panel") | e["tag"].isin(*HEADINGS, *PARAGRAPHS, "table")
-    taken = F.get(F.filter("under", whole), 0)
-    rows = content_runs(runs).withColumn("taken", taken)
-    way = F.filter("under", lambda e: F.coalesce(e["node"] < F.col("taken.node"), F.lit(True)))
-    rows = rows.where(~F.exists(way, lambda e: ~e["tag"].isin(*WALKED)))
-    role = (
-        F.when(has(F.col("taken"), "accordion"), "question").when(has(F.col("taken"), "panel"), "answer")
-        .when(F.col("taken").isNull(), "loose").otherwise(F.col("taken.tag"))
-    )
-    within = F.filter("under", lambda e: e["node"] > F.col("taken.node"))
-    bold = F.get(F.filter(within, lambda e: e["tag"].isin("strong", "b")), 0)["node"]
-    rows = rows.withColumn("role", role).where("role <> 'loose' or text <> ''").select(
-        "page", "pos", "text", "role", F.coalesce("taken.node", -1 - F.col("pos")).alias("element"), within.alias("within"), bold.alias("bold"),
-    )
-    # Parts of an answer, but for those in which another paragraph or item begins.
-    parts = F.when(F.col("role") == "answer", F.filter("within", lambda e: e["tag"].isin("p", "li", "td")))
-    own = F.get("within", F.size("within") - 1)
-    begun = rows.where((F.col("role") == "answer") & (F.col("text") == "") & own["tag"].isin(*PARAGRAPHS))
-    outer = begun.select("page", F.explode(F.transform(F.filter("within", lambda e: e["node"] < own["node"]), lambda e: e["node"])).alias("part")).distinct()
-    rows = rows.select("page", "pos", "text", "role", "element", "bold", F.explode_outer(parts).alias("__part"))
-    rows = rows.select("page", "pos", "text", "role", "element", "bold", F.col("__part.node").alias("part"), F.col("__part.tag").alias("part_tag"))
-    block = Window.partitionBy("page", "element")
-    rows = rows.withColumns({"__first": F.min("bold").over(block), "__parts": F.max("part").over(block).isNotNull()})
-    rows = rows.where("part is not null or not __parts").join(outer, ["page", "part"], "left_anti")
-    bolds = F.array_sort(F.collect_list(F.when(F.col("bold") == F.col("__first"), F.struct("pos", "text"))))
-    strong = normalize_text(F.regexp_replace(F.array_join(F.transform(bolds, lambda x: x["text"]), " "), r"\s+", " "))
+    tag_in = lambda *tags: lambda e: e["tag"].isin(*tags)
+    at, depth = F.col("at"), F.size("under")
+    rows = runs.withColumn("at", F.array_position(F.transform("under", lambda e: e["role"].isNotNull()), True).cast("int"))
+    rows = rows.where(~F.exists(F.slice("under", 1, F.when(at > 0, at - 1).otherwise(depth)), lambda e: ~e["tag"].isin(*WALKED)))
+    taken, within = F.get("under", at - 1), F.when(at > 0, F.slice("under", at + 1, depth))
+    rows = rows.select("page", "pos", "text", F.coalesce(taken["role"], F.lit("loose")).alias("role"), F.coalesce(taken["node"], -1 - F.col("pos")).alias("element"), within.alias("within"))
+    rows, within, role = rows.where("role <> 'loose' or text <> ''"), F.col("within"), F.col("role")
+    none = F.lit(None).cast("int")
+    item = lambda part, tag, tr, cell: F.struct(part.alias("part"), tag.alias("part_tag"), tr.alias("tr"), cell.alias("cell"))
+    parts = F.transform(F.filter(within, tag_in("p", "li", "td")), lambda e: item(e["node"], e["tag"], none, none))
+    cells_of = lambda r: F.filter(within, lambda e: e["tag"].isin(*CELLS) & (e["node"] > r["node"]))
+    cells = F.flatten(F.transform(F.filter(within, tag_in("tr")), lambda r: F.transform(cells_of(r), lambda c: item(none, none.cast("string"), r["node"], c["node"]))))
+    own = F.get(within, F.size(within) - 1)
+    rows = rows.select(
+        "page", "pos", "text", "role", "element", F.when(role.isin(*PARAGRAPHS), F.get(F.filter(within, tag_in(*BOLD)), 0)["node"]).alias("bold"),
+        F.when((role == "answer") & (F.col("text") == "") & own["tag"].isin(*PARAGRAPHS), own["node"]).alias("begins"),
+        F.when(role == "answer", parts).when(role == "table", cells).alias("items"),
+    ).repartition("page")
+    rows = rows.select("page", "pos", "text", "role", "element", "bold", "begins", F.explode_outer("items").alias("item")).select("*", "item.*")
+    told = F.array_sort(F.collect_list(F.struct("tr", "cell", "pos", "text")))
+    bolds = F.array_sort(F.collect_list(F.when(F.col("bold").isNotNull(), F.struct("pos", "bold", "text"))))
+    strong = F.when(F.min("bold").isNotNull(), _text(F.filter(bolds, lambda x: x["bold"] == F.min("bold"))))
     held = rows.groupBy("page", "element", "role", "part", "part_tag").agg(
-        F.min("pos").alias("block"), _joined().alias("text"), F.when(F.max("__first").isNotNull(), strong).alias("strong")
-    )
-    return held.select("page", "block", F.coalesce("part", F.lit(-1)).alias("part"), "element", "role", "part_tag", "text", "strong")
+        F.min("pos").alias("block"), F.when(role == "table", told).alias("told"), F.when(role != "table", _text(told)).alias("text"),
+        strong.alias("strong"), F.bool_or(F.col("begins") != F.col("part")).alias("outer"),
+    )
+    # A table's texts are sorted by row, cell and place.
+    held = held.withColumn("cuts", _cuts("told", "tr", "cell"))
+    cells = F.transform(_pieces("told", "cuts"), lambda c: F.struct(F.get(c, 0)["tr"].alias("tr"), F.get(c, 0)["cell"].alias("cell"), _text(c).alias("text")))
+    held = held.withColumn("cells", F.filter(cells, lambda c: c["cell"].isNotNull())).withColumn("cuts", _cuts("cells", "tr"))
+    lines = F.transform(_pieces("cells", "cuts"), lambda r: F.transform(r, lambda c: c["text"]))
+    held = held.withColumn("rows", F.filter(lines, lambda r: F.exists(r, lambda c: c != ""))).withColumn("rows", F.when(F.size("rows") > 0, F.col("rows")))
+    # Parts of an answer, but for those in which another paragraph or item begins; without parts the answer as a whole.
+    held = held.withColumn("parted", F.max("part").over(Window.partitionBy("page", "element")).isNotNull())
+    held = held.where("(part is not null or not parted) and not coalesce(outer, false)")
+    return held.select("page", "block", F.coalesce("part", F.lit(-1)).alias("part"), "element", "role", "part_tag", "text", "strong", "rows")
 
 
 def table_cells(runs: DataFrame) -> DataFrame:
@@ -176,13 +269,6 @@ def table_cells(runs: DataFrame) -> DataFrame:
     return out.select("page", "in.tbl", "in.tr", "cell", direct.alias("direct"), "across", "down", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """(page, tbl, tr, texts) of each table row with a text."""
-    one = F.array_sort(F.collect_list(F.struct("cell", "text")))
-    rows = cells.where("cell is not null").groupBy("page", "tbl", "tr").agg(F.transform(one, lambda c: c["text"]).alias("texts"))
-    return rows.where(F.exists("texts", lambda c: c != ""))
-
-
 def spread(cells: list[tuple[str, int, int]], carried: dict[int, tuple[int, str]]) -> list[str]:
     """One row of a grid from its cells (text, across, down); carried, by column, is what earlier rows reach into it
     with (rows left, text), and is brought up to date."""
@@ -263,10 +349,7 @@ def page_sections(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     "§n"; accordions begin questions "Qn", and panels answer them; tables are clauses "Table n"; other text belongs to
     the section before it, or to "§0 Introduction". Items get a bullet and noise lines go.
     """
-    runs = written(text_runs(pages, id_col, html), "page-runs")
-    blocks = content_blocks(runs)
-    tables = table_rows(table_cells(content_runs(runs))).groupBy("page", F.col("tbl").alias("element")).agg(F.transform(F.array_sort(F.collect_list(F.struct("tr", "texts"))), lambda r: r["texts"]).alias("rows"))
-    blocks = blocks.join(tables.withColumn("role", F.lit("table")), ["page", "element", "role"], "left")
+    blocks = content_blocks(content_runs(pages, id_col, html))
     text, role = F.col("text"), F.col("role")
     # An answer without paragraphs, items and cells is kept whole, whatever its words.
     noise = (text == "") | (text.rlike(NOISE) & ((role != "answer") | (F.col("part") >= 0)))

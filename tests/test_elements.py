@@ -244,3 +244,14 @@ def test_deep_pages_stay_bounded(spark):
     frame = spark.createDataFrame([(1, "<body>" + "<div>" * 3000 + "word " * 60)], "page_id long, html string")
     assert [r.text for r in el.page_sections(frame).collect()] == [("word " * 60).strip()]
     assert el.last_updated(el.text_runs(spark.createDataFrame([(1, "<p>Last Updated on <b>May 3, 2024</b>")], "page_id long, html string"))).first().updated == "May 3, 2024"
+
+
+def test_runs_of_sections_meet_once(spark):
+    table = "".join(f"<tr><td>{i}</td><td>b</td><th></th></tr>" for i in range(3000)) + "<tr><td></td></tr>"
+    html = f"<body><h1>T</h1><div class=panel>loose<p>one<p>two</p></div><table>{table}</table>" + "<p><b>Bold</b></p><p>rest</p>" * 20
+    frame = spark.createDataFrame([(1, html), (2, None), (None, html)], "page_id long, html string")
+    out = el.page_sections(frame)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.number: r for r in out.collect()}
+    assert {r.page for r in got.values()} == {1} and got["Table 1"].rows == [[str(i), "b", ""] for i in range(3000)]
+    assert (got["Q1"].text, got["§20"].heading, got["§20"].text) == ("two", "Bold", "rest")
