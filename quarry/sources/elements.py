@@ -35,6 +35,8 @@ COLUMNS_SPANNED, ROWS_SPANNED, DEPTH = 1000, 65534, 512
 #: Elements that are taken whole, bold ones, those of tables, and those whose starts count: the rest is only walked.
 WHOLE, BOLD, CELLS = (*HEADINGS, *PARAGRAPHS, "table"), ("strong", "b"), ("td", "th")
 STARTS = frozenset((*WHOLE, *BOLD, *CELLS))
+#: What normalize_text changes in a text whose blanks are single.
+MARKED = r"[\x{A0}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FB00}-\x{FB04}\x{FEFF}]"
 #: What a batch of runs weighs: characters, and 16 for each element of a path.
 BATCH = 4 << 20
 
@@ -181,8 +183,10 @@ def content_runs(pages: DataFrame, id_col: str = "page_id", html: str = "html")
 
 
 def _text(runs: Column) -> Column:
-    """The text of sorted runs: joined by blanks, then normalised."""
-    return normalize_text(F.regexp_replace(F.array_join(F.transform(runs, lambda x: x["text"]), " "), r"\s+", " "))
+    """The text of sorted runs: joined by blanks, then normalised. Single blanks stay where they are, and a text without
+    marks has only its ends left to trim."""
+    joined = F.regexp_replace(F.array_join(F.transform(runs, lambda x: x["text"]), " "), r" \s+|[\t\n\x0B\f\r]\s*", " ")
+    return F.get(F.transform(F.array(joined), lambda t: F.when(t.rlike(MARKED), normalize_text(t)).otherwise(F.trim(t))), 0)
 
 
 def _joined(order: str = "pos") -> Column:

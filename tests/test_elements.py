@@ -5,7 +5,9 @@ import re
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.functions.cleaning import normalize_text
 from quarry.sources import elements as el
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,3 +257,11 @@ def test_runs_of_sections_meet_once(spark):
     got = {r.number: r for r in out.collect()}
     assert {r.page for r in got.values()} == {1} and got["Table 1"].rows == [[str(i), "b", ""] for i in range(3000)]
     assert (got["Q1"].text, got["§20"].heading, got["§20"].text) == ("two", "Bold", "rest")
+
+
+def test_texts_of_runs_are_normalised(spark):
+    rng, marks = random.Random(5), "ab  \t\n\r\f\x0b\x1c\x85\xa0\xad\u200b\u200c\u200d\u2003\u2028\u2060\ufeff\ufb00\ufb03\ufb04é"
+    rows = [(i, pos, "".join(rng.choice(marks) for _ in range(rng.randrange(0, 12)))) for i in range(400) for pos in range(3)]
+    got = spark.createDataFrame(rows, "id int, pos int, text string").groupBy("id").agg(el._joined().alias("got"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("runs"))
+    plain = F.regexp_replace(F.array_join("runs.text", " "), r"\s+", " ")
+    assert got.count() == 400 and got.where(F.col("got") != normalize_text(plain)).count() == 0
