@@ -189,16 +189,31 @@ def source_blocks(passages: DataFrame, attributes: dict[str, str], text: str = "
 
 def suggested_questions(questions: DataFrame, phrases: DataFrame, products: DataFrame, padding: tuple[str, ...], most: int = 2) -> DataFrame:
     """(qid, place, question): other questions to ask: two for each official wording (qid, pos, phrase) of a question's
-    product; without one, one for each product (qid, pos, product) that shares a word; padding fills the rest."""
-    both = F.array(F.concat(F.lit("Which Indian Standard applies to "), "phrase", F.lit("?")), F.concat(F.lit("Is BIS certification compulsory for "), "phrase", F.lit("?")))
-    worded = phrases.select("qid", F.lit(0).alias("rank"), "pos", F.posexplode(both).alias("nth", "question"))
-    shared = products.join(phrases.select("qid").distinct(), "qid", "left_anti")
-    shared = shared.select("qid", F.lit(1).alias("rank"), "pos", F.lit(0).alias("nth"), F.concat(F.lit("Is BIS certification compulsory for "), short_product(F.col("product"), 60), F.lit("?")).alias("question"))
-    filled = questions.select("qid", F.lit(2).alias("rank"), F.lit(0).cast("long").alias("pos"), F.posexplode(F.array(*map(F.lit, padding))).alias("nth", "question"))
-    rows = worded.unionByName(shared).unionByName(filled).withColumn("pos", F.col("pos").cast("long"))
-    first = rows.groupBy("qid", "question").agg(F.min(F.struct("rank", "pos", "nth")).alias("at"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select("qid", "place", "question")
+    product; without one, one for each product (qid, pos, product) that shares a word; padding fills the rest.
+
+    Names meet once, by question, and only the first `most` different ones of a question are put into words.
+    """
+    named = lambda rows, rank, pos, text: rows.select("qid", F.lit(rank).alias("rank"), pos.cast("long").alias("pos"), text.cast("string").alias("text"))
+    rows = named(phrases, 0, F.col("pos"), F.col("phrase")).unionByName(named(products, 1, F.col("pos"), short_product(F.col("product"), 60)))
+    rows = rows.unionByName(named(questions, 2, F.lit(0), F.lit(None))).repartition("qid")
+    by = Window.partitionBy("qid").orderBy("rank", "pos", "text")
+    order = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("best", F.min("rank").over(order)).where("rank = best or rank = 2")
+    # name0 is a question's first name, from its row on, name1 its first other one, and so on: one sort serves all.
+    name, seen, names = F.struct("rank", "text"), F.lit(False), [f"name{k}" for k in range(most)]
+    for k in names:
+        rows = rows.withColumn(k, F.first(F.when(~seen, name), ignorenulls=True).over(order))
+        seen = seen | F.coalesce(F.col(k) == name, F.lit(False))
+    rows = rows.withColumns({f"{k}_before": F.lag(k).over(by) for k in names})
+    rows = rows.where(" or ".join(f"({k} is not null and {k}_before is null)" for k in names)).select("qid", "rank", "pos", "text")
+    first = F.collect_list(F.struct("rank", "pos", "text")).over(by.rowsBetween(Window.currentRow, most - 1))
+    rows = rows.withColumns({"named": first, "n": F.row_number().over(by)}).where("n = 1")
+    ask = lambda start, x: F.concat(F.lit(start), x["text"], F.lit("?"))
+    applies, compulsory = (lambda x: ask("Which Indian Standard applies to ", x)), (lambda x: ask("Is BIS certification compulsory for ", x))
+    worded = lambda x: F.when(x["rank"] == 0, F.array(applies(x), compulsory(x))).when(x["rank"] == 1, F.array(compulsory(x))).otherwise(F.array(*map(F.lit, padding)).cast("array<string>"))
+    placed = F.transform("named", lambda x: F.transform(worded(x), lambda q, nth: F.struct(x["rank"], x["pos"], nth.alias("nth"), q.alias("question"))))
+    asked = F.array_distinct(F.transform(F.array_sort(F.flatten(placed)), lambda q: q["question"]))
+    return rows.select("qid", F.posexplode_outer(F.slice(asked, 1, most)).alias("place", "question")).where("place is not null").select("qid", (F.col("place") + 1).alias("place"), "question")
 
 
 def lead_first(standards: DataFrame, lead: DataFrame) -> DataFrame:

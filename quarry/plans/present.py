@@ -16,7 +16,7 @@ from quarry.plans.core import query
 from quarry.sources import glossary as gl
 from quarry.sources import manifest as mf
 from quarry.sources import sinks
-from quarry.tables import shared_dir
+from quarry.tables import shared_dir, sorted_join
 
 _KIND, _VIA = "CASE l_returnflag WHEN 'A' THEN 'standard' WHEN 'N' THEN 'catalogue' ELSE 'page' END", "CASE WHEN l_linenumber % 3 = 0 THEN 'official_list' END"
 
@@ -232,7 +232,7 @@ f AS (SELECT qid, question, min((rank, pos, nth)) AS at_ FROM q GROUP BY ALL)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY at_)::INT AS place, question FROM f QUALIFY place <= 2""")
 def suggested_questions(t):
     parts = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = t("lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("pos"), "p_name").distinct()
+    lines = t("lineitem").join(sorted_join(parts), "l_partkey").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("pos"), "p_name")
     phrases = lines.where("qid % 3 = 0").withColumnRenamed("p_name", "phrase")
     products = lines.where("qid % 3 < 2").withColumn("product", F.concat("p_name", F.lit(" - of a kind"))).drop("p_name")
     return pr.suggested_questions(t("orders").select(F.col("o_orderkey").alias("qid")), phrases, products, ("First?", "Second?"))

@@ -1,5 +1,7 @@
 """Glossary files, manifests and sheets as files."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quarry.operators import present as pr
@@ -55,3 +57,25 @@ def test_sheets_as_files(spark, tmp_path):
     assert rows[3:] == [["IS 1", "4", "", "MUST", "plain", "", "", ""], ["IS 1", "4.2", "3", "SHALL NOT", 'with "quotes", and\nlines', "", "", ""]]
     (other,) = (tmp_path / "sheets" / "slug=s-2").glob("*.txt")
     assert len(other.read_text().splitlines()) == 3
+
+
+def test_suggested_questions_against_a_loop(spark):
+    rng, padding = random.Random(3), ("First?", "Is BIS certification compulsory for n1?")
+    draw = lambda qids: [(rng.choice(qids), rng.randrange(6), rng.choice(["n1", "n2", "n3", "", None])) for _ in range(150)]
+    asked, phrases, products = list(range(60)), draw(range(25)), draw(range(15, 50))
+    rows = lambda found, name: spark.createDataFrame(found, f"qid long, pos long, {name} string")
+    applies, compulsory = "Which Indian Standard applies to {}?".format, "Is BIS certification compulsory for {}?".format
+    said = lambda make, x: None if x is None else make(x)
+    for most in (1, 2, 3):
+        out = pr.suggested_questions(spark.createDataFrame([(q,) for q in asked], "qid long"), rows(phrases, "phrase"), rows(products, "product"), padding, most)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Exchange hashpartitioning"), plan.count("Sort [")) == (1, 1)
+        got = {}
+        for r in out.orderBy("qid", "place").collect():
+            got.setdefault(r.qid, []).append(r.question)
+            assert r.place == len(got[r.qid])
+        for q in asked:
+            worded = [(0, pos, nth, said(make, x)) for i, pos, x in phrases if i == q for nth, make in enumerate((applies, compulsory))]
+            worded = worded or [(1, pos, 0, said(compulsory, x)) for i, pos, x in products if i == q]
+            worded.sort(key=lambda x: (*x[:3], x[3] is not None, x[3] or ""))
+            assert got[q] == list(dict.fromkeys([x[3] for x in worded] + list(padding)))[:most], (q, most)
