@@ -5,11 +5,14 @@ Corpora and queries are DataFrames; every result is keyed by qid and every ranki
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property, reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quarry.functions.stemming import stemmed
@@ -20,8 +23,15 @@ K1, B, RRF_K = 1.2, 0.75, 60
 QUERY_BLOCK = 8192
 #: Terms of the queries that meet the corpus together, and documents that are scored together.
 TERM_ENTRIES, SCORED_ROWS = 1 << 21, 256
-#: Products of a posting and a query that are held at once, and cells of documents and queries.
-PRODUCTS, CELLS = 1 << 20, 1 << 21
+#: Products of a posting and a query that are held at once, and queries that documents are scored for at once.
+PRODUCTS, STRIP = 1 << 20, 2048
+#: Terms of a block that may be dense, and the least share of pairs of a document and a query that such a term meets in.
+#: Sums in single precision of so many terms are off by a share of less than SLACK.
+DENSE_TERMS, DENSE_SHARE, SLACK = 1024, 1 / 256, 2**-12
+#: Rows that wait until a task's best are sorted out.
+CANDIDATES = 1 << 20
+#: In a corpus of more than FLOOR_ROWS rows, one of FEW is scored first, FEW_ROWS in a task.
+FLOOR_ROWS, FEW, FEW_ROWS = 1 << 16, 16, 1 << 14
 #: Rows of a vector cluster on average, and clusters at most.
 CLUSTER, CENTRES = 64, 256
 # Priors of clause kinds by intent, and topics that a question may name.
@@ -49,10 +59,56 @@ def tokens(text: Column, stem: bool = False) -> Column:
     return stemmed(found) if stem else found
 
 
+def frequencies(columns: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token hash, frequency), in order, of columns given as (document, token hash, weight of the column)."""
+    doc, token = (np.concatenate([c[i] for c in columns]) for i in (0, 1))
+    worth = np.concatenate([np.full(len(c[0]), float(c[2])) for c in columns])
+    order = np.lexsort((token, doc))
+    doc, token = doc[order], token[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]))[: len(doc)])
+    return doc[first], token[first], np.add.reduceat(worth[order], first) if len(first) else worth
+
+
+def _packed(values: np.ndarray, ends: np.ndarray):
+    """An Arrow column of the bytes of values, cut at ends."""
+    import pyarrow as pa
+
+    cuts = np.concatenate([[0], ends]).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of an Arrow column of packed values."""
+    cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]].view(kind) if len(column) else np.zeros(0, kind)
+    return np.repeat(np.arange(len(column)), np.diff(cuts) // np.dtype(kind).itemsize), values
+
+
 def hashed(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
-    """(id, c0, c1, ..): the tokens of each column as 64-bit hashes, written."""
+    """(id, length, hashes, tf), written: a document's number of tokens and its distinct tokens as 64-bit hashes, in order
+    and packed, with their frequencies weighted by column."""
     found = [F.transform(tokens(F.col(c), stem), lambda x: F.xxhash64(x)).alias(f"c{i}") for i, c in enumerate(columns)]
-    return written(corpus.select(id_col, *found), "hashed-tokens")
+    given, weights = corpus.select(id_col, *found), list(columns.values())
+    schema = StructType([given.schema[id_col], StructField("length", LongType()), StructField("hashes", BinaryType()), StructField("tf", BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(start, SCORED_ROWS)
+                parts, length = [], np.zeros(part.num_rows, np.int64)
+                for lists, weight in zip(part.columns[1:], weights, strict=True):
+                    size = np.diff(lists.offsets.to_numpy())
+                    parts.append((np.repeat(np.arange(len(lists)), size), lists.flatten().to_numpy(), weight))
+                    length += size
+                doc, token, tf = frequencies(parts)
+                ends = np.cumsum(np.bincount(doc, minlength=part.num_rows))
+                made = [part.column(0).cast(arrow.field(0).type), pa.array(length), _packed(token, ends), _packed(tf, ends)]
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
+
+    return written(given.mapInArrow(count, schema), "hashed-tokens")
 
 
 def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame:
@@ -61,13 +117,20 @@ def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def weighted_terms(corpus: DataFrame, queries: DataFrame, columns: int, stem: bool = False) -> DataFrame:
+def weighted_terms(corpus: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, hashes, weights) of queries (qid, terms) over a hashed() corpus: the terms that it holds, in order, with
     their inverse document frequencies. A term in most documents weighs 1e-6."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h, n = np.unique(_unpacked(batch.column(0), np.int64)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
     asked = F.transform(stemmed(F.col("terms")) if stem else F.col("terms"), lambda x: F.xxhash64(x))
     wanted = queries.select("qid", F.explode(F.array_distinct(asked)).alias("h"))
-    every = F.concat(*[f"c{i}" for i in range(columns)])
-    df = corpus.select(F.explode(F.array_distinct(every)).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    df = corpus.select("hashes").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
     size = corpus.agg(F.count("*").alias("n"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(size)).select("h", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("w"))
@@ -76,81 +139,155 @@ def weighted_terms(corpus: DataFrame, queries: DataFrame, columns: int, stem: bo
 
 
 class TermBlock:
-    """Queries of a block as one sparse matrix: sorted distinct terms, and for each the queries that ask it by weight."""
+    """Queries of a block as a matrix: sorted distinct terms, and for each its weight and the queries that ask it.
+
+    A term weighs the same in every query. Terms that many documents have and many queries ask are dense: they meet as a
+    product of matrices in single precision, whose sums are made exact where they matter. All others meet posting by
+    posting.
+    """
 
     def __init__(self, hashes: list[np.ndarray], weights: list[np.ndarray]):
-        term, weight = np.concatenate(hashes), np.concatenate(weights)
-        query = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        term = np.concatenate(hashes)
+        query = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
         order = np.argsort(term, kind="stable")
-        self.terms, self.first = np.unique(term[order], return_index=True)
-        self.first = np.append(self.first, len(term))
-        self.query, self.weight, self.queries = query[order], weight[order], len(hashes)
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.first, self.weight = np.append(first, len(term)), np.concatenate(weights)[order][first]
+        self.query, self.queries = query[order], len(hashes)
+
+    @cached_property
+    def strips(self) -> tuple[np.ndarray, list[tuple]]:
+        """The place of each term among the dense ones or -1, and for each STRIP of queries how often they ask a dense
+        term (queries, dense terms), and the other terms' first entries and queries."""
+        asked = np.diff(self.first)
+        # A weight tells the share of documents that have the term; 1e-6 stands for more than half.
+        met = asked / self.queries / (1 + np.exp(self.weight))
+        dense = np.flatnonzero(met >= DENSE_SHARE)
+        dense = np.sort(dense[np.argsort(-met[dense], kind="stable")[:DENSE_TERMS]])
+        slot = np.full(len(self.terms), -1)
+        slot[dense] = np.arange(len(dense))
+        column, out = np.repeat(slot, asked), []
+        for start in range(0, self.queries, STRIP):
+            own = (self.query >= start) & (self.query < start + STRIP)
+            full, rest = own & (column >= 0), own & (column < 0)
+            matrix = np.zeros((min(STRIP, self.queries - start), len(dense)), np.float32)
+            np.add.at(matrix, (self.query[full] - start, column[full]), 1)
+            out.append((start, matrix, np.append(0, np.cumsum(rest))[self.first], self.query[rest] - start))
+        return slot, out
+
+    def sums(self, doc: np.ndarray, token: np.ndarray, part: np.ndarray, rows: int) -> Iterator[tuple]:
+        """(first query, sums, exact) of each strip: (rows, queries) sums of part times weight over postings in order of
+        document, off by less than a share of SLACK, and what gives the exact sums of cells (rows, queries).
+
+        Postings of other than dense terms meet their queries in pieces of about PRODUCTS.
+        """
+        slot, strips = self.strips
+        at = np.minimum(np.searchsorted(self.terms, token), len(self.terms) - 1)
+        met = self.terms[at] == token
+        doc, at = doc[met], at[met]
+        part, column = part[met] * self.weight[at], slot[at]
+        full, rest = column >= 0, column < 0
+        common = np.zeros((rows, strips[0][1].shape[1]))
+        common[doc[full], column[full]] = part[full]
+        single, doc, at, part = common.astype(np.float32), doc[rest], at[rest], part[rest]
+        for begin, matrix, first, query in strips:
+            near = single @ matrix.T
+            out, wide, low = near.astype(float), near.shape[1], first[at]
+            asked = first[at + 1] - low
+            some = np.flatnonzero(asked)
+            low, asked, cell, worth = low[some], asked[some], doc[some] * wide, part[some]
+            ends, start = np.cumsum(asked), 0
+            while start < len(some):
+                done = ends[start] - asked[start]
+                stop = max(start + 1, int(np.searchsorted(ends, done + PRODUCTS, "right")))
+                # Each posting meets the queries of its term.
+                n = asked[start:stop]
+                place = np.repeat(low[start:stop] - (ends[start:stop] - n - done), n)
+                place += np.arange(len(place))
+                where = np.repeat(cell[start:stop], n)
+                where += query[place]
+                np.add.at(out.reshape(-1), where, np.repeat(worth[start:stop], n))
+                start = stop
+
+            def exact(row, of, near=near, out=out, matrix=matrix):
+                sums = out[row, of] - near[row, of]
+                step = max(1, PRODUCTS // (matrix.shape[1] + 1))
+                for i in range(0, len(sums), step):
+                    sums[i : i + step] += np.einsum("ij,ij->i", common[row[i : i + step]], matrix[of[i : i + step]])
+                return sums
+
+            yield begin, out, exact
 
     def scores(self, columns: list[tuple[np.ndarray, np.ndarray, float]], rows: int, mean: float) -> np.ndarray:
-        """(rows, queries): BM25 of documents given by column as (document, token hash, weight of the column).
-
-        Postings meet their queries in pieces of about PRODUCTS, cut between documents unless one alone has more.
-        """
+        """(rows, queries): BM25 of documents given by column as (document, token hash, weight of the column)."""
         length = sum((np.bincount(doc, minlength=rows) for doc, _, _ in columns), np.zeros(rows))
-        keys, worth = [], []
-        for doc, token, weight in columns:
-            at = np.minimum(np.searchsorted(self.terms, token), len(self.terms) - 1)
-            met = self.terms[at] == token
-            keys.append(doc[met] * len(self.terms) + at[met])
-            worth.append(np.full(int(met.sum()), weight))
-        pair, which = np.unique(np.concatenate(keys), return_inverse=True)
-        tf = np.bincount(which, np.concatenate(worth), minlength=len(pair))
-        doc, term = np.divmod(pair, len(self.terms))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-        asked = self.first[term + 1] - self.first[term]
-        out, ends, start = np.zeros((rows, self.queries)), np.cumsum(asked), 0
-        while start < len(pair):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - asked[start] + PRODUCTS, "right")))
-            whole = int(np.searchsorted(doc, doc[stop])) if stop < len(pair) else stop
-            stop = whole if whole > start else stop
-            at, low, high = slice(start, stop), doc[start], doc[stop - 1] + 1
-            # Each posting meets the queries of its term.
-            n, before = asked[at], ends[at] - asked[at] - (ends[start] - asked[start])
-            place = np.repeat(self.first[term[at]] - before, n) + np.arange(n.sum())
-            cell = np.repeat(doc[at] - low, n) * self.queries + self.query[place]
-            sums = np.bincount(cell, np.repeat(part[at], n) * self.weight[place], minlength=(high - low) * self.queries)
-            out[low:high] += sums.reshape(high - low, self.queries)
-            start = stop
-        return out
-
-
-def _best_of_tasks(block: TermBlock, ids: list, names: list[str], weights: list[float], mean: float, k: int, schema):
-    """The task that keeps, of its documents, the k best of every query: by score to six digits, then by id."""
+        doc, token, tf = frequencies(columns)
+        found = self.sums(doc, token, impact(tf, length[doc], mean), rows)
+        return np.hstack([exact(*map(np.ravel, np.indices(near.shape))).reshape(near.shape) for _, near, exact in found])
+
+
+def impact(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """What BM25 multiplies a term's weight with, in documents of these lengths."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+class Best:
+    """The k best documents of every query of a block: by score to six digits, then by id. floors: scores, to six digits,
+    that k documents are known to reach."""
+
+    def __init__(self, queries: int, k: int, id_type, floors: np.ndarray | None = None):
+        import pyarrow as pa
+
+        self.k, self.floors = k, np.full(queries, -np.inf) if floors is None else floors.copy()
+        self.schema = pa.schema([("query", pa.int64()), ("near", pa.float64()), ("id", id_type), ("score", pa.float64())])
+        self.held, self.new, self.waiting = self.schema.empty_table(), [], 0
+
+    def add(self, first: int, near: np.ndarray, exact, ids) -> None:
+        """Sums of documents by queries from the first on, as TermBlock gives them; ids: the documents', an Arrow column."""
+        import pyarrow as pa
+
+        least = np.maximum(self.floors[first : first + near.shape[1]] - 1e-6, np.finfo(float).tiny)
+        row, query = np.divmod(np.flatnonzero(near >= least * (1 - SLACK)), near.shape[1])
+        if len(row):
+            found = exact(row, query)
+            made = [pa.array(query + first), pa.array(np.round(found, 6)), ids.take(pa.array(row)).cast(self.schema.field("id").type), pa.array(found)]
+            self.new.append(pa.RecordBatch.from_arrays(made, schema=self.schema))
+            self.waiting += len(row)
+            if self.waiting >= CANDIDATES:
+                self.kept()
+
+    def kept(self):
+        """The best of all that was added, an Arrow table (query, near, id, score)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = pa.concat_tables([self.held, pa.Table.from_batches(self.new, self.schema)])
+        keys = [("query", "ascending"), ("near", "descending"), ("id", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        query, near = table["query"].to_numpy(), table["near"].to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.floors[query[last]] = np.maximum(self.floors[query[last]], near[last])
+        self.held, self.new, self.waiting = table.filter(pa.array(place < self.k)), [], 0
+        return self.held
+
+
+def _best_of_tasks(block: TermBlock, qids, floors: np.ndarray | None, mean: float, k: int, schema):
+    """The task that keeps, of its hashed() documents, the k best of every query."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[list[tuple]] = [[] for _ in range(block.queries)]
-        floor = np.zeros(block.queries)
-        order = lambda x: (-x[0], x[1] is not None, x[1])
-        together = max(1, min(SCORED_ROWS, CELLS // block.queries))
+        best = Best(block.queries, k, schema.field(1).type, floors)
         for batch in batches:
-            for start in range(0, batch.num_rows, together):
-                part = batch.slice(start, together)
-                columns = []
-                for c, weight in zip(names, weights, strict=True):
-                    lists = part.column(part.schema.get_field_index(c))
-                    columns.append((np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), weight))
-                raw = block.scores(columns, part.num_rows, mean)
-                near = np.round(raw, 6)
-                keys = part.column(0).to_pylist()
-                reach = (raw > 0) & (near >= floor)
-                for q in np.flatnonzero(reach.any(axis=0)):
-                    rows = np.flatnonzero(reach[:, q])
-                    if len(rows) > k:
-                        rows = rows[near[rows, q] >= np.partition(near[rows, q], -k)[-k]]
-                    held[q] = sorted(held[q] + [(near[i, q], keys[i], raw[i, q]) for i in rows], key=order)[:k]
-                    if len(held[q]) == k:
-                        floor[q] = held[q][-1][0]
-        out = [(ids[q], key, float(score)) for q, best in enumerate(held) for _, key, score in best]
-        for start in range(0, len(out), 1 << 16):
-            columns = list(zip(*out[start : start + (1 << 16)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(start, SCORED_ROWS)
+                (doc, token), (_, tf) = _unpacked(part.column(2), np.int64), _unpacked(part.column(3), float)
+                length = part.column(1).to_numpy()
+                for first, near, exact in block.sums(doc, token, impact(tf, length[doc], mean), part.num_rows):
+                    best.add(first, near, exact, part.column(0))
+        kept = best.kept()
+        out = pa.Table.from_arrays([qids.take(kept["query"]), kept["id"], kept["score"]], schema=schema)
+        yield from out.to_batches(max_chunksize=1 << 16)
 
     return run
 
@@ -165,26 +302,35 @@ def bm25(
 
     The corpus is tokenised once, into hashes of 64 bits that stand for terms. Document frequencies are the only thing
     that is counted across tasks by term. Queries then meet the corpus in blocks of TERM_ENTRIES terms at most, or one
-    query: each task has a block as a sparse matrix, multiplies its documents with it, and keeps k of them a query, so
-    that no posting is shuffled and a term in most documents is nobody's hot key.
+    query: each task has a block as a matrix, dense for frequent terms, multiplies its documents with it, and keeps k of
+    them a query, so that no posting is shuffled and a term in most documents is nobody's hot key. In a large corpus one
+    document of FEW is scored first: the k-th best of these is a floor for the rest, of which no worse one leaves a task.
     """
     found = hashed(corpus, id_col, columns, stem)
-    asked = written(weighted_terms(found, queries, len(columns), stem), "query-terms")
-    names, lengths = [f"c{i}" for i in range(len(columns))], sum((F.size(f"c{i}") for i in range(len(columns))), F.lit(0))
-    mean, entries = found.agg(F.avg(lengths)).first()[0], asked.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks, best = max(1, -(-entries // TERM_ENTRIES)), None
+    asked = written(weighted_terms(found, queries, stem), "query-terms")
+    n, mean = found.agg(F.count("*"), F.avg("length")).first()
+    entries = asked.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    blocks, parts = max(1, -(-entries // TERM_ENTRIES)), []
     schema = StructType([asked.schema["qid"], found.schema[id_col], StructField("score", DoubleType())])
+    few = F.pmod(F.xxhash64(id_col), F.lit(FEW)) == 0
     for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not rows.num_rows:
             continue
-        lists = [[np.asarray(x, t) for x in rows[c].to_pylist()] for c, t in (("hashes", np.int64), ("weights", float))]
-        task = _best_of_tasks(TermBlock(*lists), rows["qid"].to_pylist(), names, list(columns.values()), mean, k, to_arrow_schema(schema))
-        part = found.mapInArrow(task, schema)
-        best = part if best is None else best.unionAll(part)
-    if best is None:
-        best = corpus.sparkSession.createDataFrame([], schema)
-    return ranked(best, k, id_col, 6)
+        qids, lists = rows["qid"].combine_chunks(), [rows[c].combine_chunks() for c in ("hashes", "weights")]
+        block = TermBlock(*[np.split(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()).cumsum()[:-1]) for x in lists])
+        search = lambda docs, floors, block=block, qids=qids: docs.mapInArrow(_best_of_tasks(block, qids, floors, mean, k, to_arrow_schema(schema)), schema)
+        if n <= FLOOR_ROWS:
+            parts.append(search(found, None))
+            continue
+        first = search(found.where(few).repartition(-(-n // (FEW * FEW_ROWS))), None)
+        first = written(ranked(first, k, id_col, 6), "first-best")
+        known = {r.qid: r.near for r in first.where(F.col("rank") == k).select("qid", F.round("score", 6).alias("near")).collect()}
+        floors = np.array([known.get(q, -np.inf) for q in qids.to_pylist()])
+        parts += [first.drop("rank"), search(found.where(~few), floors)]
+    if not parts:
+        parts = [corpus.sparkSession.createDataFrame([], schema)]
+    return ranked(reduce(DataFrame.unionAll, parts), k, id_col, 6)
 
 
 def dot(a: Column, b: Column) -> Column:
