@@ -12,24 +12,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quarry.functions.stemming import stemmed
-from quarry.tables import written
+from quarry.tables import sorted_join, written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query vectors are met with all rows in blocks of about this many.
 QUERY_BLOCK = 8192
 #: Terms of the queries that meet the corpus together, and documents that are scored together.
-TERM_ENTRIES, SCORED_ROWS = 1 << 21, 256
+TERM_ENTRIES, SCORED_ROWS = 1 << 22, 256
 #: Products of a posting and a query that are held at once, and queries that documents are scored for at once.
 PRODUCTS, STRIP = 1 << 20, 2048
 #: Terms of a block that may be dense, and the least share of pairs of a document and a query that such a term meets in.
 #: Sums in single precision of so many terms are off by a share of less than SLACK.
 DENSE_TERMS, DENSE_SHARE, SLACK = 1024, 1 / 256, 2**-12
 #: Rows that wait until a task's best are sorted out.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 19
 #: In a corpus of more than FLOOR_ROWS rows, one of FEW is scored first, FEW_ROWS in a task.
 FLOOR_ROWS, FEW, FEW_ROWS = 1 << 16, 16, 1 << 14
 #: Rows of a vector cluster on average, and clusters at most.
@@ -85,8 +85,8 @@ def _unpacked(column, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool = False) -> DataFrame:
-    """(id, length, hashes, tf), written: a document's number of tokens and its distinct tokens as 64-bit hashes, in order
-    and packed, with their frequencies weighted by column."""
+    """(id, length, hashes, tf, key), written: a document's number of tokens and its distinct tokens as 64-bit hashes, in
+    order and packed, with their frequencies weighted by column. Documents of one key differ in nothing but their id."""
     found = [F.transform(tokens(F.col(c), stem), lambda x: F.xxhash64(x)).alias(f"c{i}") for i, c in enumerate(columns)]
     given, weights = corpus.select(id_col, *found), list(columns.values())
     schema = StructType([given.schema[id_col], StructField("length", LongType()), StructField("hashes", BinaryType()), StructField("tf", BinaryType())])
@@ -108,7 +108,8 @@ def hashed(corpus: DataFrame, id_col: str, columns: dict[str, float], stem: bool
                 made = [part.column(0).cast(arrow.field(0).type), pa.array(length), _packed(token, ends), _packed(tf, ends)]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    return written(given.mapInArrow(count, schema), "hashed-tokens")
+    key = F.md5(F.concat("hashes", "tf", F.col("length").cast("string").cast("binary")))
+    return written(given.mapInArrow(count, schema).withColumn("key", key), "hashed-tokens")
 
 
 def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame:
@@ -118,8 +119,8 @@ def ranked(scores: DataFrame, k: int, id_col: str, digits: int = 9) -> DataFrame
 
 
 def weighted_terms(corpus: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
-    """(qid, hashes, weights) of queries (qid, terms) over a hashed() corpus: the terms that it holds, in order, with
-    their inverse document frequencies. A term in most documents weighs 1e-6."""
+    """(qid, key, hashes, weights) of queries (qid, terms) over a hashed() corpus: the terms that it holds, in order, with
+    their inverse document frequencies. A term in most documents weighs 1e-6. Queries of one key have the same terms."""
 
     def count(batches):
         import pyarrow as pa
@@ -135,7 +136,8 @@ def weighted_terms(corpus: DataFrame, queries: DataFrame, stem: bool = False) ->
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(size)).select("h", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("w"))
     pairs = wanted.join(weights, "h").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("all"))
-    return pairs.select("qid", F.transform("all", lambda x: x["h"]).alias("hashes"), F.transform("all", lambda x: x["w"]).alias("weights"))
+    parts = pairs.select("qid", F.transform("all", lambda x: x["h"]).alias("hashes"), F.transform("all", lambda x: x["w"]).alias("weights"))
+    return parts.select("qid", F.md5(F.array_join(F.col("hashes").cast("array<string>"), ",")).alias("key"), "hashes", "weights")
 
 
 class TermBlock:
@@ -231,37 +233,38 @@ def impact(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
 
 
 class Best:
-    """The k best documents of every query of a block: by score to six digits, then by id. floors: scores, to six digits,
-    that k documents are known to reach."""
+    """The k best documents of every query of a block: by score to six digits, then by their first column, the id. floors:
+    scores, to six digits, that k documents are known to reach."""
 
-    def __init__(self, queries: int, k: int, id_type, floors: np.ndarray | None = None):
+    def __init__(self, queries: int, k: int, columns, floors: np.ndarray | None = None):
         import pyarrow as pa
 
         self.k, self.floors = k, np.full(queries, -np.inf) if floors is None else floors.copy()
-        self.schema = pa.schema([("query", pa.int64()), ("near", pa.float64()), ("id", id_type), ("score", pa.float64())])
+        self.schema = pa.schema([("query", pa.int64()), ("near", pa.float64()), *columns, ("score", pa.float64())])
         self.held, self.new, self.waiting = self.schema.empty_table(), [], 0
 
-    def add(self, first: int, near: np.ndarray, exact, ids) -> None:
-        """Sums of documents by queries from the first on, as TermBlock gives them; ids: the documents', an Arrow column."""
+    def add(self, first: int, near: np.ndarray, exact, documents) -> None:
+        """Sums of documents by queries from the first on, as TermBlock gives them; documents: their Arrow columns."""
         import pyarrow as pa
 
         least = np.maximum(self.floors[first : first + near.shape[1]] - 1e-6, np.finfo(float).tiny)
         row, query = np.divmod(np.flatnonzero(near >= least * (1 - SLACK)), near.shape[1])
         if len(row):
-            found = exact(row, query)
-            made = [pa.array(query + first), pa.array(np.round(found, 6)), ids.take(pa.array(row)).cast(self.schema.field("id").type), pa.array(found)]
+            found, at = exact(row, query), pa.array(row)
+            own = [c.take(at).cast(self.schema.field(i).type) for i, c in enumerate(documents, 2)]
+            made = [pa.array(query + first), pa.array(np.round(found, 6)), *own, pa.array(found)]
             self.new.append(pa.RecordBatch.from_arrays(made, schema=self.schema))
             self.waiting += len(row)
             if self.waiting >= CANDIDATES:
                 self.kept()
 
     def kept(self):
-        """The best of all that was added, an Arrow table (query, near, id, score)."""
+        """The best of all that was added, an Arrow table (query, near, the documents' columns, score)."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         table = pa.concat_tables([self.held, pa.Table.from_batches(self.new, self.schema)])
-        keys = [("query", "ascending"), ("near", "descending"), ("id", "ascending")]
+        keys = [("query", "ascending"), ("near", "descending"), (self.schema.field(2).name, "ascending")]
         table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
         query, near = table["query"].to_numpy(), table["near"].to_numpy()
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -272,21 +275,21 @@ class Best:
 
 
 def _best_of_tasks(block: TermBlock, qids, floors: np.ndarray | None, mean: float, k: int, schema):
-    """The task that keeps, of its hashed() documents, the k best of every query."""
+    """The task that keeps, of documents (length, hashes, tf, id, ..) as hashed() has them, the k best of every query."""
 
     def run(batches):
         import pyarrow as pa
 
-        best = Best(block.queries, k, schema.field(1).type, floors)
+        best = Best(block.queries, k, list(schema)[1:-1], floors)
         for batch in batches:
             for start in range(0, batch.num_rows, SCORED_ROWS):
                 part = batch.slice(start, SCORED_ROWS)
-                (doc, token), (_, tf) = _unpacked(part.column(2), np.int64), _unpacked(part.column(3), float)
-                length = part.column(1).to_numpy()
+                (doc, token), (_, tf) = _unpacked(part.column(1), np.int64), _unpacked(part.column(2), float)
+                length = part.column(0).to_numpy()
                 for first, near, exact in block.sums(doc, token, impact(tf, length[doc], mean), part.num_rows):
-                    best.add(first, near, exact, part.column(0))
+                    best.add(first, near, exact, part.columns[3:])
         kept = best.kept()
-        out = pa.Table.from_arrays([qids.take(kept["query"]), kept["id"], kept["score"]], schema=schema)
+        out = pa.Table.from_arrays([qids.take(kept["query"]), *kept.columns[2:]], schema=schema)
         yield from out.to_batches(max_chunksize=1 << 16)
 
     return run
@@ -305,32 +308,49 @@ def bm25(
     query: each task has a block as a matrix, dense for frequent terms, multiplies its documents with it, and keeps k of
     them a query, so that no posting is shuffled and a term in most documents is nobody's hot key. In a large corpus one
     document of FEW is scored first: the k-th best of these is a floor for the rest, of which no worse one leaves a task.
+
+    Queries of the same terms are scored once. So are documents of the same tokens if they are half of the corpus or more;
+    for each of them its first k ids take part in the end.
     """
     found = hashed(corpus, id_col, columns, stem)
     asked = written(weighted_terms(found, queries, stem), "query-terms")
-    n, mean = found.agg(F.count("*"), F.avg("length")).first()
-    entries = asked.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    n, mean, unlike = found.agg(F.count("*"), F.avg("length"), F.count_distinct("key")).first()
+    copies, docs = 2 * unlike <= n, found
+    if copies:
+        own = [F.first(c).alias(c) for c in ("length", "hashes", "tf")]
+        docs = written(found.groupBy("key").agg(F.min(F.struct(id_col))[id_col].alias(id_col), *own), "distinct-tokens")
+        n = unlike
+    docs = docs.select("length", "hashes", "tf", id_col, *(["key"] if copies else []))
+    lone = asked.select(F.col("key").alias("qid"), "hashes", "weights").dropDuplicates(["qid"])
+    entries = lone.agg(F.sum(F.size("hashes"))).first()[0] or 0
     blocks, parts = max(1, -(-entries // TERM_ENTRIES)), []
-    schema = StructType([asked.schema["qid"], found.schema[id_col], StructField("score", DoubleType())])
+    schema = StructType([StructField("qid", StringType()), *docs.schema.fields[3:], StructField("score", DoubleType())])
     few = F.pmod(F.xxhash64(id_col), F.lit(FEW)) == 0
     for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        rows = lone.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not rows.num_rows:
             continue
         qids, lists = rows["qid"].combine_chunks(), [rows[c].combine_chunks() for c in ("hashes", "weights")]
         block = TermBlock(*[np.split(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()).cumsum()[:-1]) for x in lists])
-        search = lambda docs, floors, block=block, qids=qids: docs.mapInArrow(_best_of_tasks(block, qids, floors, mean, k, to_arrow_schema(schema)), schema)
+        search = lambda some, floors, block=block, qids=qids: some.mapInArrow(_best_of_tasks(block, qids, floors, mean, k, to_arrow_schema(schema)), schema)
         if n <= FLOOR_ROWS:
-            parts.append(search(found, None))
+            parts.append(search(docs, None))
             continue
-        first = search(found.where(few).repartition(-(-n // (FEW * FEW_ROWS))), None)
+        first = search(docs.where(few).repartition(-(-n // (FEW * FEW_ROWS))), None)
         first = written(ranked(first, k, id_col, 6), "first-best")
         known = {r.qid: r.near for r in first.where(F.col("rank") == k).select("qid", F.round("score", 6).alias("near")).collect()}
         floors = np.array([known.get(q, -np.inf) for q in qids.to_pylist()])
-        parts += [first.drop("rank"), search(found.where(~few), floors)]
+        parts += [first.drop("rank"), search(docs.where(~few), floors)]
     if not parts:
         parts = [corpus.sparkSession.createDataFrame([], schema)]
-    return ranked(reduce(DataFrame.unionAll, parts), k, id_col, 6)
+    best = ranked(reduce(DataFrame.unionAll, parts), k, id_col, 6)
+    if copies:
+        place = F.row_number().over(Window.partitionBy("key").orderBy(id_col))
+        alike = found.select("key", id_col).withColumn("place", place).where(F.col("place") <= k)
+        best = ranked(best.drop(id_col, "rank").join(sorted_join(alike), "key"), k, id_col, 6)
+    own = asked.select(F.col("key").alias("terms"), F.col("qid").alias("asked"))
+    best = best.join(own, F.col("qid") == F.col("terms"))
+    return best.select(F.col("asked").alias("qid"), id_col, "score", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -28,7 +28,7 @@ def plain(docs, queries, k=40):
 
 @pytest.fixture(scope="module")
 def words():
-    """300 documents of words of very different frequency; the later half repeats the earlier one."""
+    """300 documents of words of very different frequency; the second half repeats the first."""
     rng = np.random.default_rng(5)
     made = [[f"w{int(x)}" for x in rng.zipf(1.3, int(n)) if x < 5000] for n in rng.integers(1, 60, 150)]
     return dict(enumerate(made + made))
@@ -73,17 +73,22 @@ def test_dense_and_other_terms_give_the_same_sums(monkeypatch, words, share, str
     assert np.allclose(got, want, rtol=1e-12, atol=0)
 
 
-def test_rows_below_the_floor_do_not_leave_a_task():
-    best = retrieval.Best(2, 2, pa.int64(), np.array([5.0, -np.inf]))
+@pytest.mark.parametrize("candidates", [1, 3, 100])
+def test_rows_below_the_floor_do_not_leave_a_task(monkeypatch, candidates):
+    monkeypatch.setattr(retrieval, "CANDIDATES", candidates)
+    best = retrieval.Best(2, 2, [("id", pa.int64())], np.array([5.0, -np.inf]))
     near = np.array([[4.0, 0.0], [5.0, 1e-6], [6.0, 2.0], [5.0, 3.0]])
-    best.add(0, near, lambda row, of: near[row, of], pa.array([7, 9, 1, 3]))
+    for first in (0, 2):
+        part = near[first : first + 2]
+        best.add(0, part, lambda row, of, part=part: part[row, of], [pa.array([7, 9, 1, 3]).slice(first, 2)])
     assert [(r["query"], r["id"]) for r in best.kept().to_pylist()] == [(0, 1), (0, 3), (1, 3), (1, 1)]
     assert best.floors.tolist() == [5.0, 2.0]
 
 
-@pytest.mark.parametrize("entries, few, few_rows, candidates", [(1 << 21, 2, 20, 1 << 20), (150, 8, 1 << 14, 30), (1, 300, 1, 1)])
-def test_floors_of_some_documents_change_nothing(spark, monkeypatch, words, entries, few, few_rows, candidates):
-    for name, value in (("TERM_ENTRIES", entries), ("FLOOR_ROWS", 0), ("FEW", few), ("FEW_ROWS", few_rows), ("CANDIDATES", candidates)):
+@pytest.mark.parametrize("entries, few, few_rows", [(1 << 21, 2, 20), (150, 8, 1 << 14), (1, 300, 1)])
+def test_floors_of_some_documents_change_nothing(spark, monkeypatch, words, entries, few, few_rows):
+    words = {d: x if d < 150 else [f"v{d}", *x] for d, x in words.items()}
+    for name, value in (("TERM_ENTRIES", entries), ("FLOOR_ROWS", 0), ("FEW", few), ("FEW_ROWS", few_rows)):
         monkeypatch.setattr(retrieval, name, value)
     docs = spark.createDataFrame([(d, " ".join(x)) for d, x in words.items()], "doc_id long, text string")
     queries = {d: words[d] for d in range(0, 300, 60)}
@@ -99,3 +104,27 @@ def test_ids_of_any_kind_and_texts_without_words(spark):
     got = [(r.qid, r["rank"], r.name) for r in retrieval.bm25(docs, asked, {"text": 1.0}, k=3, id_col="name").collect()]
     assert sorted(got, key=str) == sorted([(None, 1, None), (None, 2, "a"), (None, 3, "b"), (4, 1, "e"), (4, 2, None), (4, 3, "a")], key=str)
     assert retrieval.bm25(docs.limit(0), asked, {"text": 1.0}, id_col="name").collect() == []
+
+
+def test_copies_are_scored_once(spark, monkeypatch, words):
+    """Documents that are half copies, and queries of the same terms: each met once, and every id in its place."""
+    made, asked_for = {}, []
+    write, block = retrieval.written, retrieval.TermBlock
+
+    def kept(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(retrieval, "written", kept)
+    monkeypatch.setattr(retrieval, "TermBlock", lambda hashes, weights: asked_for.append(len(hashes)) or block(hashes, weights))
+    few = {d: words[d % 30] for d in range(240)}
+    few[239] = few[238] = few[237] = ["alone", *few[237]]
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in few.items()], "doc_id long, text string")
+    queries = {d: few[d] for d in (0, 30, 60, 5, 239)} | {999: few[0][::-1]}
+    asked = spark.createDataFrame(list(queries.items()), "qid long, terms array<string>")
+    for floor_rows in (1 << 16, 0):
+        monkeypatch.setattr(retrieval, "FLOOR_ROWS", floor_rows)
+        found = retrieval.bm25(docs, asked, {"text": 1.0}, k=11).collect()
+        assert {(r.qid, r["rank"]): (r.doc_id, r.score) for r in found} == plain(few, queries, 11)
+        assert made["distinct-tokens"].count() == len({tuple(sorted(x)) for x in few.values()})
+    assert asked_for == [3, 3]
